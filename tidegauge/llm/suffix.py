@@ -26,9 +26,9 @@ from . import flat, store
 from .flat import U
 
 #: Bytes of passages whose suffixes are sorted at once.
-SHARD = 4 << 20
+SHARD = 1_500_000
 #: Anchors that a task gathers before it sends them.
-GATHER = 3 << 20
+GATHER = 2 << 20
 BLOCK = 1 << 17
 
 
@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, length: int) -> Spans:
     """The maximal runs of bytes, by document, that ``length``-byte strings of smaller doc_ids cover."""
     spark = docs.sparkSession
     folder = store.shared_dir(spark, "suffix")
-    shards = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spans = Spans(folder, shards)
     found = found_spans(docs, shared_anchors(docs, folder, length, shards), length, shards)
 
