@@ -50,7 +50,7 @@ def anchors(u8: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     place = starts + ((least[starts] - starts.astype(np.uint64)) & U(0xFFFFFFF)).astype(np.int64)
     text = np.searchsorted(off, starts, "right") - 1
     head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-    return h[place[head]] & ~U(1), text[head], starts[head], np.diff(np.r_[head, len(starts)])
+    return flat.mix(h[place[head]]) & ~U(1), text[head], starts[head], np.diff(np.r_[head, len(starts)])
 
 
 def shared_anchors(docs: DataFrame, folder: str, length: int, shards: int) -> store.Lookup:
