@@ -198,7 +198,7 @@ def smallest(u8: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int) -> n
     return np.concatenate([low[of] for _, of, _, low in parts]) if parts else np.zeros(0, np.int64)
 
 
-def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: int) -> DataFrame:
+def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: int, homes: int) -> DataFrame:
     """Rows (home, docs, starts, ends) of spans to remove, as arrays; spans may overlap."""
     columns = "shard int, docs binary, starts binary, wins binary, bytes binary"
 
@@ -221,7 +221,7 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
             first[order] = doc[text[order]][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
             here = doc[text] > first  # the same passage stands in a smaller document of this slice
             at = start - off[text]
-            yield from packed(-1, shards, doc[text[here]], at[here], at[here] + size[here])
+            yield from packed(doc[text[here]], at[here], at[here] + size[here])
             send = np.flatnonzero(~here)
             send = send[np.argsort(h[send], kind="stable")]
             cut = np.searchsorted(store.shard_of(h[send], shards), np.arange(shards + 1))
@@ -233,7 +233,7 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
                 columns.replace(" int", "").replace(" binary", "").split(", "),
             )
 
-    def packed(shard, homes, doc, starts, ends):
+    def packed(doc, starts, ends):
         """Spans as rows, a row for each home of documents; they pass the shards with the number -1 - home."""
         home = store.shard_of(flat.mix(doc.astype(np.int64).view(np.uint64)), homes)
         order = np.argsort(home, kind="stable")
@@ -265,7 +265,7 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
         last = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False]))
         which = np.repeat(np.arange(len(wins)), wins)[first]
         base = np.r_[0, np.cumsum(wins)][which]
-        out = [x.to_pandas() for x in packed(-1, shards, doc[which], start[which] + first - base, start[which] + last - base + length)]
+        out = [x.to_pandas() for x in packed(doc[which], start[which] + first - base, start[which] + last - base + length)]
         return pd.concat(out).rename(columns={"wins": "ends"})[["shard", "docs", "starts", "ends"]] if out else pd.DataFrame({"shard": pd.Series(dtype="int32"), "docs": [], "starts": [], "ends": []})
 
     sent = docs.select("doc_id", "text").mapInArrow(passages, columns)
@@ -319,9 +319,10 @@ def repeated_spans(docs: DataFrame, length: int) -> Spans:
     """The maximal runs of bytes, by document, that ``length``-byte strings of smaller doc_ids cover."""
     spark = docs.sparkSession
     folder = store.shared_dir(spark, "suffix")
-    shards = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spans = Spans(folder, shards)
-    found = found_spans(docs, shared_anchors(docs, folder, length, shards), length, shards)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards, homes = 8 * parts, -(-parts // 4)  # a shard sends a row to each home at most
+    spans = Spans(folder, homes)
+    found = found_spans(docs, shared_anchors(docs, folder, length, shards), length, shards, homes)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         s = -1 - int(pdf["shard"].iloc[0])
