@@ -101,10 +101,21 @@ class Lookup:
     def of(self, keys: np.ndarray) -> np.ndarray:
         return shard_of(keys, self.shards)
 
+    def find_in(self, keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """As ``find``, for keys in any order that lie in the shards given."""
+        order = np.lexsort((keys, shard))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        hit, out = self._find(keys[order], shard[order])
+        return hit[back], {k: v[back] for k, v in out.items()}
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """For sorted distinct ``keys``: whether each is there, and its values (0 where it is not)."""
+        return self._find(keys, self.of(keys))
+
+    def _find(self, keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         hit, out = np.zeros(len(keys), bool), {k: np.zeros(len(keys), d) for k, d in self.values.items()}
-        cuts = np.searchsorted(self.of(keys), np.arange(self.shards + 1))
+        cuts = np.searchsorted(shard, np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             a, b, f = cuts[s], cuts[s + 1], self.shard(int(s))
             if not len(f["key"]):
