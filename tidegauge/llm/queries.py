@@ -23,12 +23,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ivfpq import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import score
 
