@@ -5,8 +5,8 @@ after the bytes before it. Both discount their own counts and back off to the sa
 classes together, and these to shorter contexts, so that an expression that is rare, or new
 but for its stem, is smoothed by what both classes know of it. A word's evidence is its toxic log-likelihood
 less the ordinary one; a text's is normalised by length: the mean over its words, and the highest
-means of passages of a few words. A logistic curve, fitted on labelled rows that the models did
-not count, turns it into a score from 0 to 1.
+means of passages of a few words. A logistic curve turns it into a score from 0 to 1; it is fitted on
+the labelled rows' evidence by models that counted only the other folds.
 
 The models learn from ``MOST`` labelled rows at most (expected; a hash of doc_id picks them), so they and
 the one task that adds the counts up are of bounded size; every row is scored, whole.
@@ -24,8 +24,8 @@ from . import flat, store
 from .flat import U
 from .kneser_ney import blob, summed, unblob
 
-#: Labelled rows to learn from, at most; one in ``CURVE`` of them fits the curve instead of the models.
-MOST, CURVE = 24_000, 4
+#: Labelled rows to learn from, at most; folds for fitting the curve.
+MOST, FOLDS = 24_000, 3
 #: Words of a passage.
 PASSAGES = (1, 4, 24)
 _FEATURES = 1 + len(PASSAGES)
@@ -74,15 +74,17 @@ def conditional(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 class Models:
     """Probabilities of both models, as sorted arrays in the shared folder."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, name: str):
         parts = {"0": "f8", "1": "f8", "s": "f8"}
-        self.long, self.left = store.Lookup(folder, "long", 1, parts), store.Lookup(folder, "left", 1, parts)
-        self.short, self.tail = store.Lookup(folder, "short", 1, {"s": "f8"}), store.Lookup(folder, "tail", 1, {"s": "f8"})
+        self.long, self.left = store.Lookup(folder, f"long{name}", 1, parts), store.Lookup(folder, f"left{name}", 1, parts)
+        self.short, self.tail = store.Lookup(folder, f"short{name}", 1, {"s": "f8"}), store.Lookup(folder, f"tail{name}", 1, {"s": "f8"})
         self.curve = np.zeros(_FEATURES + 1)
         self.scale = np.stack([np.zeros(_FEATURES), np.ones(_FEATURES)])
 
     def write(self, keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
         """From distinct n-grams, sorted, and their counts in both classes."""
+        some = ordinary + toxic > 0
+        keys, ordinary, toxic = keys[some], ordinary[some], toxic[some]
         got = {"0": conditional(keys, ordinary), "1": conditional(keys, toxic), "s": conditional(keys, ordinary + toxic)}
         self.long.write(0, keys, **{k: v[0] for k, v in got.items()})
         self.left.write(0, got["s"][1], **{k: v[2] for k, v in got.items()})
@@ -123,6 +125,8 @@ class Models:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """The logistic curve, by Newton's steps with a slight pull to 0."""
+        order = np.lexsort((y, *x.T))  # whatever order the rows came in
+        x, y = x[order], y[order]
         if len(x):
             self.scale = np.stack([x.mean(0), np.maximum(x.std(0), 1e-9)])
         z, w = self.shaped(x), np.zeros(_FEATURES + 1)
@@ -148,34 +152,40 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Models:
     folder = store.shared_dir(spark, "toxicity")
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     part = min(1.0, most / max(1, named.count()))
-    named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CURVE)) == 0)
-    chosen = store.saved(docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("text", "toxic", "curve"), folder, "chosen")  # at most ``most`` labels, up to chance
-    models = Models(folder)
+    named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    chosen = store.saved(docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("text", "toxic", "fold"), folder, "chosen")  # at most ``most`` labels, up to chance
+    models, without = Models(folder, ""), [Models(folder, str(f)) for f in range(FOLDS)]
 
     def count(batches):
         for rows, u8, off in flat.slices(batches):
             word, at, key, begin = spelled(u8, off)
-            toxic = np.repeat(rows.column("toxic").to_numpy() > 0, np.diff(at))
-            n = [np.bincount(word[x], minlength=len(begin) - 1) for x in (~toxic, toxic)]
+            kind = np.repeat(rows.column("fold").to_numpy() * 2 + (rows.column("toxic").to_numpy() > 0), np.diff(at))
             which = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-            (keys,), sums = summed([key], [x[which] for x in n])
+            (keys,), sums = summed([key], [np.bincount(word[kind == k], minlength=len(begin) - 1)[which] for k in range(2 * FOLDS)])
             yield pa.RecordBatch.from_arrays([pa.array([blob([keys, *sums])], pa.binary())], ["data"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, sums = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2
+        keys, sums = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2 * FOLDS
         for a in range(0, len(pdf), 8):
-            parts = [unblob(x, 1, 2) for x in pdf["data"].iloc[a : a + 8]]
-            (keys,), sums = summed([np.concatenate([keys, *(p[0] for p in parts)])], [np.concatenate([sums[i], *(p[1 + i] for p in parts)]) for i in (0, 1)])
-        models.write(keys, *sums)
+            parts = [unblob(x, 1, 2 * FOLDS) for x in pdf["data"].iloc[a : a + 8]]
+            (keys,), sums = summed([np.concatenate([keys, *(p[0] for p in parts)])], [np.concatenate([sums[i], *(p[1 + i] for p in parts)]) for i in range(2 * FOLDS)])
+        total = [sum(sums[c::2]) for c in (0, 1)]
+        models.write(keys, *total)
+        for f, m in enumerate(without):
+            m.write(keys, *(total[c] - sums[2 * f + c] for c in (0, 1)))
         return pd.DataFrame({"n": [len(keys)]})
 
-    chosen.where("not curve").select("text", "toxic").mapInArrow(count, "data binary").groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: merge(pdf), "n long").collect()  # one row
+    chosen.mapInArrow(count, "data binary").groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: merge(pdf), "n long").collect()  # one row
 
     def measure(batches):
         for rows, u8, off in flat.slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(list(models.features(u8, off)), pa.list_(pa.float64())), rows.column("toxic")], ["x", "toxic"])
+            fold = rows.column("fold").to_numpy()
+            x = np.zeros((len(fold), _FEATURES))
+            for f in np.unique(fold):
+                x[fold == f] = without[f].features(u8, off)[fold == f]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), rows.column("toxic")], ["x", "toxic"])
 
-    got = chosen.where("curve").select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()  # at most ``most`` / CURVE rows
+    got = chosen.mapInArrow(measure, "x array<double>, toxic int").collect()  # at most ``most`` rows
     models.fit(np.array([r["x"] for r in got]).reshape(-1, _FEATURES), np.array([r["toxic"] > 0 for r in got], float))
     return models
 
