@@ -26,12 +26,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat one doc_id and text count as one; rows with a null doc_id stay.
     """
-    groups = jaccard.jaccard_join(docs, k=5, percent=80)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
-    first = store.saved(first, store.shared_dir(spark, "distinct"), "first")
-    kept = docs.join(first.where("not repeated").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(F.broadcast(first.where("repeated").select("doc_id")) if first.where("repeated").count() < 100_000 else first.where("repeated").select("doc_id"), "doc_id", "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return jaccard.first_of_each(docs, k=5, percent=80)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,12 +23,13 @@ from .packing import encoding
 
 #: Strings that must not occur in a text as they are.
 _CONTROL = re.compile(r"<\||\|>|</?s>|\[/?INST\]")
+_INSIDE = re.compile(r"(?<=<)(?=\||/?s>)|(?<=\|)(?=>)|(?<=\[)(?=/?INST\])")
 _TURN = re.compile(r"<\|((?:[^|]|\|(?!>))*)\|>\n(.*?)<\|end\|>\n", re.S)
 _WINDOW = "conv_id long, window long, repeated int, text string, mask array<struct<start:int,end:int>>"
 
 
 def escaped(text: str) -> str:
-    return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+    return _INSIDE.sub(r"\\", text.replace("\\", "\\\\"))
 
 
 def unescaped(text: str) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is worked on whole.
-SLICE = 1_500_000
+SLICE = 1_000_000
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 #: Fixed values: \x20 and \x09-\x0D part words.

@@ -275,6 +275,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
     while width < total and (found(some, shards, least, width).agg(F.sum("n")).first()[0] or 0) < RECALL * want:
         width *= 2
     links = store.saved(found(reps.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), shards, least, width), folder, "links")
+    for name in ("raw-", "unit-", "near"):
+        store.drop(folder, name)
     cc = components(links.where("b is not null").select("a", "b"), folder)
     own = links.where("b is null").select(F.col("a").alias("rep"), "n").join(cc.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     of = reps.select("embedding", F.col("vec_id").alias("rep"), "times").join(own, "rep").select("embedding", (F.col("n") + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -218,6 +218,57 @@ def linked(folder: str, percent: int):
     return scan
 
 
+class Kept:
+    """Ids of documents, in sorted arrays of the shared folder, with how many rows have each."""
+
+    def __init__(self, folder: str, shards: int):
+        self.by = store.Lookup(folder, "kept", shards, {"n": "u4"})
+
+    def write(self, ids: DataFrame) -> int:
+        """Stores rows (doc_id, n), no id null or twice; returns how many have an n over 1."""
+        by = self.by
+
+        def put(pdf: pd.DataFrame) -> pd.DataFrame:
+            key = flat.mix(pdf["doc_id"].to_numpy(np.int64).view(np.uint64))
+            order = np.argsort(key)
+            s = int(by.of(key[:1])[0])
+            by.write(s, key[order], n=pdf["n"].to_numpy()[order])
+            return pd.DataFrame({"shard": [s], "many": [int((pdf["n"] > 1).sum())]})
+
+        def home(batches):
+            for pdf in batches:
+                yield pdf.assign(shard=by.of(flat.mix(pdf["doc_id"].to_numpy(np.int64).view(np.uint64))).astype(np.int32))
+
+        dealt = ids.mapInPandas(home, "doc_id long, n long, shard int")
+        dealt.groupBy("shard").applyInPandas(lambda pdf: put(pdf), "shard int, many long").write.mode("overwrite").parquet(f"{by.folder}/stored")
+        return ids.sparkSession.read.parquet(f"{by.folder}/stored").agg(F.sum("many")).first()[0] or 0
+
+    def only(self, docs: DataFrame, many: bool) -> DataFrame:
+        """Rows whose id is kept and stands in several rows, or else in one; rows with a null doc_id count as one."""
+
+        def pick(batches):
+            for rows in batches:
+                doc = rows.column("doc_id").cast(pa.int64())
+                key, back = np.unique(flat.mix(doc.fill_null(0).to_numpy().view(np.uint64)), return_inverse=True)
+                n = np.where(doc.is_null().to_numpy(zero_copy_only=False), 1, self.by.find(key)[1]["n"][back])
+                yield rows.filter(pa.array(n > 1 if many else n == 1))
+
+        return docs.mapInArrow(pick, docs.schema)
+
+
+def first_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component of the join.
+
+    No text moves between tasks. Rows that repeat one doc_id and text count as one; rows with a null doc_id stay.
+    """
+    spark = docs.sparkSession
+    kept = Kept(store.shared_dir(spark, "kept"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    first = jaccard_join(docs, k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    many = kept.write(first)
+    out = kept.only(docs, False)
+    return out.unionByName(kept.only(docs, True).dropDuplicates(["doc_id", "text"])) if many else out
+
+
 def jaccard_join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): documents linked where 100 * shared >= percent * union.
 
@@ -236,6 +287,7 @@ def jaccard_join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = entries(reps.select("doc_id", "n", "file", "offset"), folder, percent, light, frequent(reps, folder))
     links = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("bucket")).applyInPandas(linked(folder, percent), "a long, b long")
     cc = components(links, folder)
+    store.drop(folder, "sets-")
     of = reps.join(cc, reps.doc_id == cc.id, "left").select("total", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     full = every.join(of, ["total", "n"], "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -164,6 +164,7 @@ class Model:
                 d = [(i - (i + 1) * y * b / a if a else i / 2) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
                 d = np.array([0.0, *(min(max(x, 0.1 * i), 0.9 * i) for i, x in enumerate(d, 1))])
                 self.levels[r["level"]] = d, r["0"], n1, n2, r["1"] - n1 - n2
+        store.drop(folder, "round")
         return self
 
     def probabilities(self, tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

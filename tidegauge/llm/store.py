@@ -64,6 +64,14 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     fs.move(tmp, path)
 
 
+def drop(folder: str, prefix: str) -> None:
+    """Deletes the folder's entries of that prefix: for what no later step, and no task that runs again, can need."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    for x in fs.get_file_info(pafs.FileSelector(path)):
+        if x.base_name.startswith(prefix):
+            fs.delete_dir(x.path) if x.type == pafs.FileType.Directory else fs.delete_file(x.path)
+
+
 def mapped(folder: str, name: str, dtype) -> np.ndarray:
     """The array, mapped into memory; from a store without POSIX paths by way of an unlinked local copy."""
     if folder.startswith("file://"):

@@ -330,6 +330,7 @@ def repeated_spans(docs: DataFrame, length: int) -> Spans:
         return pd.DataFrame({"home": [s], "rows": [len(pdf)]})
 
     found.groupBy("shard").applyInPandas(keep, "home int, rows long").write.mode("overwrite").parquet(f"{folder}/homes")
+    store.drop(folder, "anchors")
     return spans
 
 

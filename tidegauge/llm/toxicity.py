@@ -165,10 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Models:
             yield pa.RecordBatch.from_arrays([pa.array([blob([keys, *sums])], pa.binary())], ["data"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, sums = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2 * FOLDS
-        for a in range(0, len(pdf), 8):
-            parts = [unblob(x, 1, 2 * FOLDS) for x in pdf["data"].iloc[a : a + 8]]
-            (keys,), sums = summed([np.concatenate([keys, *(p[0] for p in parts)])], [np.concatenate([sums[i], *(p[1 + i] for p in parts)]) for i in range(2 * FOLDS)])
+        keys, sums = np.zeros(0, np.uint64), [np.zeros(0, np.int32)] * 2 * FOLDS
+        for a in range(0, len(pdf), 4):
+            parts = [unblob(x, 1, 2 * FOLDS) for x in pdf["data"].iloc[a : a + 4]]
+            (keys,), sums = summed([np.concatenate([keys, *(p[0] for p in parts)])], [np.concatenate([sums[i], *(p[1 + i].astype(np.int32) for p in parts)]) for i in range(2 * FOLDS)])
         total = [sum(sums[c::2]) for c in (0, 1)]
         models.write(keys, *total)
         for f, m in enumerate(without):
