@@ -101,32 +101,36 @@ def frequent(reps: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
 def entries(reps: DataFrame, folder: str, percent: int, light: int, freq: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (key, shared, doc_id, n, file, offset): shared is a subset's size, -1 in an inverted list."""
 
+    def keys_of(s: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        keys, shared, out = [], [], n - least_shared(n, percent)
+        if n * percent <= light * 100:
+            m = flat.mix(np.array(s))
+            for j in range(out + 1):
+                drop = np.array([m[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), j)], np.uint64)
+                keys.append(flat.mix(m.sum(dtype=np.uint64) - drop))
+                shared.append(np.full(len(drop), n - j, np.int32))
+        if n > light:
+            p = out + 1
+            if len(freq[0]):
+                at = np.minimum(np.searchsorted(freq[0], s), len(freq[0]) - 1)
+                df = np.where(freq[0][at] == s, freq[1][at], 0)
+                s = s[df == 0][:p] if (df == 0).sum() >= p else s[np.lexsort((s, df))[:p]]
+            keys.append(np.array(s[:p]))
+            shared.append(np.full(p, -1, np.int32))
+        return keys, shared
+
     def emit(batches):
         read = Sets(folder)
-        for pdf in batches:
-            keys, row, shared = [], [], []
-            for i, (n, f, o) in enumerate(zip(pdf["n"], pdf["file"], pdf["offset"])):
-                s = read(f, o, n)
-                out = n - least_shared(n, percent)
-                if n * percent <= light * 100:
-                    m = flat.mix(np.array(s))
-                    for j in range(out + 1):
-                        drop = np.array([m[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), j)], np.uint64)
-                        keys.append(flat.mix(m.sum(dtype=np.uint64) - drop))
-                        row += [i] * len(drop)
-                        shared += [n - j] * len(drop)
-                if n > light:
-                    p = out + 1
-                    if len(freq[0]):
-                        at = np.minimum(np.searchsorted(freq[0], s), len(freq[0]) - 1)
-                        df = np.where(freq[0][at] == s, freq[1][at], 0)
-                        s = s[df == 0][:p] if (df == 0).sum() >= p else s[np.lexsort((s, df))[:p]]
-                    keys.append(np.array(s[:p]))
-                    row += [i] * p
-                    shared += [-1] * p
-            if keys:
-                got = pdf.iloc[row]
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "shared": np.array(shared, np.int32), **{c: got[c].to_numpy() for c in ("doc_id", "n", "file", "offset")}})
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                pdf = batch.iloc[a : a + 500]
+                keys, shared, size = [], [], []
+                for n, f, o in zip(pdf["n"], pdf["file"], pdf["offset"]):
+                    k, x = keys_of(read(f, o, n), n)
+                    keys += k
+                    shared += x
+                    size.append(sum(map(len, k)))
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "shared": np.concatenate(shared), **{c: np.repeat(pdf[c].to_numpy(), size) for c in ("doc_id", "n", "file", "offset")}})
 
     return reps.mapInPandas(emit, "key long, shared int, doc_id long, n long, file int, offset long")
 
