@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,17 @@ import pyarrow as pa
 #: Bytes of text that are worked on at once; a longer single text is worked on whole.
 SLICE = 1_000_000
 U = np.uint64
+
+
+def trim() -> None:
+    """Gives freed memory back: a worker lives on after its task, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _ODD = 0x9E3779B97F4A7C15
 #: Fixed values: \x20 and \x09-\x0D part words.
 _SEP = np.zeros(256, bool)
@@ -61,6 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, text: str = "t
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a), u8[off[a] : off[b]], off[a : b + 1] - off[a]
             a = b
+    texts = u8 = off = batch = None
+    trim()
 
 
 def spans(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -217,6 +217,8 @@ def linked(folder: str, percent: int):
                         joined.join(int(doc[at[p]]), x)
                     a.append(doc[at[hit]]), b.append(np.full(len(hit), doc[at[p]]))
                     top = np.array([joined.top(x) for x in doc[at].tolist()])
+        pdf = key = shared = doc = n = file = offset = read = None
+        flat.trim()
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return scan

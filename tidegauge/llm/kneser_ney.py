@@ -127,6 +127,7 @@ class Model:
         return docs.select("text").mapInArrow(run, _ROWS)
 
     def merge(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        flat.trim()
         kind, level, s = (int(pdf[c].iloc[0]) for c in ("kind", "level", "shard"))
         if kind == CONTEXT:
             parts = [unblob(x, 1, 4) for x in pdf["data"]]

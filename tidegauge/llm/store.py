@@ -24,6 +24,10 @@ _own: str | None = None
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder (URI) for one run of one operator."""
     global _own
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):  # long texts: a batch of many fills a worker
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if _own is None:

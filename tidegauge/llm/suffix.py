@@ -265,6 +265,8 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
         last = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False]))
         which = np.repeat(np.arange(len(wins)), wins)[first]
         base = np.r_[0, np.cumsum(wins)][which]
+        u8 = own = least = edge = None
+        flat.trim()
         out = [x.to_pandas() for x in packed(doc[which], start[which] + first - base, start[which] + last - base + length)]
         return pd.concat(out).rename(columns={"wins": "ends"})[["shard", "docs", "starts", "ends"]] if out else pd.DataFrame({"shard": pd.Series(dtype="int32"), "docs": [], "starts": [], "ends": []})
 
