@@ -1,0 +1,33 @@
+"""Seeded frames: each depends on its own key alone, never on partitions or order."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+#: Mean and deviation of the regimes' backgrounds, and of what an event adds.
+REGIMES = {"stable": (0.0, 0.05), "noisy": (0.25, 0.10), "localized_burst": (0.0, 0.05), "global_shock": (2.0, 0.5)}
+BURST = (0.8, 0.15)
+
+
+def frames(spark: SparkSession, trials: int, seed: int, channels: int = 512, size: int = 32) -> DataFrame:
+    """Rows (regime, trial, channels, truth): ``trials`` frames of each regime."""
+
+    def make(batches):
+        names = list(REGIMES)
+        for pdf in batches:
+            rows = []
+            for i in pdf["id"]:
+                k, trial = divmod(int(i), trials)
+                rng = np.random.default_rng(np.random.SeedSequence(entropy=seed, spawn_key=(k, trial)))
+                x = rng.normal(*REGIMES[names[k]], channels)
+                truth = np.full(channels // size, names[k] == "global_shock")
+                if names[k] == "localized_burst":
+                    b = int(rng.integers(channels // size))
+                    x[b * size : (b + 1) * size] += rng.normal(*BURST, size)
+                    truth[b] = True
+                rows.append((names[k], trial, x.tolist(), truth.tolist()))
+            yield pd.DataFrame(rows, columns=["regime", "trial", "channels", "truth"])
+
+    return spark.range(trials * len(REGIMES)).mapInPandas(make, "regime string, trial long, channels array<double>, truth array<boolean>")
