@@ -63,9 +63,9 @@ def changepoint_cusum(rows: DataFrame, by: list[str], k: float = 0.5, m: int = 3
         )
 
     start = F.struct(F.lit(0.0).alias("offset"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), empty.alias("hist"), empty.alias("out"))
-    rows_of = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "z"))).alias("s"))
-    folded = rows_of.withColumn("o", F.aggregate(F.col("s.z"), start, step)["out"])
-    return folded.select(*by, F.explode(F.arrays_zip(F.col("s.step").alias("step"), F.col("o").alias("score"))).alias("r")).select(*by, "r.step", "r.score")
+    rows_of = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "z"))).alias("_steps"))
+    folded = rows_of.withColumn("_out", F.aggregate(F.col("_steps.z"), start, step)["out"])
+    return folded.select(*by, F.explode(F.arrays_zip(F.col("_steps.step").alias("step"), F.col("_out").alias("score"))).alias("_row")).select(*by, "_row.step", "_row.score")
 
 
 def trailing(by: list[str], width: int, order: str = "t") -> object:
@@ -114,9 +114,9 @@ def merged_gaps(spans: DataFrame, by: list[str], gap: int, least: int = 1) -> Da
 
 def cooled(spans: DataFrame, by: list[str], rest: int) -> DataFrame:
     """Greedy: a run goes if it starts at most ``rest`` after the last kept run's end."""
-    every = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
-    keep = F.expr(f"aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, r) -> if(size(a) = 0 or r.start - a[size(a) - 1].end > {int(rest)}, concat(a, array(r)), a))")
-    return every.select(*by, F.explode(keep).alias("r")).select(*by, "r.start", "r.end")
+    every = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    keep = F.expr(f"aggregate(_runs, cast(array() as array<struct<start:bigint,end:bigint>>), (a, r) -> if(size(a) = 0 or r.start - a[size(a) - 1].end > {int(rest)}, concat(a, array(r)), a))")
+    return every.select(*by, F.explode(keep).alias("_row")).select(*by, "_row.start", "_row.end")
 
 
 def merged_windows(spans: DataFrame, by: list[str]) -> DataFrame:

@@ -339,3 +339,86 @@ def q_generate_frames(spark, sf):
     from ..sources.scenarios import frames
 
     return frames(spark, 200, seed=42)
+
+
+HYBRID = ZUSERS + ", ew as (select a.user_id, a.step, abs(a.z) as frame, abs(sum(0.2::double * pow(0.8::double, a.step - b.step) * b.z)) / sqrt(0.2::double / 1.8::double) as ewma from z a join z b on a.user_id = b.user_id and b.step <= a.step group by a.user_id, a.step, a.z), tops as (select user_id, max(frame) as f, max(ewma) as e from ew where user_id % 2 = 0 group by all), c as (select quantile_cont(f, 0.99) as c1, quantile_cont(e, 0.99) as c2 from tops)"
+
+
+@query(f"with {HYBRID} select user_id, step, round(greatest(frame / c1, ewma / c2), 6) + 0.0 as score from ew cross join c")
+def q_hybrid(spark, sf):
+    s = sequences.ewma(zstream(spark, sf), ["user_id"]).withColumn("frame", F.abs("z"))
+    scale = s.where("user_id % 2 = 0").groupBy("user_id").agg(F.max("frame").alias("f"), F.max("ewma").alias("e")).agg(F.percentile("f", 0.99).alias("c1"), F.percentile("e", 0.99).alias("c2"))
+    return s.join(F.broadcast(scale)).select("user_id", "step", (F.round(F.greatest(F.col("frame") / F.col("c1"), F.col("ewma") / F.col("c2")), 6) + 0.0).alias("score"))
+
+
+STREAM = TYPES + ", m as (select stream, block, avg(x) as mu from ty where step < 8 group by all), sg as (select stream, sqrt(sum((x - mu) * (x - mu)) / greatest(count(x - mu) - count(distinct case when x is not null then block end), 1)) as sigma from ty join m using (stream, block) where step < 8 group by stream), mk as (select stream, step, block, case when stream % 2 = 1 then 15 + stream % 5 end as onset, coalesce(stream % 2 = 1 and block = 'error' and step >= 15 + stream % 5, false) as truth, abs(case when step < 8 then 0.0::double else coalesce((x - mu) / greatest(sigma, 1e-9::double), 0) end + case when stream % 2 = 1 and block = 'error' and step >= 15 + stream % 5 then 4.0::double else 0 end) >= 2.5::double and step >= 8 as alarm from ty join m using (stream, block) join sg using (stream)), sp as (select stream, step, any_value(onset) as onset, bool_or(alarm) as hot, bool_or(alarm and truth) as tr, count(case when alarm and truth then 1 end) as bo, count(case when alarm or truth then 1 end) as ei from mk group by all), fs as (select stream, min(step) as fst from sp where hot and (onset is null or step >= onset) group by all)"
+
+
+@query(f"with {STREAM} select sp.stream, bool_or(hot) as any_alarm, coalesce(bool_or(hot and step < onset), false) as pre_alarm, count(case when tr and (onset is null or step >= onset) then 1 end) > 0 as hit, (min(case when tr and (onset is null or step >= onset) then step end) - any_value(onset))::bigint as latency, coalesce(bool_or(step = fst and bo = ei), false) as exact, round(coalesce(max(case when step = fst then bo::double / ei end), 0), 6) + 0.0 as iou from sp left join fs on sp.stream = fs.stream group by sp.stream")
+def q_stream_outcomes(spark, sf):
+    from ..operators.outcomes import stream_outcomes
+
+    s = sequences.standardized(views.type_streams(spark, sf), ["stream"], "block", "x", 8)
+    onset = F.when(F.col("stream") % 2 == 1, 15 + F.col("stream") % 5)
+    truth = F.coalesce((F.col("block") == "error") & (F.col("step") >= onset), F.lit(False))
+    marks_ = s.withColumn("onset", onset).withColumn("truth", truth).withColumn("alarm", F.abs(F.col("z") + F.when(F.col("truth"), 4.0).otherwise(0.0)) >= 2.5)
+    return stream_outcomes(marks_, "stream", 8).select("stream", "any_alarm", "pre_alarm", "hit", "latency", "exact", r6("iou"))
+
+
+@query(f"with {TRUTH}, ins as (select s.channel, s.t, v.s, s.score >= 2.5::double as alarm from scored s join truth v on s.channel = v.channel and s.t between v.s and v.e), tc as (select *, bool_or(alarm) over (partition by channel, s) as touched from ins), g as (select channel, count(case when alarm then 1 end) as tp, count(case when not alarm then 1 end) as fn, count(case when touched then 1 end) as pa_tp, count(case when not touched then 1 end) as pa_fn from tc group by channel), al as (select channel, count(*) as n, count(case when score >= 2.5::double then 1 end) as a from scored group by channel) select channel, n, tp, a - tp as fp, fn, pa_tp, pa_fn from al join g using (channel)")
+def q_channel_eval_v2(spark, sf):
+    from ..operators.outcomes import point_metrics
+
+    s = views.scored_series(spark, sf)
+    return point_metrics(s.withColumn("alarm", F.col("score") >= 2.5), views.truth_windows(s), ["channel"])
+
+
+@query(f"with {TRUTH}, own as (select v.channel, v.s, v.e, max(score) as top from scored c join truth v on c.channel = v.channel and c.t between v.s and v.e group by all), past as (select v.channel, v.s, stddev_pop(z) as spread from scored c join truth v on c.channel = v.channel and c.t between v.s - 128 and v.s - 1 group by all) select own.channel, own.s as start, round(top, 6) + 0.0 as top, case when top >= 4.0::double then 'hit' when top >= 3.2::double then 'threshold_miss' when e - own.s < 5 then 'short_spike' when spread > 1.2::double then 'noisy_context' else 'unknown' end as category from own left join past on own.channel = past.channel and own.s = past.s")
+def q_failure_atlas(spark, sf):
+    from ..operators.outcomes import event_outcomes
+
+    s = views.scored_series(spark, sf)
+    return event_outcomes(s, views.truth_windows(s), ["channel"], 4.0).select("channel", "start", r6("top"), "category")
+
+
+GRID = [(i, t, n) for i, (t, n) in enumerate((t, n) for t in (2.0, 2.5, 3.0, 3.5) for n in (1, 2, 3))]
+
+
+@query(f"with {TRUTH}, grid as (select * from (values {', '.join(f'({i}, {t}::double, {n})' for i, t, n in GRID)}) g(trial, threshold, least)), rn as (select trial, channel, min(t) as s, max(t) as e from (select trial, least, channel, t, t - row_number() over (partition by trial, channel order by t) as g from scored cross join grid where score >= threshold) group by trial, channel, g, least having max(t) - min(t) + 1 >= least), ct as (select trial, (select count(*) from truth v where exists (select 1 from rn r where r.trial = grid.trial and r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as tp, (select count(*) from rn r where r.trial = grid.trial and not exists (select 1 from truth v where r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as fp, (select count(*) from truth) as ev, (case when threshold <> 2.0 then 1 else 0 end + case when least <> 1 then 1 else 0 end) as cx from grid), f as (select *, case when tp > 0 then 2.0::double * tp / (tp + fp + ev) else 0 end as f1 from ct) select trial::bigint as trial, tp, fp, round(f1, 6) + 0.0 as f1, row_number() over (order by round(f1, 3) desc, cx, fp, trial) as place from f qualify place <= 5")
+def q_config_rank(spark, sf):
+    from ..operators.outcomes import ranked, trials
+
+    s = views.scored_series(spark, sf)
+    return ranked(trials(s, views.truth_windows(s), GRID), 5).select(F.col("trial").cast("long"), "tp", "fp", r6("f1"), "place")
+
+
+@query(f"with {REPLAY}, l as (select t, ts, lag(ts) over (order by t) as before, event, t - row_number() over (partition by event order by t) as g from rp) select count(case when ts <= before then 1 end) as unordered, count(distinct case when event then g end) as episodes, count(case when event then 1 end) as event_frames from l")
+def q_episode_validate(spark, sf):
+    from pyspark.sql import Window
+
+    r = views.replay(spark, sf)
+    late = r.withColumn("before", F.lag("ts").over(Window.orderBy("t"))).agg(F.count_if(F.col("ts") <= F.col("before")).alias("unordered"), F.count_if("event").alias("event_frames"))
+    return late.join(sequences.runs(r.withColumn("all", F.lit(1)), ["all"], "event").agg(F.count("*").alias("episodes")))
+
+
+@query(f"with {DAILY}, f as (select channel, greatest(1.4826::double * median(abs(x - c)), 1e-9::double) as scale from daily join (select channel, median(x) as c from daily where split = 'train' group by all) using (channel) where split = 'train' group by channel) select channel, t, case when t % 400 = 200 then 'spike' when t % 400 between 300 and 319 then 'shift' else 'none' end as kind, round(x + scale * case when t % 400 = 200 then 8 when t % 400 between 300 and 319 then 3 else 0 end, 4) + 0.0 as x from daily join f using (channel)")
+def q_inject(spark, sf):
+    s = views.daily_series(spark, sf)
+    base = blocks.centre_and_scale(s.where("split = 'train'"), ["channel"], "x")
+    k = F.col("t") % 400
+    kind = F.when(k == 200, "spike").when(k.between(300, 319), "shift").otherwise("none")
+    return s.join(F.broadcast(base), "channel").withColumn("kind", kind).select("channel", "t", "kind", (F.round(F.col("x") + F.col("scale") * F.when(F.col("kind") == "spike", 8).when(F.col("kind") == "shift", 3).otherwise(0), 4) + 0.0).alias("x"))
+
+
+@query()
+def q_bootstrap_ci(spark, sf):
+    from ..operators.outcomes import bootstrap
+
+    return bootstrap(evaluation.channel_metrics(*alarm_runs(spark, sf), ["channel"]), spark)
+
+
+@query()
+def q_pca_residual(spark, sf):
+    from ..operators.outcomes import pca_residuals
+
+    return pca_residuals(views.scored_series(spark, sf)).select("channel", "t", r6("score"))
