@@ -31,6 +31,8 @@ SHORT = 8
 SCAN = 4
 #: A shingle in more than this part of a batch of sets counts as frequent, and comes last in the order.
 FREQUENT = 0.002
+#: Ranges of hashes in which a set's elements are counted: two sets share at most the sum of the smaller counts.
+RANGES = 128
 #: Elements of sets that are compared at once.
 BLOCK = 1 << 20
 
@@ -179,8 +181,23 @@ def linked(folder: str, percent: int):
         for x, y in zip(doc[ok].tolist(), doc[head[ok]].tolist()):  # the smallest set stands for its group: what does not link with it links with none
             joined.join(x, y)
         a.append(doc[ok]), b.append(doc[head[ok]])
-        near = lambda i, j: 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         lists = shared[first] < 0
+        many = np.flatnonzero(np.repeat(lists & (length > 1), length))
+        _, one, which = np.unique(doc[many], return_index=True, return_inverse=True)
+        counts = np.zeros((len(one), RANGES), np.int32)
+        for x, y in enumerate(many[one]):
+            counts[x] = np.bincount((read(file[y], offset[y], n[y]) >> flat.U(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
+        of = np.zeros(len(pdf), np.int64)
+        of[many] = which
+
+        def near(i, j):
+            """Whether the sizes, and the counts in ranges, allow a link."""
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = (np.broadcast_to(x, ok.shape)[ok] for x in (i, j))
+            most = np.concatenate([np.minimum(counts[of[i[z : z + 4096]]], counts[of[j[z : z + 4096]]]).sum(1) for z in range(0, len(i), 4096)]) if len(i) else np.zeros(0, np.int64)
+            ok[ok] = 100 * most >= percent * (n[i] + n[j] - most)
+            return ok
+
         for size in range(2, SHORT + 1):
             start = first[lists & (length == size)]
             if not len(start):
@@ -200,17 +217,16 @@ def linked(folder: str, percent: int):
                     a.append(doc[x : x + 1]), b.append(doc[y : y + 1])
         for s, size in zip(first[lists & (length > SHORT)], length[lists & (length > SHORT)]):
             at = np.arange(s, s + size)
-            sets = [read(file[x], offset[x], n[x]) for x in at]
-            h, which, c = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            central = np.add.reduceat(c[which], np.cumsum([0] + [len(x) for x in sets[:-1]])) / n[at]
-            order = np.argsort(-central, kind="stable")  # what most of a group has in common is tried first
+            own = counts[of[at]] / n[at, None]
+            order = np.argsort(np.abs(own - np.median(own, axis=0)).sum(1), kind="stable")  # the middle of a group is tried first
             top = np.array([joined.top(x) for x in doc[at].tolist()])
             for k, p in enumerate(order):
                 rest = order[k + 1 :]
-                rest = rest[near(at[rest], at[p]) & (top[rest] != top[p])]
+                rest = rest[top[rest] != top[p]]
+                rest = rest[near(at[rest], at[p : p + 1])] if len(rest) else rest
                 if not len(rest):
                     continue
-                both = shared_counts(sets[p], [sets[x] for x in rest])
+                both = shared_counts(read(file[at[p]], offset[at[p]], n[at[p]]), [read(file[x], offset[x], n[x]) for x in at[rest]])
                 hit = rest[100 * both >= percent * (n[at[rest]] + n[at[p]] - both)]
                 if len(hit):
                     for x in doc[at[hit]].tolist():
