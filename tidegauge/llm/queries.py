@@ -76,3 +76,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .sql import SQL
+
+    return dict(SQL)
