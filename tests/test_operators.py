@@ -121,6 +121,6 @@ def test_files(spark, tmp_path):
     text = "# files\n" + "".join(f"{r['sha256']}  {r['path']}\n" for r in own.collect()) + "0" * 64 + "  test/gone.npy\n"
     (tmp_path / "manifest").write_text(text)
     assert tuple(files.verified(files.read_manifest(spark, str(tmp_path / "manifest")), own).first()) == (1, 0)
-    (tmp_path / "labels.csv").write_text('chan_id,spacecraft,anomaly_sequences,class,num_values\nA-2,SMAP,"[[200, 260], [255, 270]]","[point, contextual]",350\n')
+    (tmp_path / "labels.csv").write_text('chan_id,spacecraft,anomaly_sequences,class,num_values\nA-2,one,"[[200, 260], [255, 270]]","[point, contextual]",350\n')
     got = sequences.merged_windows(files.read_labels(spark, str(tmp_path / "labels.csv")), ["channel"]).first()
     assert (got["start"], got["end"], got["class"]) == (200, 270, "contextual+point")
