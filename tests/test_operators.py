@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import detectors, evaluation, outcomes, sequences
-from tidegauge.sources import files, scenarios
+from tidegauge.plans import catalog
+from tidegauge.sources import files, scenarios, views
 from tidegauge.streaming.pot import Threshold
 from tidegauge.streaming.windows import windowed
 
@@ -124,3 +125,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "labels.csv").write_text('chan_id,spacecraft,anomaly_sequences,class,num_values\nA-2,one,"[[200, 260], [255, 270]]","[point, contextual]",350\n')
     got = sequences.merged_windows(files.read_labels(spark, str(tmp_path / "labels.csv")), ["channel"]).first()
     assert (got["start"], got["end"], got["class"]) == (200, 270, "contextual+point")
+
+
+def test_replay_holds_all_events(spark):
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    got = catalog.QUERIES["q_replay_metrics_all"](spark, sf).collect()
+    assert sum(r["frames"] for r in got) == n == views.replay(spark, sf).count()
+    assert catalog.QUERIES["q_episode_validate_all"](spark, sf).first()["event_frames"] == spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").count()

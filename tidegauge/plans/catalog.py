@@ -300,16 +300,35 @@ def q_holm(spark, sf):
 
 
 REPLAY = "rp as (select row_number() over (order by ts, event_id) - 1 as t, ts, value as x, event_type = 'error' as event, case when day(ts) % 2 = 0 then 'even' else 'odd' end as regime from events where user_id < 20)"
+REPLAY_ALL = "rp as (select row_number() over (order by ts, event_id) - 1 as t, ts, value as x, event_type = 'error' as event, case when day(ts) % 2 = 0 then 'even' else 'odd' end as regime from events)"
+#: The user ids of REPLAY; the queries ending in _all run over every user.
+SUBSET = 20
 
 
-@query(f"with {REPLAY}, q as (select regime, t, t - row_number() over (partition by regime order by t) as g from rp where x >= 60::double and not event), ep as (select regime, count(distinct g) as episodes from q group by all) select regime, count(*) as frames, count(case when not event and x >= 60::double then 1 end) as false_frames, any_value(episodes) as false_episodes, round(count(case when event and x >= 60::double then 1 end)::double / count(case when event then 1 end), 6) + 0.0 as event_rate from rp join ep using (regime) group by regime")
-def q_replay_metrics(spark, sf):
-    r = views.replay(spark, sf).withColumn("alarm", (F.col("x") >= 60.0) & ~F.col("event"))
+def replay_metrics(r: DataFrame) -> DataFrame:
+    r = r.withColumn("alarm", (F.col("x") >= 60.0) & ~F.col("event"))
     episodes = sequences.runs(r, ["regime"]).groupBy("regime").agg(F.count("*").alias("false_episodes"))
     out = r.groupBy("regime").agg(F.count("*").alias("frames"), F.count_if("alarm").alias("false_frames"), C.ratio(F.count_if(F.col("event") & (F.col("x") >= 60.0)), F.count_if("event")).alias("event_rate"))
     return out.join(episodes, "regime").select("regime", "frames", "false_frames", "false_episodes", r6("event_rate"))
 
 
+def episode_validate(r: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    late = r.withColumn("before", F.lag("ts").over(Window.orderBy("t"))).agg(F.count_if(F.col("ts") <= F.col("before")).alias("unordered"), F.count_if("event").alias("event_frames"))
+    return late.join(sequences.runs(r.withColumn("all", F.lit(1)), ["all"], "event").agg(F.count("*").alias("episodes")))
+
+
+@query(f"with {REPLAY}, q as (select regime, t, t - row_number() over (partition by regime order by t) as g from rp where x >= 60::double and not event), ep as (select regime, count(distinct g) as episodes from q group by all) select regime, count(*) as frames, count(case when not event and x >= 60::double then 1 end) as false_frames, any_value(episodes) as false_episodes, round(count(case when event and x >= 60::double then 1 end)::double / count(case when event then 1 end), 6) + 0.0 as event_rate from rp join ep using (regime) group by regime")
+def q_replay_metrics(spark, sf):
+    return replay_metrics(views.replay(spark, sf, SUBSET))
+
+
+@query(f"with {REPLAY_ALL}, q as (select regime, t, t - row_number() over (partition by regime order by t) as g from rp where x >= 60::double and not event), ep as (select regime, count(distinct g) as episodes from q group by all) select regime, count(*) as frames, count(case when not event and x >= 60::double then 1 end) as false_frames, any_value(episodes) as false_episodes, round(count(case when event and x >= 60::double then 1 end)::double / count(case when event then 1 end), 6) + 0.0 as event_rate from rp join ep using (regime) group by regime")
+def q_replay_metrics_all(spark, sf):
+    return replay_metrics(views.replay(spark, sf))
+
+
 @query(f"with {DAILY}, n as (select channel, count(*) as n from daily group by all) select channel, t, case when t < n - floor(0.3::double * n) - 128 then 'fit' when t >= n - floor(0.3::double * n) then 'val' else 'gap' end as part from daily join n using (channel)")
 def q_chrono_split(spark, sf):
     from pyspark.sql import Window
@@ -394,11 +413,12 @@ def q_config_rank(spark, sf):
 
 @query(f"with {REPLAY}, l as (select t, ts, lag(ts) over (order by t) as before, event, t - row_number() over (partition by event order by t) as g from rp) select count(case when ts <= before then 1 end) as unordered, count(distinct case when event then g end) as episodes, count(case when event then 1 end) as event_frames from l")
 def q_episode_validate(spark, sf):
-    from pyspark.sql import Window
+    return episode_validate(views.replay(spark, sf, SUBSET))
 
-    r = views.replay(spark, sf)
-    late = r.withColumn("before", F.lag("ts").over(Window.orderBy("t"))).agg(F.count_if(F.col("ts") <= F.col("before")).alias("unordered"), F.count_if("event").alias("event_frames"))
-    return late.join(sequences.runs(r.withColumn("all", F.lit(1)), ["all"], "event").agg(F.count("*").alias("episodes")))
+
+@query(f"with {REPLAY_ALL}, l as (select t, ts, lag(ts) over (order by t) as before, event, t - row_number() over (partition by event order by t) as g from rp) select count(case when ts <= before then 1 end) as unordered, count(distinct case when event then g end) as episodes, count(case when event then 1 end) as event_frames from l")
+def q_episode_validate_all(spark, sf):
+    return episode_validate(views.replay(spark, sf))
 
 
 @query(f"with {DAILY}, f as (select channel, greatest(1.4826::double * median(abs(x - c)), 1e-9::double) as scale from daily join (select channel, median(x) as c from daily where split = 'train' group by all) using (channel) where split = 'train' group by channel) select channel, t, case when t % 400 = 200 then 'spike' when t % 400 between 300 and 319 then 'shift' else 'none' end as kind, round(x + scale * case when t % 400 = 200 then 8 when t % 400 between 300 and 319 then 3 else 0 end, 4) + 0.0 as x from daily join f using (channel)")

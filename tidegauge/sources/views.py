@@ -64,8 +64,8 @@ def scored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(base), "channel").withColumn("z", z).withColumn("score", F.abs(z + F.when(inside, 3.0).otherwise(0.0)))
 
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a few users in one recorded order: errors are labelled, the regime is the day's parity."""
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+def replay(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+    """All events, or those of user ids ``below`` a bound, in one recorded order: errors are labelled, the regime is the day's parity."""
+    e = table(spark, sf_dir, "events").where(F.lit(True) if below is None else F.col("user_id") < below)
     i = F.row_number().over(Window.orderBy("ts", "event_id")) - 1  # a replay is one ordered recording
     return e.select(i.cast("long").alias("t"), "ts", F.col("value").alias("x"), (F.col("event_type") == "error").alias("event"), F.when(F.dayofmonth("ts") % 2 == 0, "even").otherwise("odd").alias("regime"))
