@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import hnsw, ivfpq, queries
 
@@ -88,3 +89,43 @@ def test_near_duplicates(embeddings, odd):
 def test_near_duplicates_of_nothing(odd):
     assert hnsw.near_duplicates(odd.where("false")).count() == 0
     assert hnsw.near_duplicates(odd.where("vec_id = 702")).collect()[0]["component_id"] == 702
+
+
+def narrow(monkeypatch, least):
+    """Searches by a beam of under ``least`` lose the links of classes that have less than ten."""
+    true, widths = hnsw.found, []
+
+    def found(reps, shards, near, width, *more, **named):
+        widths.append(width)
+        out = true(reps, shards, near, width, *more, **named)
+        return out if width >= least else out.selectExpr("a", "b", "case when n < 10 then 0L else n end as n")
+
+    monkeypatch.setattr(hnsw, "found", found)
+    return widths
+
+
+def pairs(rnd, first, n):
+    """Rows of ``n`` pairs of near copies, each far from all others."""
+    for i in range(n):
+        v = rnd.normal(size=32)
+        yield first + 2 * i, v.tolist()
+        yield first + 2 * i + 1, (v + rnd.normal(size=32) * 0.05).tolist()
+
+
+def test_audit_is_not_won_by_a_hot_group(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    hot = rnd.normal(size=32)
+    rows = [(i, (hot + rnd.normal(size=32) * 0.05).tolist()) for i in range(400)] + list(pairs(rnd, 1000, 100))
+    df, widths = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), narrow(monkeypatch, 128)
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(df).collect()}
+    assert widths[-1] >= 128 and all(got[i] == n for i, (n, _) in links(df).items())
+
+
+def test_audit_of_rare_near_copies(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    order = [r["id"] for r in spark.range(2000).orderBy(F.xxhash64("id", F.lit(3)), "id").collect()]  # the audit's: pairs come last
+    rows = [(order[i], v) for i, v in [*((i, rnd.normal(size=32).tolist()) for i in range(1996)), *pairs(rnd, 1996, 2)]]
+    df, widths = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), narrow(monkeypatch, 128)
+    monkeypatch.setattr(hnsw, "AUDITS", 256, raising=False)  # the pairs are not sampled: planted vectors decide
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(df).collect()}
+    assert widths[-1] >= 128 and all(got[i] == n for i, (n, _) in links(df).items())

@@ -5,7 +5,9 @@ batches: each is searched in the graph so far, neighbours are chosen so that non
 before than to the node, and full lists are chosen again. Every class is searched in every shard:
 tasks map the graphs into memory and search a block of queries in lock step. A beam that ends full of
 links is widened for its query; the first width is doubled until an audit, brute force for a
-sample over all classes, finds the recall. Links are verified by cosine in double precision. The components
+sample over all classes, finds the recall as the mean of each class's found share, for classes of few links
+and of many on their own. The sample grows until enough of it has few links; where such classes are too rare,
+vectors planted near sampled classes are asked as well. Links are verified by cosine in double precision. The components
 are joined without gathering links: a block of queries sends a spanning forest of its links.
 """
 
@@ -24,8 +26,10 @@ from .vectors import matrix, precision, valid
 UP, DOWN, BUILD, BEAM = 12, 24, 40, 32
 #: Classes of a shard, on average; shards at least.
 ROWS, SHARDS = 100_000, 6
-#: Classes that an audit compares with brute force, and the part of their links that must be found.
-AUDIT, RECALL = 256, 0.995
+#: Classes that an audit compares with brute force, at first and at most, and the part of their links that must be found.
+AUDIT, AUDITS, RECALL = 256, 16_384, 0.995
+#: Links that are few (a beam seldom fills with them), and audited classes that should have so few.
+FEW, ENOUGH = 32, 64
 #: Marks of visited nodes that a block of queries may take.
 MARKS = 1 << 22
 
@@ -208,8 +212,8 @@ class Shards:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFrame:
-    """Rows (a, b, n): for each class a its links n (b null), and a forest of the links of each block (n null)."""
+def found(reps: DataFrame, shards: Shards, least: float, width: int, copies: bool = True) -> DataFrame:
+    """Rows (a, b, n): for each class a its links n (b null), to rows or else to classes, and a forest of the links of each block (n null)."""
 
     def run(batches):
         opened = list(shards.open())
@@ -218,7 +222,7 @@ def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFram
             for i in range(0, len(ids), 1024):
                 own = ids[i : i + 1024]
                 row, to, times = shards.links(opened, own, raw[i : i + 1024], least, width)
-                n = np.bincount(row, weights=times, minlength=len(own)).astype(np.int64)
+                n = np.bincount(row, weights=times if copies else None, minlength=len(own)).astype(np.int64)
                 node, root = roots(own[row], to)
                 node, root = node[node != root], root[node != root]
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, node]), pa.array(np.r_[own, root], mask=np.r_[np.ones(len(own), bool), np.zeros(len(node), bool)]), pa.array(np.r_[n, node], mask=np.r_[np.zeros(len(own), bool), np.ones(len(node), bool)])], ["a", "b", "n"])
@@ -226,20 +230,65 @@ def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFram
     return reps.select("vec_id", "embedding").mapInArrow(run, "a long, b long, n long")
 
 
-def true_links(reps: DataFrame, ids: np.ndarray, raw: np.ndarray, least: float) -> int:
-    """How many links a few classes have, found over all classes in blocks."""
+def true_links(reps: DataFrame, ids: np.ndarray, raw: np.ndarray, least: float) -> np.ndarray:
+    """To how many classes each of a few vectors is linked, found over all classes in blocks."""
     q = raw.astype(np.float64)
     q /= np.sqrt((q * q).sum(1, keepdims=True))
+    step = max(1, MARKS // len(q))
 
     def run(batches):
+        n = np.zeros(len(q), np.int64)
         for rows in batches:
             x = matrix(rows.column("embedding"), q.shape[1]).astype(np.float64)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            own, times = rows.column("vec_id").to_numpy(), rows.column("times").to_numpy()
-            n = sum(int(((x[a : a + 2048] @ q.T >= least) & (own[a : a + 2048, None] != ids)).T.dot(times[a : a + 2048]).sum()) for a in range(0, len(own), 2048))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            own = rows.column("vec_id").to_numpy()
+            for a in range(0, len(own), step):
+                n += ((x[a : a + step] @ q.T >= least) & (own[a : a + step, None] != ids)).sum(0)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["i", "n"])
+
+    want = np.zeros(len(q), np.int64)
+    for r in reps.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each of the few
+        want[r["i"]] = r["n"]
+    return want
+
+
+def planted(asked: pa.Table, raw: np.ndarray, least: float) -> pa.Table:
+    """A vector near each asked class, of a cosine just over ``least``, under an id that is not the class's."""
+    u = raw / np.sqrt((raw.astype(np.float64) ** 2).sum(1, keepdims=True))
+    g = np.random.default_rng(0).normal(size=u.shape)
+    g -= (g * u).sum(1, keepdims=True) * u
+    g /= np.maximum(np.sqrt((g * g).sum(1, keepdims=True)), 1e-300)
+    c = least + 0.1 * (1 - least)
+    near = (c * u + np.sqrt(1 - c * c) * g).tolist()
+    return pa.table({"vec_id": pa.array(~asked.column("vec_id").to_numpy()), "embedding": pa.array(near, asked.schema.field("embedding").type)})
+
+
+def audited(reps: DataFrame, total: int, d: int, least: float) -> list[tuple[pa.Table, np.ndarray]]:
+    """Vectors (vec_id, embedding) to be asked in an audit, and to how many classes each is linked; the classes, then planted ones."""
+    size, asked, want = AUDIT, None, np.zeros(0, np.int64)
+    while True:
+        asked = reps.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(size).toArrow()
+        ids, raw = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"), d)
+        want = np.r_[want, true_links(reps, ids[len(want) :], raw[len(want) :], least)]
+        enough = ((want > 0) & (want <= FEW)).sum() >= ENOUGH
+        if enough or size >= min(total, AUDITS):
+            break
+        size = min(4 * size, AUDITS)
+    linked = asked.filter(pa.array(want > 0))
+    parts = [(linked, want[want > 0])] if len(linked) else []
+    if not enough and d > 1:
+        near = planted(asked.slice(0, AUDIT), raw[:AUDIT], least)
+        more = true_links(reps, near.column("vec_id").to_numpy(), matrix(near.column("embedding"), d), least)
+        if more.any():
+            parts.append((near.filter(pa.array(more > 0)), more[more > 0]))
+    return parts
+
 
-    return reps.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+def met(got: np.ndarray, want: np.ndarray) -> bool:
+    """Whether the recall is reached, as a mean over vectors, by those of few links and by the others."""
+    share, few = got / want, want <= FEW
+    return all(share[m].mean() >= RECALL for m in (few, ~few) if m.any())
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
@@ -269,11 +318,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
 
     dealt = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards.shards)).cast("int"))
     dealt.groupBy("shard").applyInArrow(build, "shard int, n long").write.mode("overwrite").parquet(f"{folder}/built")
-    asked = reps.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(AUDIT).toArrow()
-    ids, raw = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"), d)
-    want, some, width = true_links(reps, ids, raw, least), spark.createDataFrame(asked.select(["vec_id", "embedding"])), BEAM
-    while width < total and (found(some, shards, least, width).agg(F.sum("n")).first()[0] or 0) < RECALL * want:
-        width *= 2
+    width = BEAM
+    for asked, want in audited(reps, total, d, least):
+        some, place = spark.createDataFrame(asked), {int(v): i for i, v in enumerate(asked.column("vec_id").to_numpy())}
+        while width < total:
+            got = np.zeros(len(want), np.int64)
+            for r in found(some, shards, least, width, copies=False).where("b is null").collect():  # a row for each audited vector
+                got[place[r["a"]]] = r["n"]
+            if met(got, want):
+                break
+            width *= 2
     links = store.saved(found(reps.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), shards, least, width), folder, "links")
     for name in ("raw-", "unit-", "near"):
         store.drop(folder, name)
