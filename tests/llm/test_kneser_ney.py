@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tidegauge.llm import kneser_ney
+from tidegauge.llm import kneser_ney, queries
 
 
 def toks(t):
@@ -75,3 +75,14 @@ def test_edges(documents):
     assert out[1]["n_tokens"] == 1 and out[None]["n_known"] == 1 and out[None]["held_out"] is None
     assert kneser_ney.score(documents([]), 2, 7, 2).count() == 0
     assert kneser_ney.score(documents([(None, "a b")]), 2, 7, 2).first()["score"] == 0
+
+
+def test_query_uses_two_words_of_context(spark, tmp_path):
+    texts = [(i, "a b c" if i % 2 else "d b e") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    m = Plain([toks(t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    t = toks("a b c")
+    full = ["<s>", "<s>"] + t
+    want = sum(math.log10(m.p(full[j : j + 2], full[j + 2])) for j in range(len(t)))
+    got = {r["doc_id"]: r["score"] for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[1] == pytest.approx(want)

@@ -44,7 +44,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import score
 
-    return score(table(spark, sf_dir, "documents"), order=2, folds=7, held_out=2)
+    return score(table(spark, sf_dir, "documents"), order=3, folds=7, held_out=2)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
