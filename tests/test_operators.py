@@ -133,3 +133,14 @@ def test_replay_holds_all_events(spark):
     got = catalog.QUERIES["q_replay_metrics_all"](spark, sf).collect()
     assert sum(r["frames"] for r in got) == n == views.replay(spark, sf).count()
     assert catalog.QUERIES["q_episode_validate_all"](spark, sf).first()["event_frames"] == spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").count()
+
+
+def test_bootstrap_draws(spark):
+    class Spy:
+        def createDataFrame(self, rows, schema):
+            self.n = len(rows)
+            return spark.createDataFrame(rows, schema)
+
+    channels, spy = spark.createDataFrame([("a", 3, 1, 0), ("b", 1, 2, 2), ("c", 2, 0, 1)], "channel string, tp long, fp long, fn long"), Spy()
+    got = outcomes.bootstrap(channels, spy).first()
+    assert spy.n == 3 * 10_000 and 0 < got["low"] < got["high"] < 1

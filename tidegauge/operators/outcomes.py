@@ -70,7 +70,7 @@ def trials(rows: DataFrame, events: DataFrame, grid: list[tuple[int, float, int]
     return m.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).withColumn("complexity", cost[F.col("trial")])
 
 
-def bootstrap(channels: DataFrame, spark, draws: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap(channels: DataFrame, spark, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """Percentile interval of pooled F1 over channels drawn with replacement; the draws are made by key, the sums in Spark."""
     n = channels.count()
     place = channels.withColumn("place", F.row_number().over(Window.orderBy("channel")) - 1)
