@@ -93,13 +93,18 @@ def test_near_duplicates_of_nothing(odd):
 
 def narrow(monkeypatch, least):
     """Searches by a beam of under ``least`` lose the links of classes that have less than ten."""
-    true, widths = hnsw.found, []
+    true, final, widths = hnsw.counted, hnsw.found, []
 
-    def found(reps, shards, near, width, *more, **named):
+    def counted(reps, shards, near, width):
         widths.append(width)
-        out = true(reps, shards, near, width, *more, **named)
-        return out if width >= least else out.selectExpr("a", "b", "case when n < 10 then 0L else n end as n")
+        out = true(reps, shards, near, width)
+        return out if width >= least else out.selectExpr("a", "case when b < 10 then 0L else b end as b")
 
+    def found(reps, shards, near, width):
+        widths.append(width)
+        return final(reps, shards, near, width)
+
+    monkeypatch.setattr(hnsw, "counted", counted)
     monkeypatch.setattr(hnsw, "found", found)
     return widths
 
@@ -129,3 +134,36 @@ def test_audit_of_rare_near_copies(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "AUDITS", 256, raising=False)  # the pairs are not sampled: planted vectors decide
     got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(df).collect()}
     assert widths[-1] >= 128 and all(got[i] == n for i, (n, _) in links(df).items())
+
+
+def test_pairs_join_shards_by_few_rows(spark, monkeypatch):
+    """A large group sends pairs of shard components, not its members; planted pairs over all shards are found, and counted for both ends."""
+    rnd = np.random.default_rng(9)
+    hot, sent, final = rnd.normal(size=32), [], hnsw.found
+    rows = [(i, (hot + rnd.normal(size=32) * 0.05).tolist()) for i in range(2500)] + list(pairs(rnd, 10_000, 400))
+
+    def found(*args):
+        out = hnsw.store.saved(final(*args), args[1].folder, "sent")
+        sent.append(out.where("kind = 1").count())
+        return out
+
+    monkeypatch.setattr(hnsw, "found", found)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df).collect()}
+    want = links(df)
+    few = [i for i, (n, _) in want.items() if i >= 10_000 and n]
+    assert len(few) > 300 and sum(got[i] == want[i] for i in few) >= 0.99 * len(few)
+    assert sum(got[i][1] == 0 for i in range(2500)) >= 2490 and sent[0] < 3 * len(rows)
+    assert all(got[i ^ 1][0] == got[i][0] for i in few)
+
+
+def test_a_link_found_from_one_side_counts_for_both(spark):
+    rows = [(0, 1, 1, 2, 2), (0, 2, 0, 0, 0), (2, 1, 2, 2, 3), (0, 3, 40, 41, 41), (2, 1, 3, 2, 3)]
+    got = hnsw.counts(spark.createDataFrame(rows, "kind long, a long, b long, n long, own long")).collect()
+    assert {r["rep"]: r["n"] for r in got} == {1: 2, 2: 3, 3: 41}
+
+
+def test_cosine_is_the_same_from_both_sides():
+    x = np.random.default_rng(1).normal(size=(50, 8)) * 10.0 ** np.arange(50)[:, None]
+    y = hnsw.even(x)
+    assert np.isfinite((y * y).sum(1)).all() and ((y * y).sum(1) > 0).all()

@@ -7,8 +7,10 @@ tasks map the graphs into memory and search a block of queries in lock step. A b
 links is widened for its query; the first width is doubled until an audit, brute force for a
 sample over all classes, finds the recall as the mean of each class's found share, for classes of few links
 and of many on their own. The sample grows until enough of it has few links; where such classes are too rare,
-vectors planted near sampled classes are asked as well. Links are verified by cosine in double precision. The components
-are joined without gathering links: a block of queries sends a spanning forest of its links.
+vectors planted near sampled classes are asked as well. Links are verified by cosine in double precision, computed alike from
+both sides. A shard first joins its own nodes by the links inside it; a block of queries then sends pairs of such
+shard components only, a spanning forest of them, so no group's links are gathered. Where both ends of a link have few, one that
+was found from one side only counts for both.
 """
 
 from __future__ import annotations
@@ -162,36 +164,48 @@ def search(x: np.ndarray, layers: list[np.ndarray], entry: int, q: np.ndarray, w
     return beam(x, layers[0], q, start, width)
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, scaled by a power of two so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 class Shards:
     def __init__(self, folder: str, d: int, kind: str, shards: int):
         self.folder, self.d, self.kind, self.shards = folder, d, kind, shards
+        self.about: dict[int, tuple[int, int, int]] = {}
 
-    def write(self, s: int, ids: np.ndarray, raw: np.ndarray, times: np.ndarray) -> None:
+    def write(self, s: int, ids: np.ndarray, raw: np.ndarray, times: np.ndarray) -> tuple[int, int, int]:
+        """Returns the numbers of nodes and layers, and the entry."""
         order = np.argsort(ids, kind="stable")
         ids, raw, times = ids[order], raw[order], times[order]
-        x = raw.astype(np.float64)
+        x = even(raw)
         x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
         g = Graph(x, ids)
-        for name, a in (("ids", ids), ("raw", raw.astype(self.kind)), ("unit", x), ("times", times), ("about", np.array([len(g.layers), g.entry]))):
+        for name, a in (("ids", ids), ("raw", raw.astype(self.kind)), ("unit", x), ("times", times)):
             store.put(self.folder, f"{name}-{s}", a)
         for k, near in enumerate(g.layers):
             store.put(self.folder, f"near{k}-{s}", near)
-
-    def open(self):
-        for s in range(self.shards):
-            ids = store.mapped(self.folder, f"ids-{s}", "i8")
-            if len(ids):
-                raw, x = (store.mapped(self.folder, f"{n}-{s}", t).reshape(-1, self.d) for n, t in (("raw", self.kind), ("unit", "f4")))
-                about = store.mapped(self.folder, f"about-{s}", "i8")
-                layers = [store.mapped(self.folder, f"near{k}-{s}", "i4").reshape(len(ids), -1) for k in range(int(about[0]))]
-                yield ids, raw, x, store.mapped(self.folder, f"times-{s}", "i8"), layers, int(about[1])
-
-    def links(self, shards, own: np.ndarray, raw: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs found (row of ``own``, id, how often) with a cosine of ``least`` or more."""
-        exact = raw.astype(np.float64)
-        exact /= np.sqrt((exact * exact).sum(1, keepdims=True))
-        q, out = exact.astype(np.float32), []
-        for ids, vectors, x, times, layers, entry in shards:
+        return len(ids), len(g.layers), g.entry
+
+    def open(self, which=None):
+        """Of each shard with nodes, or those of ``which``: its number, ids, vectors, unit vectors, copies, layers and entry."""
+        for s in sorted(self.about) if which is None else which:
+            n, layers, entry = self.about[s]
+            ids, times = (store.mapped(self.folder, f"{x}-{s}", "i8", n) for x in ("ids", "times"))
+            raw, x = (store.mapped(self.folder, f"{x}-{s}", t, n * self.d).reshape(-1, self.d) for x, t in (("raw", self.kind), ("unit", "f4")))
+            yield s, ids, raw, x, times, [store.mapped(self.folder, f"near{k}-{s}", "i4", n).reshape(n, -1) for k in range(layers)], entry
+
+    def parts(self) -> list[np.ndarray]:
+        """For each shard with nodes, in order, the smallest id that links inside the shard reach from each node."""
+        return [store.mapped(self.folder, f"part-{s}", "i8", self.about[s][0]) for s in sorted(self.about)]
+
+    def links(self, shards, own: np.ndarray, raw: np.ndarray, least: float, width: int) -> tuple[np.ndarray, ...]:
+        """Links found: row of ``own``, index in ``shards`` and node there, of cosines of ``least`` or more."""
+        exact = even(raw)
+        norm = (exact * exact).sum(1)
+        q, out = (exact / np.sqrt(norm)[:, None]).astype(np.float32), []
+        for index, (_, ids, vectors, x, _, layers, entry) in enumerate(shards):
             block = max(1, min(256, MARKS // len(ids)))
             todo, w = np.arange(len(q)), min(width, len(ids))
             while len(todo):
@@ -204,42 +218,95 @@ class Shards:
                     r, c = np.nonzero((sim >= least - 1e-4) & (found >= 0) & ~full[:, None])
                     for z in range(0, len(r), 1 << 14):
                         row, node = at[r[z : z + (1 << 14)]], found[r[z : z + (1 << 14)], c[z : z + (1 << 14)]]
-                        v = vectors[node].astype(np.float64)
-                        cos = (v * exact[row]).sum(1) / np.sqrt((v * v).sum(1))
+                        v = even(vectors[node])
+                        cos = (v * exact[row]).sum(1) / np.sqrt((v * v).sum(1) * norm[row])
                         ok = (cos >= least) & (ids[node] != own[row])
-                        out.append((row[ok], ids[node[ok]], times[node[ok]]))
+                        out.append((row[ok], np.full(int(ok.sum()), index), node[ok]))
                 todo, w = np.concatenate(again), min(4 * w, len(ids))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def found(reps: DataFrame, shards: Shards, least: float, width: int, copies: bool = True) -> DataFrame:
-    """Rows (a, b, n): for each class a its links n (b null), to rows or else to classes, and a forest of the links of each block (n null)."""
+def joined_inside(spark, shards: Shards, least: float, width: int) -> None:
+    """Stores, for each shard, the smallest id that links inside it reach from each node."""
 
     def run(batches):
-        opened = list(shards.open())
         for rows in batches:
-            ids, raw = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), shards.d)
+            for s in rows.column("id").to_pylist():
+                (one,) = shards.open([s])
+                ids, raw, root = one[1], one[2], np.array(one[1])
+                for a in range(0, len(ids), 1024):  # links found so far are kept as each node's smallest id: memory stays bounded
+                    row, _, node = shards.links([one], ids[a : a + 1024], raw[a : a + 1024], least, width)
+                    nodes, low = roots(np.r_[ids[a : a + 1024][row], ids], np.r_[ids[node], root])
+                    root = low[np.searchsorted(nodes, ids)]
+                store.put(shards.folder, f"part-{s}", root)
+            yield pa.RecordBatch.from_arrays([rows.column("id")], ["id"])
+
+    full = spark.createDataFrame([(s,) for s in sorted(shards.about)], "id long").repartition(len(shards.about), "id")
+    full.mapInArrow(run, "id long").write.mode("overwrite").parquet(f"{shards.folder}/inside")
+
+
+COUNT, JOIN, LINK = range(3)
+
+
+def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFrame:
+    """Rows (kind, a, b, n, own): for each class a its links to rows n, and to classes b (COUNT); pairs that join shard components (JOIN); of classes with few links each link, the copies of b and of a (LINK)."""
+
+    def run(batches):
+        opened, parts = list(shards.open()), shards.parts()
+        for rows in batches:
+            ids, raw, copies = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), shards.d), rows.column("times").to_numpy()
             for i in range(0, len(ids), 1024):
                 own = ids[i : i + 1024]
-                row, to, times = shards.links(opened, own, raw[i : i + 1024], least, width)
-                n = np.bincount(row, weights=times if copies else None, minlength=len(own)).astype(np.int64)
-                node, root = roots(own[row], to)
-                node, root = node[node != root], root[node != root]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, node]), pa.array(np.r_[own, root], mask=np.r_[np.ones(len(own), bool), np.zeros(len(node), bool)]), pa.array(np.r_[n, node], mask=np.r_[np.zeros(len(own), bool), np.ones(len(node), bool)])], ["a", "b", "n"])
+                row, index, node = shards.links(opened, own, raw[i : i + 1024], least, width)
+                to, times, part = np.zeros((3, len(row)), np.int64)
+                mine = own.copy()
+                for x, one in enumerate(opened):
+                    at = index == x
+                    to[at], times[at], part[at] = one[1][node[at]], one[4][node[at]], parts[x][node[at]]
+                    here = np.minimum(np.searchsorted(one[1], own), len(one[1]) - 1)
+                    mine = np.where(one[1][here] == own, parts[x][here], mine)
+                n, m = np.bincount(row, weights=times, minlength=len(own)).astype(np.int64), np.bincount(row, minlength=len(own))
+                a, b = roots(np.r_[mine[row], own], np.r_[part, mine])
+                few = m[row] <= FEW
+                a, b = a[a != b], b[a != b]
+                columns = [np.repeat([COUNT, JOIN, LINK], [len(own), len(a), int(few.sum())]), np.r_[own, a, own[row[few]]], np.r_[m, b, to[few]], np.r_[n, b, times[few]], np.r_[n, b, copies[i : i + 1024][row[few]]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "a", "b", "n", "own"])
+
+    return reps.select("vec_id", "embedding", "times").mapInArrow(run, "kind long, a long, b long, n long, own long")
+
+
+def counted(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFrame:
+    """Rows (a, b): to how many classes each of a few vectors is found to be linked."""
+
+    def run(batches):
+        opened = list(shards.open())
+        for rows in batches:
+            own = rows.column("vec_id").to_numpy()
+            row = shards.links(opened, own, matrix(rows.column("embedding"), shards.d), least, width)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(row, minlength=len(own)).astype(np.int64))], ["a", "b"])
+
+    return reps.select("vec_id", "embedding").mapInArrow(run, "a long, b long")
+
 
-    return reps.select("vec_id", "embedding").mapInArrow(run, "a long, b long, n long")
+def counts(links: DataFrame) -> DataFrame:
+    """Rows (rep, n): the links of each class, those of both ends' few links counted for both although one side only found them."""
+    every = links.where(F.col("kind") == COUNT).select(F.col("a").alias("rep"), "n", F.col("b").alias("m"))
+    pair = links.where(F.col("kind") == LINK)
+    both = pair.select("a", "b", F.lit(1).alias("here"), F.col("n").alias("t")).union(pair.select("b", "a", F.lit(0), "own"))
+    missed = both.groupBy("a", "b").agg(F.max("here").alias("here"), F.max("t").alias("t")).where("here = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("t").alias("more"))
+    return every.join(missed, "rep", "left").select("rep", (F.col("n") + F.when(F.col("m") <= FEW, F.coalesce("more", F.lit(0))).otherwise(0)).alias("n"))
 
 
 def true_links(reps: DataFrame, ids: np.ndarray, raw: np.ndarray, least: float) -> np.ndarray:
     """To how many classes each of a few vectors is linked, found over all classes in blocks."""
-    q = raw.astype(np.float64)
+    q = even(raw)
     q /= np.sqrt((q * q).sum(1, keepdims=True))
     step = max(1, MARKS // len(q))
 
     def run(batches):
         n = np.zeros(len(q), np.int64)
         for rows in batches:
-            x = matrix(rows.column("embedding"), q.shape[1]).astype(np.float64)
+            x = even(matrix(rows.column("embedding"), q.shape[1]))
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             own = rows.column("vec_id").to_numpy()
             for a in range(0, len(own), step):
@@ -255,7 +322,8 @@ def true_links(reps: DataFrame, ids: np.ndarray, raw: np.ndarray, least: float)
 
 def planted(asked: pa.Table, raw: np.ndarray, least: float) -> pa.Table:
     """A vector near each asked class, of a cosine just over ``least``, under an id that is not the class's."""
-    u = raw / np.sqrt((raw.astype(np.float64) ** 2).sum(1, keepdims=True))
+    u = even(raw)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
     g = np.random.default_rng(0).normal(size=u.shape)
     g -= (g * u).sum(1, keepdims=True) * u
     g /= np.maximum(np.sqrt((g * g).sum(1, keepdims=True)), 1e-300)
@@ -304,7 +372,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
     fine = fine & F.col("vec_id").isNotNull()
     kept = rows.where(fine)
     folder = store.shared_dir(spark, "hnsw")
-    reps = store.saved(kept.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), folder, "classes")
+    key = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]  # equal vectors have equal keys; 128 bits tell others apart
+    reps = store.saved(kept.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), folder, "classes")
     total = reps.count()
     alone = lambda rows: rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.when(F.col("vec_id").isNotNull(), True).alias("kept"))
     if not total:
@@ -313,26 +382,28 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        shards.write(s, table.column("vec_id").to_numpy(), matrix(table.column("embedding"), d), table.column("times").to_numpy())
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(table)], pa.int64())})
+        n, layers, entry = shards.write(s, table.column("vec_id").to_numpy(), matrix(table.column("embedding"), d), table.column("times").to_numpy())
+        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([n], pa.int64()), "layers": pa.array([layers], pa.int64()), "entry": pa.array([entry], pa.int64())})
 
-    dealt = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards.shards)).cast("int"))
-    dealt.groupBy("shard").applyInArrow(build, "shard int, n long").write.mode("overwrite").parquet(f"{folder}/built")
+    dealt = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards.shards)).cast("int")).select("vec_id", "times", "embedding", "shard")
+    dealt.groupBy("shard").applyInArrow(build, "shard int, n long, layers long, entry long").write.mode("overwrite").parquet(f"{folder}/built")
+    shards.about = {r["shard"]: (r["n"], r["layers"], r["entry"]) for r in spark.read.parquet(f"{folder}/built").collect()}  # a row for each shard
     width = BEAM
     for asked, want in audited(reps, total, d, least):
         some, place = spark.createDataFrame(asked), {int(v): i for i, v in enumerate(asked.column("vec_id").to_numpy())}
         while width < total:
             got = np.zeros(len(want), np.int64)
-            for r in found(some, shards, least, width, copies=False).where("b is null").collect():  # a row for each audited vector
-                got[place[r["a"]]] = r["n"]
+            for r in counted(some, shards, least, width).collect():  # a row for each audited vector
+                got[place[r["a"]]] = r["b"]
             if met(got, want):
                 break
             width *= 2
-    links = store.saved(found(reps.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), shards, least, width), folder, "links")
+    joined_inside(spark, shards, least, width)
+    links = store.saved(found(reps.repartition(4 * store.parts_for(reps, 16 << 20), "vec_id"), shards, least, width), folder, "links")
     for name in ("raw-", "unit-", "near"):
         store.drop(folder, name)
-    cc = components(links.where("b is not null").select("a", "b"), folder)
-    own = links.where("b is null").select(F.col("a").alias("rep"), "n").join(cc.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    of = reps.select("embedding", F.col("vec_id").alias("rep"), "times").join(own, "rep").select("embedding", (F.col("n") + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    full = kept.join(of, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    cc = components(links.where(F.col("kind") == JOIN).select("a", "b"), folder)
+    own = counts(links).join(cc.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    of = reps.select("k1", "k2", F.col("vec_id").alias("rep"), "times").join(own, "rep").select("k1", "k2", (F.col("n") + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    full = kept.select("vec_id", *key).join(of, ["k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return full.unionByName(alone(rows.where(~fine)))

@@ -5,7 +5,7 @@ hash of their id over shards (so a crowded list lies in all of them), each sorte
 the shared folder. Query tasks map the shards into memory, rank the probed lists' rows by
 asymmetric distance tables and rerank the best by exact distance in double precision. A sample of
 the queries is compared with brute force over all rows, and probes and reranked rows are doubled until
-the recall is reached.
+the recall is reached; a query whose lists hold too few rows looks into more of them.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
 class Index:
     def __init__(self, folder: str, d: int, kind: str, shards: int):
         self.folder, self.d, self.kind, self.shards = folder, d, kind, shards
+        self.sizes: dict[int, int] = {}
         self.parts = np.array_split(np.arange(d), min(16, d))
 
     def fit(self, x: np.ndarray, lists: int) -> None:
@@ -68,10 +69,9 @@ class Index:
 
     def open(self) -> list[tuple[np.ndarray, ...]]:
         out = []
-        for s in range(self.shards):
-            ids, raw, codes, same, cut = (store.mapped(self.folder, f"{n}-{s}", t) for n, t in (("ids", "i8"), ("raw", self.kind), ("codes", "u1"), ("same", "f4"), ("cut", "i8")))
-            if len(ids):
-                out.append((ids, raw.reshape(-1, self.d), codes.reshape(len(ids), -1), same, cut))
+        for s, n in sorted(self.sizes.items()):
+            ids, raw, codes, same, cut = (store.mapped(self.folder, f"{x}-{s}", t, least) for x, t, least in (("ids", "i8", n), ("raw", self.kind, n * self.d), ("codes", "u1", n * len(self.parts)), ("same", "f4", n), ("cut", "i8", len(self.coarse) + 1)))
+            out.append((ids, raw.reshape(-1, self.d), codes.reshape(len(ids), -1), same, cut))
         return out
 
     def search(self, shards, query: int, v: np.ndarray, k: int, probes: int, rerank: int) -> list[tuple[int, int, int, float]]:
@@ -92,6 +92,8 @@ class Index:
             diff = raw[at].astype(np.float64) - exact
             got_ids.append(own), got.append(np.sqrt((diff * diff).sum(1)))
         ids, score = np.concatenate(got_ids), np.concatenate(got)
+        if len(ids) < k and probes < len(self.coarse):  # too few in the lists probed: this query looks into more
+            return self.search(shards, query, v, k, min(2 * probes, len(self.coarse)), rerank)
         best = np.lexsort((ids, score))[:k]
         return [(query, r, int(ids[b]), float(score[b])) for r, b in enumerate(best, 1)]
 
@@ -166,6 +168,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int"))
     dealt.groupBy("shard").applyInArrow(build, "shard int, n long").write.mode("overwrite").parquet(f"{index.folder}/built")
+    index.sizes = {r["shard"]: r["n"] for r in spark.read.parquet(f"{index.folder}/built").collect()}  # a row for each shard
     queries = kept.where(F.col("vec_id") % every == 0)
     asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).toArrow()
     audit = list(zip(asked.column("vec_id").to_pylist(), matrix(asked.column("embedding"), d)))
