@@ -1,15 +1,17 @@
 """WARC archives: pages written as response and revisit records, in segments, and read back.
 
-A record's block is an HTTP answer in chunked transfer framing. A block over ``SEGMENT`` bytes is cut,
+A record's block is an HTTP answer in chunked transfer framing. A block over a segment's bytes is cut,
 between characters, into a first record and continuation records that name its id as origin, are
 numbered, and give the total length in the last. Spark's text writer puts the records into
 compressed files, two line ends after each as the format asks, so a task that runs again leaves no half
-file. Reading parses each file, groups segments by origin, orders them by number, verifies the
-total length, decodes the chunks and verifies the payload's digest.
+file. Reading takes archives of one or many compressed members, skips records that are neither response, revisit nor
+continuation, groups segments by origin, orders them by number, verifies the total length, decodes the chunks and verifies the
+payload's digest; a revisit is compared with the response it names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-SEGMENT, CHUNK = 1 << 16, 1 << 14
-#: Records of one file; at ``SEGMENT`` bytes each they are read at once.
+SEGMENT, CHUNK = 1 << 13, 1 << 12
+#: Records of one file; at a segment's bytes each they are read at once.
 RECORDS = 1000
 #: Payloads under so many bytes are never revisits.
 LEAST = 100
@@ -57,10 +59,10 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def segments(block: bytes) -> list[bytes]:
+def segments(block: bytes, most: int = SEGMENT) -> list[bytes]:
     out, at = [], 0
-    while len(block) - at > SEGMENT:
-        end = at + SEGMENT
+    while len(block) - at > most:
+        end = at + most
         while block[end] & 0xC0 == 0x80:
             end -= 1
         out.append(block[at:end])
@@ -79,8 +81,11 @@ def with_digests(pages: DataFrame) -> DataFrame:
     return page.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Archives of all rows of ``pages`` (page_id, url, html) in the folder ``path``."""
+def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
+    """Archives of all rows of ``pages`` (page_id, url, html) in the folder ``path``, in records of ``segment`` bytes at most.
+
+    Null and repeated values as in ``round_trip``; an empty table gives a folder without records.
+    """
 
     def build(batches):
         part, row = TaskContext.get().partitionId(), 0
@@ -92,7 +97,7 @@ def write(pages: DataFrame, path: str) -> None:
                 kind = "response" if refers is None else "revisit"
                 target = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-                parts = segments(http + (chunked(html.encode("utf-8", "surrogatepass")) if refers is None else b""))
+                parts = segments(http + (chunked(html.encode("utf-8", "surrogatepass")) if refers is None else b""), segment)
                 head = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", _DATE), ("WARC-Target-URI", target), ("X-Page-ID", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", size), ("Content-Type", "application/http; msgtype=response")]
                 if refers is not None:
                     head += [("WARC-Refers-To", f"<urn:x-page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -110,15 +115,27 @@ def write(pages: DataFrame, path: str) -> None:
     records.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
+def unzipped(data: bytes) -> bytes:
+    """All members of a compressed archive, or an archive that is not compressed."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a compressed member is cut off")
+        data = member.unused_data
+    return b"".join(out) + data
+
+
 def records(data: bytes):
     """Headers and block of each record of an archive."""
-    data, at = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data, 0
+    data, at = unzipped(data), 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         n = int(head["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
@@ -127,25 +144,38 @@ def records(data: bytes):
         at = end + 8 + n
 
 
+def same_digest(payload: bytes, said: str) -> bool:
+    """Whether a digest header, of an algorithm known here, fits: in hex or base 32."""
+    kind, _, value = said.partition(":")
+    if kind.lower() not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def answer(head: dict[str, str], block: bytes) -> tuple:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a whole record."""
-    digest = head["warc-payload-digest"].removeprefix("sha256:")
-    page = int(head["x-page-id"]) if "x-page-id" in head else None
-    size = int(head["x-payload-length"])
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a whole record; what a record of another writer does not say is null."""
+    number = lambda name, pattern: int(m[1]) if (m := re.fullmatch(pattern, head.get(name, ""))) else None
+    page, said = number("x-page-id", r"(-?\d+)"), head.get("warc-payload-digest", "")
     if head["warc-type"] == "revisit":
-        return page, size, digest, "revisit", int(head["warc-refers-to"][12:-1])
-    http, _, body = block.partition(b"\r\n\r\n")
+        digest = said.removeprefix("sha256:") if said.startswith("sha256:") else None
+        return page, number("x-payload-length", r"(\d+)"), digest, "revisit", number("warc-refers-to", r"<urn:x-page:(-?\d+)>")
+    http, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     payload = dechunked(body) if b"transfer-encoding: chunked" in http.lower() else body
-    if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
+    if not same_digest(payload, said) or "x-payload-length" in head and len(payload) != int(head["x-payload-length"]):
         raise ValueError(f"the payload of page {page} is not what its record says")
-    return page, size, digest, "response", None
+    return page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None
 
 
 _OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read(spark, path: str) -> DataFrame:
-    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of all archives in ``path``."""
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of all archives in ``path``, .warc or .gz.
+
+    Repeated records give a row each, other record types none; a folder without records gives no rows. A revisit whose digest or
+    length is not that of the response it names is an error; one that names a response which is not here stays as it is.
+    """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def parse(batches):
@@ -154,6 +184,8 @@ def read(spark, path: str) -> DataFrame:
             for data in batch.column("content"):
                 rows = []
                 for head, block in records(data.as_py()):
+                    if head.get("warc-type") not in ("response", "revisit", "continuation"):
+                        continue
                     n = int(head.get("warc-segment-number", 0))
                     if n:
                         keys = "\n".join(f"{k}: {v}" for k, v in head.items()) if n == 1 else ""
@@ -163,7 +195,7 @@ def read(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
     names = [x.split()[0] for x in _OUT.split(", ")] + ["origin", "segment", "total", "head", "block"]
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, f"{_OUT}, origin string, segment int, total long, head string, block binary")
+    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content").mapInArrow(parse, f"{_OUT}, origin string, segment int, total long, head string, block binary")
 
     def whole(batches):
         held: list[tuple] = []
@@ -192,10 +224,16 @@ def read(spark, path: str) -> DataFrame:
         if rows := done():
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names[:5])
 
-    return parsed.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(whole, _OUT)
+    rows = parsed.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(whole, _OUT)
+    rows = store.saved(rows, store.shared_dir(spark, "warc"), "read")
+    named = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.min("payload_bytes").alias("b"), F.min("payload_digest").alias("d1"), F.max("payload_digest").alias("d2"))
+    both = rows.where("refers_to is not null").join(named, "refers_to", "left")
+    wrong = (F.col("d1") != F.col("payload_digest")) & (F.col("d2") != F.col("payload_digest")) | (F.col("d1") == F.col("d2")) & (F.col("b") != F.col("payload_bytes"))
+    sound = both.withColumn("record_type", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a revisit is not what the response it names is"))).otherwise(F.col("record_type")))
+    return rows.where("refers_to is null").unionByName(sound.select(*rows.columns))
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), read back from archives of ``pages``.
 
     A null html counts as empty, a null url gives no target. Of equal payloads of 100 bytes or more, the rows with the
@@ -203,5 +241,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     revisit only if another row's page_id is known. Other columns are ignored; an empty table gives no rows.
     """
     path = store.shared_dir(pages.sparkSession, "warc") + "/archives"
-    write(pages, path)
+    write(pages, path, segment)
     return read(pages.sparkSession, path)
