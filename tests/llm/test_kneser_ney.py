@@ -3,9 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tidegauge.llm import kneser_ney, queries
+from tidegauge.llm import kneser_ney, queries, store
 
 
 def toks(t):
@@ -86,3 +87,46 @@ def test_query_uses_two_words_of_context(spark, tmp_path):
     want = sum(math.log10(m.p(full[j : j + 2], full[j + 2])) for j in range(len(t)))
     got = {r["doc_id"]: r["score"] for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
     assert got[1] == pytest.approx(want)
+
+
+def test_words_alike_by_construction_are_counted_apart(spark, documents):
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate(str.maketrans("ab", "ba"))
+    rows = [(i, w if i % 2 else w.translate(str.maketrans("ab", "ba"))) for i in range(8)]
+    m = Plain([toks(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    out = kneser_ney.score(documents(rows), 3, 7, 2).collect()
+    assert len(m.c) == 3 and out[0]["base_score"] == pytest.approx(sum(math.log10((m.c[x] + 1) / (m.n + len(m.c) + 1)) for x in toks(dict(rows)[out[0]["doc_id"]])))
+
+
+def test_words_of_one_hash_are_told_apart_by_the_other(spark, tmp_path):
+    model = kneser_ney.Model(f"file://{tmp_path}", 2, 1)
+    key, check = np.array([5, 9, 9, 9], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    model.words.write(0, key, check=check, c=np.array([7, 1, 2, 3]), id=np.array([1, 2, 3, 4]))
+    model.words.sealed({0: 4})
+    ids, counts = model.ids(np.array([5, 9, 9], np.uint64), np.array([1, 4, 6], np.uint64))
+    assert ids.tolist() == [1, 4, kneser_ney.UNKNOWN] and counts.tolist() == [7, 3, 0]
+
+
+@pytest.mark.parametrize("lost", ["words-", "pair-", "label3-", "contexts3"])
+def test_lost_tables_are_an_error(spark, documents, lost):
+    docs = documents([(i, "a b c a b d " * 3) for i in range(20)])
+    model = kneser_ney.train(docs, 3)
+    u8 = np.frombuffer(b"a b c", np.uint8)
+    assert model.probabilities(u8, np.array([0, 5]))[1].tolist() == [120, 120, 60, 20]
+    store.drop(model.folder, lost)
+    for x in (model.words, model.single, *model.contexts.values()):
+        x._open.clear()
+    model._open.clear()
+    with pytest.raises(FileNotFoundError):
+        model.probabilities(u8, np.array([0, 5]))
+
+
+@pytest.mark.parametrize("order", [1, 4])
+def test_other_orders_and_large_counts(documents, order):
+    rows = [(i, "a b a c " * (200 if i == 1 else i % 3)) for i in range(12)]
+    m = Plain([toks(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    for r in kneser_ney.score(documents(rows), order, 7, 2).collect():
+        t = toks(dict(rows)[r["doc_id"]])
+        full = ["<s>"] * (order - 1) + t
+        assert r["score"] == pytest.approx(sum(math.log10(m.p(full[j : j + order - 1], full[j + order - 1])) for j in range(len(t))))

@@ -1,15 +1,23 @@
 """Interpolated modified Kneser-Ney n-gram models, counted in Spark and stored as sorted hash arrays.
 
-A task counts the n-grams of its texts in sorted arrays and sends a compressed block to each shard.
-Shards add them up, store them in the shared folder, and send on what the levels below need: sums for
-each context, and for each shorter n-gram in how many contexts it occurs. One round for each order. Words
-and n-grams are 64-bit hashes. The n-grams of one context spread over a part of the shards, so a very
-frequent word crowds none. Scoring tasks map the arrays into memory and look up what each slice of
-texts holds; all counts cover all training texts.
+Three jobs, each of which sends compressed, sorted blocks that tasks have added up before:
+
+1. Tasks count words (128-bit hashes). Shards add up and store them; a word's id is its place in an order by falling
+   count (powers of two), shard and hash, so frequent words have small ids and blocks compress.
+2. Tasks count n-grams of ids and send them to the shard of their last two words. A shard stores them as a trie read backwards:
+   sorted pairs of last words, below each the words before, and so on. How many children a node has is the
+   count of its n-gram for the model: in how many contexts it occurs.
+3. Shards read their tries and send sums for each context, and for each word before how many it stands;
+   contexts with a single occurrence need no entry, as the trie says that they exist.
+
+Scoring tasks map the arrays into memory and look up what each slice of texts holds. All counts cover all training
+texts. Words and n-grams are told apart exactly (contexts of over two words by 64-bit hashes).
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,181 +28,429 @@ from pyspark.sql import functions as F
 from . import flat, store
 from .flat import U, mix
 
-#: Tokens that a task counts before it sends.
-GATHER = 2_000_000
-BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-WORD, GRAM, CONTEXT = range(3)
-_ROWS = "kind int, level int, shard int, stats array<long>, data binary"
+#: Tokens that a task counts before it sends; bytes of text that are scored at once.
+GATHER, SLICE = 2_000_000, 3_000_000
+#: Bytes of the documents' files for which there is a shard of words, and shards of n-grams to each of these.
+BYTES, FINER = 10 << 20, 4
+#: The end of a text as a word, in two hashes; the ids of what stands before a text, and of a word that is not known.
+END = U(0x14057B7EF767814F), U(0x5851F42D4C957F2D)
+BEGIN, UNKNOWN = 0, 0xFFFFFFFF
 
 
 def fold(words: list[np.ndarray]) -> np.ndarray:
-    """A hash of each sequence of words."""
-    acc = np.full(len(words[0]) if words else 1, U(len(words)))
-    for w in words:
-        acc = mix(acc * U(0x9FB21C651E98DF25) + w)
-    return acc
+    """A key for each sequence of ids: exact for two at most, then a hash."""
+    acc = words[0].astype(np.uint64)
+    for i, w in enumerate(words[1:]):
+        acc = (mix(acc) * U(0x9FB21C651E98DF25) if i else acc << U(32)) + w.astype(np.uint64)
+    return mix(acc)
 
 
-def tokens(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, after each text its end, and where each text's tokens begin, then the end."""
-    h, at = flat.words(u8, off)
+def tokens(u8: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct words as two hashes, each token's place among them (a text's words, then its end), and where each text's tokens begin, then the end."""
+    starts, ends = flat.spans(u8, off)
+    at = np.searchsorted(starts, off)
     begin = at + np.arange(len(at))
-    out = np.full(len(h) + len(at) - 1, END)
-    out[np.arange(len(h)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = h
-    return out, begin
-
-
-def grams(tok: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]:
+    word = np.zeros(len(starts) + len(at) - 1, bool)
+    word[np.arange(len(starts)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = True
+    pair = []
+    for lane in (0, 1):
+        h = np.full(len(word), END[lane])
+        h[word] = flat.hashes(u8, starts, ends, lane=lane)
+        pair.append(h)
+    _, one, of = np.unique(pair[0], return_index=True, return_inverse=True)
+    if (pair[1][one][of] != pair[1]).any():
+        _, one, of = np.unique(np.stack(pair, 1), axis=0, return_index=True, return_inverse=True)
+    return (pair[0][one], pair[1][one]), of.ravel(), begin
+
+
+def grams(ids: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]:
     """Columns: each token's ``order - 1`` predecessors in its text, or the begin sign, then the token."""
-    place = np.arange(len(tok)) - np.repeat(begin[:-1], np.diff(begin))
-    cols = [tok]
+    place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
+    cols = [ids]
     for lag in range(1, order):
-        prev = np.full(len(tok), BEGIN)
-        prev[lag:] = np.where(place[lag:] >= lag, tok[:-lag], BEGIN)
+        prev = np.full(len(ids), BEGIN, ids.dtype)
+        prev[lag:] = np.where(place[lag:] >= lag, ids[:-lag], BEGIN)
         cols.insert(0, prev)
     return cols
 
 
+def heads(cols: list[np.ndarray]) -> np.ndarray:
+    """Where sorted rows of ``cols`` differ from the row before."""
+    new = np.zeros(len(cols[0]), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def summed(cols: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of ``cols``, sorted, with the sums of ``counts``."""
     order = np.lexsort(cols[::-1]) if len(cols) > 1 else np.argsort(cols[0])
     cols = [c[order] for c in cols]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(heads(cols))
     return [c[head] for c in cols], [np.add.reduceat(c[order], head) if len(head) else c for c in counts]
 
 
-def blob(cols: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype(np.uint64 if c.dtype == np.uint64 else np.uint32).tobytes() for c in cols))
+def distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of id columns, sorted, and how often each occurs."""
+    names = np.unique(np.concatenate([np.unique(c) for c in cols]))
+    bits = max(1, int(len(names)).bit_length())
+    if bits * len(cols) > 64:
+        rows, (n,) = summed(cols, [np.ones(len(cols[0]), np.int64)])
+        return rows, n
+    key = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:  # places among the batch's own words, so that a row fits one number
+        key = (key << U(bits)) | np.searchsorted(names, c).astype(np.uint64)
+    key.sort()
+    head = np.flatnonzero(heads([key]))
+    n, key = np.diff(np.r_[head, len(key)]), key[head]
+    return [names[((key >> U(bits * (len(cols) - 1 - i))) & U((1 << bits) - 1)).astype(np.int64)] for i in range(len(cols))], n
+
+
+def blob(cols: list[np.ndarray], kinds: list[str]) -> bytes:
+    """Columns, sorted by the first, as compressed planes of bytes, the first as differences."""
+    planes = [np.diff(c.astype(k), prepend=np.array([0], k)) if i == 0 else c.astype(k) for i, (c, k) in enumerate(zip(cols, kinds))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in planes))
+
+
+def unblob(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for i, k in enumerate(kinds):
+        size = np.dtype(k).itemsize
+        c = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel()
+        out.append(np.cumsum(c, dtype=k) if i == 0 else c)
+        at += n * size
+    return out
 
 
-def unblob(data: bytes, keys: int, counts: int) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at, out = len(raw) // (8 * keys + 4 * counts), 0, []
-    for kind in [np.uint64] * keys + [np.uint32] * counts:
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.uint64 if kind == np.uint64 else np.int64))
-        at += n * np.dtype(kind).itemsize
-    return out
+def rows_of(shard: np.ndarray, shards: int, cols: list[np.ndarray], kinds: list[str], **fixed) -> pa.RecordBatch:
+    """A row for each shard that gets something, with the block of its part of sorted columns."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    full = np.flatnonzero(np.diff(cut))
+    data = [blob([c[order[cut[s] : cut[s + 1]]] for c in cols], kinds) for s in full]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(full), v, np.int32)) for v in fixed.values()), pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], [*fixed, "shard", "data"])
 
 
-class Model:
-    """Count tables in the shared folder; ``levels`` has for each order the discounts, ``words`` N and V."""
+def within(labels: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the place of ``want[i]`` in the sorted ``labels[lo[i]:hi[i]]``, and whether it is there."""
+    lo, end = lo.astype(np.int64), hi.astype(np.int64)
+    hi, on = end.copy(), np.flatnonzero(end > lo)
+    while len(on):
+        mid = (lo[on] + hi[on]) >> 1
+        less = labels[mid] < want[on]
+        lo[on[less]] = mid[less] + 1
+        hi[on[~less]] = mid[~less]
+        on = on[lo[on] < hi[on]]
+    ok = lo < end
+    ok[ok] = labels[lo[ok]] == want[ok]
+    return lo, ok
+
 
-    def __init__(self, folder: str, order: int, shards: int):
-        self.order, self.shards, self.spread = order, shards, max(1, shards // 8)
-        self.words = store.Lookup(folder, "words", shards, {"c": "u4"})
-        self.grams = {k: store.Lookup(folder, f"grams{k}", shards, {"c": "u4"}) for k in range(1, order + 1)}
-        self.contexts = {k: store.Lookup(folder, f"contexts{k}", shards, {"t": "u4", "n1": "u4", "n2": "u4", "n3": "u4"}) for k in range(2, order + 1)}
+def tallied(c: np.ndarray) -> list[int]:
+    return [int(c.sum()), len(c), *(int((c == i).sum()) for i in (1, 2, 3, 4))]
+
+
+def released(spark) -> None:
+    """Lets Spark delete the shuffles of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Model:
+    """Tables in the shared folder; ``levels`` has for each order the discounts and the numbers of n-grams, ``n`` and ``v`` count tokens and words."""
+
+    def __init__(self, folder: str, order: int, parts: int):
+        self.folder, self.order, self.parts, self.shards = folder, order, parts, FINER * parts
+        self.words = store.Lookup(folder, "words", parts, {"check": "u8", "c": "u8", "id": "u4"})
+        self.single = store.Lookup(folder, "single", parts, {"c": "u4"})
+        self.contexts = {(k, big): store.Lookup(folder, f"contexts{k}{big}", parts, dict.fromkeys(("t", "n1", "n2", "n3"), "u8" if big else "u1")) for k in range(2, order + 1) for big in (0, 1)}
+        self.sizes: dict[int, list[int]] = {}
+        self._open: dict[int, dict] = {}
         self.n = self.v = 0
-        self.levels: dict[int, tuple[np.ndarray, int, int, int, int]] = {}
+        self.levels: dict[int, tuple[np.ndarray, list[int]]] = {}
 
-    def shard(self, cols: list[np.ndarray]) -> np.ndarray:
-        if len(cols) == 1:
-            return store.shard_of(cols[0], self.shards)
-        return (((fold(cols[:-1]) >> U(40)) + mix(cols[-1]) % U(self.spread)) % U(self.shards)).astype(np.int64)
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
 
-    def rows(self, kind: int, level: int, shard: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        return [(kind, level, int(s), None, blob([c[order[cut[s] : cut[s + 1]]] for c in cols])) for s in np.flatnonzero(np.diff(cut))]
+    # Words.
+
+    def count_words(self, docs: DataFrame) -> None:
+        kinds = ["u8", "u8", "u4"]
 
-    def counted(self, docs: DataFrame) -> DataFrame:
         def run(batches):
             held, n = [], 0
 
             def send():
-                cols = [np.concatenate([h[i] for h in held]) for i in range(self.order)]
-                w, (c,) = summed(cols[-1:], [np.ones(len(cols[0]), np.int64)])
-                rows = self.rows(WORD, 1, self.shard(w), [*w, c])
-                g, (c,) = summed(cols, [np.ones(len(cols[0]), np.int64)])
-                return batch(rows + self.rows(GRAM, self.order, self.shard(g), [*g, c]))
+                (a, b), (c,) = summed([np.concatenate([h[i] for h in held]) for i in (0, 1)], [np.concatenate([h[2] for h in held])])
+                return rows_of(store.shard_of(a, self.parts), self.parts, [a, b, c], kinds)
+
+            for _, u8, off in flat.slices(batches):
+                (a, b), of, _ = tokens(u8, off)
+                held.append((a, b, np.bincount(of, minlength=len(a))))
+                n += len(a)
+                if n >= GATHER:
+                    yield send()
+                    held, n = [], 0
+            if held:
+                yield send()
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            s, parts = int(pdf["shard"].iloc[0]), [unblob(x, kinds) for x in pdf["data"]]
+            (key, check), (c,) = summed([np.concatenate([p[i] for p in parts]) for i in (0, 1)], [np.concatenate([p[2] for p in parts]).astype(np.int64)])
+            self.words.write(s, key, check=check, c=c)
+            return pd.DataFrame({"shard": [s], "total": [int(c.sum())], "sizes": [np.bincount(self.rarity(c), minlength=64)]})
+
+        docs.select("text").mapInArrow(run, "shard int, data binary").groupBy("shard").applyInPandas(merge, "shard int, total long, sizes array<long>").write.mode("overwrite").parquet(f"{self.folder}/counted")
+        got = docs.sparkSession.read.parquet(f"{self.folder}/counted").collect()  # a row for each shard
+        released(docs.sparkSession)
+        sizes = {r["shard"]: np.array(r["sizes"]) for r in got}
+        self.words.sealed({s: int(x.sum()) for s, x in sizes.items()})
+        self.n, self.v = sum(r["total"] for r in got), sum(int(x.sum()) for x in sizes.values())
+        if self.v >= UNKNOWN - 1:
+            raise ValueError("more words than ids")
+        full = sorted(sizes)
+        table = np.array([sizes[s] for s in full]).reshape(-1, 64)
+        first = dict(zip(full, (1 + np.r_[0, np.cumsum(table.T.ravel())][:-1].reshape(64, -1).T).tolist()))
+
+        def name(batches):
+            for rows in batches:
+                for s in rows.column("shard").to_pylist():
+                    rare = self.rarity(store.mapped(self.folder, f"words-{s}.c", "u8", self.words.sizes[s]))
+                    order, ids = np.argsort(rare, kind="stable"), np.zeros(len(rare), np.uint32)
+                    ids[order] = np.array(first[s])[rare[order]] + np.arange(len(rare)) - np.searchsorted(rare[order], rare[order])
+                    store.put(self.folder, f"words-{s}.id", ids)
+                yield rows
+
+        if full:
+            docs.sparkSession.createDataFrame([(s,) for s in full], "shard int").repartition(len(full), "shard").mapInArrow(name, "shard int").write.mode("overwrite").parquet(f"{self.folder}/named")
+
+    @staticmethod
+    def rarity(c: np.ndarray) -> np.ndarray:
+        """63 less the count's power of two."""
+        return (64 - np.frexp(c.astype(np.float64))[1]).astype(np.int64)
+
+    def ids(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of distinct words, sorted by key."""
+        ids, counts = np.full(len(key), UNKNOWN, np.uint32), np.zeros(len(key), np.int64)
+        cut = np.searchsorted(self.words.of(key), np.arange(self.parts + 1))
+        for s in np.flatnonzero(np.diff(cut)):
+            f, a, b = self.words.shard(int(s)), cut[s], cut[s + 1]
+            at, todo = np.searchsorted(f["key"], key[a:b]), np.arange(b - a)
+            while len(todo):
+                todo = todo[at[todo] < len(f["key"])]
+                todo = todo[f["key"][at[todo]] == key[a + todo]]
+                ok = f["check"][at[todo]] == check[a + todo]
+                ids[a + todo[ok]], counts[a + todo[ok]] = f["id"][at[todo[ok]]], f["c"][at[todo[ok]]]
+                todo = todo[~ok]
+                at[todo] += 1
+        return ids, counts
+
+    # N-grams.
+
+    def count_grams(self, docs: DataFrame) -> None:
+        kinds = ["u4"] * (self.order + 1)
 
-            def batch(rows):
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))], ["kind", "level", "shard", "stats", "data"])
+        def run(batches):
+            held, n = [], 0
+
+            def send():
+                cols, c = distinct([np.concatenate([h[i] for h in held]) for i in range(self.order)])
+                return rows_of(self.home(cols[0], cols[1]), self.shards, [*cols, c], kinds)
 
             for _, u8, off in flat.slices(batches):
-                held.append(grams(*tokens(u8, off), self.order))
-                n += len(held[-1][0])
+                names, of, begin = tokens(u8, off)
+                held.append(grams(self.ids(*names)[0][of], begin, self.order)[::-1])
+                n += len(of)
                 if n >= GATHER:
                     yield send()
                     held, n = [], 0
             if held:
                 yield send()
 
-        return docs.select("text").mapInArrow(run, _ROWS)
-
-    def merge(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        flat.trim()
-        kind, level, s = (int(pdf[c].iloc[0]) for c in ("kind", "level", "shard"))
-        if kind == CONTEXT:
-            parts = [unblob(x, 1, 4) for x in pdf["data"]]
-            key, sums = summed([np.concatenate([p[0] for p in parts])], [np.concatenate([p[i] for p in parts]) for i in range(1, 5)])
-            self.contexts[level].write(s, key[0], **dict(zip(("t", "n1", "n2", "n3"), sums)))
-            return pd.DataFrame([(kind, level, s, [], None)], columns=["kind", "level", "shard", "stats", "data"])
-        parts = [unblob(x, level, 1) for x in pdf["data"]]
-        cols, (c,) = summed([np.concatenate([p[i] for p in parts]) for i in range(level)], [np.concatenate([p[level] for p in parts])])
-        parts = None
-        key = cols[0] if level == 1 else fold(cols)
-        order = np.argsort(key)
-        (self.words if kind == WORD else self.grams[level]).write(s, key[order], c=c[order])
-        out = [(kind, level, s, [int(c.sum()), len(c), *(int((c == i).sum()) for i in (1, 2, 3, 4))], None)]
-        if kind == GRAM and level > 1:
-            ctx = fold(cols[:-1])
-            got, sums = summed([ctx], [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
-            out += self.rows(CONTEXT, level, store.shard_of(got[0], self.shards), [*got, *sums])
-            low, (n,) = summed(cols[1:], [np.ones(len(c), np.int64)])
-            out += self.rows(GRAM, level - 1, self.shard(low), [*low, n])
-        return pd.DataFrame(out, columns=["kind", "level", "shard", "stats", "data"])
-
-    def fit(self, docs: DataFrame, folder: str) -> Model:
-        rows, stats = self.counted(docs), []
-        for k in range(self.order):
-            rows = store.saved(rows.groupBy("kind", "level", "shard").applyInPandas(lambda pdf: self.merge(pdf), _ROWS), folder, f"round{k}")
-            stats += rows.where("size(stats) > 0").groupBy("kind", "level").agg(*(F.sum(F.col("stats")[i]).alias(str(i)) for i in range(6))).collect()  # two rows a level at most
-            rows = rows.where("data is not null")
-        rows.groupBy("kind", "level", "shard").applyInPandas(lambda pdf: self.merge(pdf), _ROWS).write.mode("overwrite").parquet(f"{folder}/round{self.order}")
-        for r in stats:
-            if r["kind"] == WORD:
-                self.n, self.v = r["0"], r["1"]
-            else:
-                n1, n2, n3, n4 = (r[str(i)] for i in range(2, 6))
-                y = n1 / (n1 + 2 * n2) if n1 else 0.5
-                d = [(i - (i + 1) * y * b / a if a else i / 2) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-                d = np.array([0.0, *(min(max(x, 0.1 * i), 0.9 * i) for i, x in enumerate(d, 1))])
-                self.levels[r["level"]] = d, r["0"], n1, n2, r["1"] - n1 - n2
-        store.drop(folder, "round")
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            flat.trim()
+            s, parts = int(pdf["shard"].iloc[0]), [unblob(x, kinds) for x in pdf["data"]]
+            pair = np.concatenate([p[0].astype(np.uint64) << U(32) | p[1] for p in parts])
+            cols, (c,) = summed([pair, *(np.concatenate([p[i] for p in parts]) for i in range(2, self.order))], [np.concatenate([p[self.order] for p in parts]).astype(np.int64)])
+            parts, at = None, {k: np.flatnonzero(heads(cols[: k - 1])) for k in range(2, self.order)} | {self.order: np.arange(len(c))}
+            store.put(self.folder, f"pair-{s}", cols[0][at[2]])
+            stats, sizes = [], []
+            for k in range(2, self.order + 1):
+                if k > 2:
+                    store.put(self.folder, f"label{k}-{s}", cols[k - 2][at[k]])
+                if k < self.order:
+                    first = np.searchsorted(at[k + 1], np.r_[at[k], len(c)])
+                    store.put(self.folder, f"first{k}-{s}", first.astype(np.uint32))
+                stats += tallied(c if k == self.order else np.diff(first))
+                sizes.append(len(at[k]))
+            many = np.flatnonzero(c > 255)
+            store.put(self.folder, f"count-{s}", np.minimum(c, 255).astype(np.uint8))
+            store.put(self.folder, f"many-{s}", many.astype(np.uint32))
+            store.put(self.folder, f"much-{s}", c[many])
+            return pd.DataFrame({"shard": [s], "sizes": [[*sizes, len(many)]], "stats": [stats]})
+
+        docs.select("text").mapInArrow(run, "shard int, data binary").groupBy("shard").applyInPandas(merge, "shard int, sizes array<long>, stats array<long>").write.mode("overwrite").parquet(f"{self.folder}/stored")
+        got = docs.sparkSession.read.parquet(f"{self.folder}/stored").collect()  # a row for each shard
+        released(docs.sparkSession)
+        self.sizes = {r["shard"]: list(r["sizes"]) for r in got}
+        total = np.array([r["stats"] for r in got]).reshape(-1, self.order - 1, 6).sum(0)
+        for k in range(2, self.order + 1):
+            self.level(k, total[k - 2].tolist())
+
+    def home(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return store.shard_of(mix(last.astype(np.uint64) << U(32) | before), self.shards)
+
+    def level(self, k: int, stats: list[int]) -> None:
+        _, types, n1, n2, n3, n4 = stats
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [(i - (i + 1) * y * b / a if a else i / 2) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        self.levels[k] = np.array([0.0, *(min(max(x, 0.1 * i), 0.9 * i) for i, x in enumerate(d, 1))]), [stats[0], n1, n2, types - n1 - n2]
+
+    def trie(self, s: int) -> dict:
+        if s not in self._open:
+            n = dict(zip(range(2, self.order + 1), self.sizes[s]))
+            f = {"pair": store.mapped(self.folder, f"pair-{s}", "u8", n[2]), "count": store.mapped(self.folder, f"count-{s}", "u1", n[self.order])}
+            f |= {name: store.mapped(self.folder, f"{name}-{s}", t, self.sizes[s][-1]) for name, t in (("many", "u4"), ("much", "i8"))}
+            f |= {f"label{k}": store.mapped(self.folder, f"label{k}-{s}", "u4", n[k]) for k in range(3, self.order + 1)}
+            self._open[s] = f | {f"first{k}": store.mapped(self.folder, f"first{k}-{s}", "u4", n[k] + 1) for k in range(2, self.order)}
+        return self._open[s]
+
+    def counts_at(self, f: dict, k: int, at: np.ndarray) -> np.ndarray:
+        if k < self.order:
+            return f[f"first{k}"][at + 1].astype(np.int64) - f[f"first{k}"][at]
+        c = f["count"][at].astype(np.int64)
+        if len(f["many"]):
+            to = np.minimum(np.searchsorted(f["many"], at), len(f["many"]) - 1)
+            c = np.where(f["many"][to] == at, f["much"][to], c)
+        return c
+
+    def find(self, cols: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """For each n-gram the count of its last k words, for k from 2 on (0: not there)."""
+        pair = cols[-1].astype(np.uint64) << U(32) | cols[-2]
+        shard = self.home(cols[-1], cols[-2])
+        order = np.lexsort((pair, shard))
+        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        out = {k: np.zeros(len(pair), np.int64) for k in range(2, self.order + 1)}
+        for s in np.flatnonzero(np.diff(cut)):
+            if int(s) not in self.sizes:
+                continue
+            f, own = self.trie(int(s)), order[cut[s] : cut[s + 1]]
+            at = np.minimum(np.searchsorted(f["pair"], pair[own]), len(f["pair"]) - 1)
+            ok = f["pair"][at] == pair[own]
+            for k in range(2, self.order + 1):
+                own, at = own[ok], at[ok]
+                out[k][own] = self.counts_at(f, k, at)
+                if k < self.order:
+                    at, ok = within(f[f"label{k + 1}"], f[f"first{k}"][at], f[f"first{k}"][at + 1], cols[-k - 1][own])
+        return out
+
+    # Contexts.
+
+    def count_contexts(self, spark) -> None:
+        kinds = {k: ["u8", "u4" if k == 1 else "u8", *["u4"] * 3] if k > 1 else ["u8", "u4"] for k in range(1, self.order + 1)}
+
+        def run(batches):
+            for rows in batches:
+                for s in rows.column("shard").to_pylist():
+                    f = self.trie(s)
+                    pair = np.array(f["pair"])
+                    words, at = [pair & U(0xFFFFFFFF), pair >> U(32)], np.arange(len(pair))
+                    (key,), (n,) = summed([fold([words[1]])], [np.ones(len(pair), np.int64)])
+                    yield rows_of(store.shard_of(key, self.parts), self.parts, [key, n], kinds[1], kind=1)
+                    for k in range(2, self.order + 1):
+                        if k > 2:
+                            up = np.repeat(np.arange(len(at)), self.counts_at(f, k - 1, at))
+                            words, at = [f[f"label{k}"], *(w[up] for w in words)], np.arange(len(up))
+                        c = self.counts_at(f, k, at)
+                        (key,), sums = summed([fold(words[:-1])], [c, *(x.astype(np.int64) for x in (c == 1, c == 2, c > 2))])
+                        yield rows_of(store.shard_of(key, self.parts), self.parts, [key, *sums], kinds[k], kind=k)
+                    self._open.clear()
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            flat.trim()
+            k, s = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
+            parts = [unblob(x, kinds[k]) for x in pdf["data"]]
+            (key,), sums = summed([np.concatenate([p[0] for p in parts])], [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, len(kinds[k]))])
+            if k == 1:
+                self.single.write(s, key, c=sums[0])
+                return pd.DataFrame({"kind": [1], "shard": [s], "sizes": [[len(key), 0]], "stats": [tallied(sums[0])]})
+            start, sizes = fold([np.zeros(1, np.uint32)] * (k - 1))[0], []
+            for big, own in ((0, (sums[0] < 256) & ((sums[0] > 1) | (key == start))), (1, sums[0] > 255)):
+                self.contexts[k, big].write(s, key[own], **{name: x[own] for name, x in zip(("t", "n1", "n2", "n3"), sums)})
+                sizes.append(int(own.sum()))
+            return pd.DataFrame({"kind": [k], "shard": [s], "sizes": [sizes], "stats": [[0] * 6]})
+
+        full = spark.createDataFrame([(s,) for s in sorted(self.sizes)], "shard int").repartition(max(1, len(self.sizes) // FINER), "shard")
+        full.mapInArrow(run, "kind int, shard int, data binary").groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, sizes array<long>, stats array<long>").write.mode("overwrite").parquet(f"{self.folder}/contexts")
+        got = spark.read.parquet(f"{self.folder}/contexts").collect()  # a row for each shard and level
+        released(spark)
+        self.single.sealed({r["shard"]: r["sizes"][0] for r in got if r["kind"] == 1})
+        for (k, big), table in self.contexts.items():
+            table.sealed({r["shard"]: r["sizes"][big] for r in got if r["kind"] == k})
+        self.level(1, np.array([r["stats"] for r in got if r["kind"] == 1]).reshape(-1, 6).sum(0).tolist())
+
+    def fit(self, docs: DataFrame) -> Model:
+        self.count_words(docs)
+        if self.order > 1 and self.n:
+            self.count_grams(docs)
+            self.count_contexts(docs.sparkSession)
+        elif self.n:
+            got = self.words_of(docs.sparkSession)
+            self.level(1, got)
         return self
 
-    def probabilities(self, tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's count in training, and its probability after the tokens before it."""
-        cols = grams(tok, begin, self.order)
-        uniq, back = np.unique(tok, return_inverse=True)
-        count = self.words.find(uniq)[1]["c"][back].astype(np.int64)
-        d, total, n1, n2, n3 = self.levels.get(1, (np.zeros(4), 0, 0, 0, 0))
-        c = self.grams[1].find(uniq)[1]["c"].astype(np.int64)
-        even = 1 / (self.v + 1)
-        p = ((c - d[np.minimum(c, 3)] + (d[1] * n1 + d[2] * n2 + d[3] * n3) * even) / total if total else np.full(len(c), even))[back]
+    def words_of(self, spark) -> list[int]:
+        """Of a model of single words, the tallies of their counts."""
+
+        def run(batches):
+            for rows in batches:
+                stats = [tallied(self.words.shard(s)["c"].astype(np.int64)) for s in rows.column("shard").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.int64()))], ["stats"])
+
+        got = spark.createDataFrame([(s,) for s in sorted(self.words.sizes)], "shard int").mapInArrow(run, "stats array<long>").collect()  # a row for each shard
+        return np.array([r["stats"] for r in got]).sum(0).tolist()
+
+    def probabilities(self, u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's tokens begin, then the end; each token's count in training, and its probability after the tokens before it."""
+        names, of, begin = tokens(u8, off)
+        own, counts = self.ids(*names)
+        count, even = counts[of], 1 / (self.v + 1)
+        if not self.n:
+            return begin, count, np.full(len(of), even)
+        d, (total, n1, n2, n3) = self.levels[1]
+        if self.order > 1:
+            key, one, back = np.unique(fold([own]), return_index=True, return_inverse=True)
+            counts = self.single.find(key)[1]["c"].astype(np.int64)[back]
+        c = {1: counts[of]}
+        p = ((counts - d[np.minimum(counts, 3)] + (d[1] * n1 + d[2] * n2 + d[3] * n3) * even) / total)[of]
+        if self.order == 1:
+            return begin, count, p
+        cols = grams(own[of], begin, self.order)
+        c |= self.find(cols)
         for k in range(2, self.order + 1):
-            own = cols[-k:]
-            ctx, to = np.unique(fold(own[:-1]), return_inverse=True)
-            hit, x = self.contexts[k].find(ctx)
-            d = self.levels.get(k, (np.zeros(4),))[0]
-            x = {n: v.astype(np.float64) for n, v in x.items()}
-            free = ((d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / np.maximum(x["t"], 1))[to]
-            key, one, at = np.unique(fold(own), return_index=True, return_inverse=True)
-            c = self.grams[k].find_in(key, self.shard([o[one] for o in own]))[1]["c"].astype(np.int64)[at]
-            p = np.where(hit[to], (c - d[np.minimum(c, 3)]) / np.maximum(x["t"], 1)[to] + free * p, p)
-        return count, p
+            ctx, to = np.unique(fold(cols[-k:-1]), return_inverse=True)
+            x = {"t": np.ones(len(ctx)), "n1": np.ones(len(ctx)), "n2": np.zeros(len(ctx)), "n3": np.zeros(len(ctx))}  # where it is but has no entry, it stands once
+            stored = np.zeros(len(ctx), bool)
+            for big in (0, 1):
+                hit, v = self.contexts[k, big].find(ctx)
+                stored |= hit
+                for name in x:
+                    x[name][hit] = v[name][hit]
+            known = stored[to]
+            known[1:] |= c[k - 1][:-1] > 0
+            known[begin[:-1]] = stored[to[begin[:-1]]]
+            d = self.levels[k][0]
+            free = ((d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / x["t"])[to]
+            p = np.where(known, (c[k] - d[np.minimum(c[k], 3)]) / x["t"][to] + free * p, p)
+        return begin, count, p
 
 
 def train(docs: DataFrame, order: int) -> Model:
     """The model of all texts of ``docs``."""
     spark = docs.sparkSession
-    folder = store.shared_dir(spark, "kneser-ney")
-    return Model(folder, order, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(docs, folder)
+    return Model(store.shared_dir(spark, "kneser-ney"), order, store.parts_for(docs, BYTES)).fit(docs)
 
 
 def score(docs: DataFrame, order: int, folds: int, held_out: int) -> DataFrame:
@@ -209,9 +465,8 @@ def score(docs: DataFrame, order: int, folds: int, held_out: int) -> DataFrame:
     model = train(docs.where(~fold_of), order)
 
     def run(batches):
-        for rows, u8, off in flat.slices(batches):
-            tok, begin = tokens(u8, off)
-            c, p = model.probabilities(tok, begin)
+        for rows, u8, off in flat.slices(batches, SLICE):
+            begin, c, p = model.probabilities(u8, off)
             base, n = np.log10((c + 1) / (model.n + model.v + 1)), len(off) - 1
             sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
             yield pa.RecordBatch.from_arrays(
