@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from tidegauge.llm import components, jaccard, store
 from tidegauge.llm.jaccard import jaccard_join
 
 
@@ -66,3 +67,36 @@ def test_edges(documents):
     again = jaccard_join(documents([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")]), 3, 90).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in again) == [(0, None), (1, 1), (1, 1)]
     assert jaccard_join(documents([]), 3, 90).count() == 0
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_words_alike_by_construction_stay_apart(documents, n):
+    w, other = thue_morse(n)
+    rows = [(1, f"{w} x y"), (2, f"{other} x y"), (3, f"{w} {other} z"), (4, f"{other} {w} z")]
+    assert got(jaccard_join(documents(rows), 3, 90)) == brute(rows, 3, 90)
+
+
+def test_lost_scratch_files_are_an_error(spark, documents, monkeypatch):
+    true = jaccard.entries
+
+    def lost(reps, folder, *more):
+        store.drop(folder, "sets-")
+        return true(reps, folder, *more)
+
+    monkeypatch.setattr(jaccard, "entries", lost)
+    with pytest.raises(Exception, match="No such file"):
+        jaccard_join(documents([(i, "a b c d e f g h %d" % (i % 3)) for i in range(9)]), 3, 90).collect()
+
+
+def test_a_long_chain_is_one_component(spark):
+    n = 3000
+    links = spark.range(n - 1).selectExpr("(id * 7919) % 3000 as a", "(id * 7919 + 1) % 3000 as b").where("b > a")
+    got = components.components(links, store.shared_dir(spark, "chain")).collect()
+    assert len(got) == n and {r["component_id"] for r in got} == {0}

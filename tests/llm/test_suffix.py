@@ -70,3 +70,20 @@ def test_edges(documents):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix.dedup_digests(twice).collect()) == [(0, 0), (7, 0), (7, 0), (8, 60)]
     cut = suffix.dedup_text(documents([(1, "x" * 55 + "é"), (2, "x" * 55 + "é!"), (3, None)])).orderBy("doc_id").collect()
     assert [r["text"] for r in cut] == ["x" * 55 + "é", "!", None] and "key" in cut[0].asDict()
+
+
+def test_anchors_in_blocks_cover_every_window(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = [bytes(rnd.integers(97, 100, n, dtype=np.uint8)) for n in (0, 700, 49, 50, 51, 300, 0, 1000)]
+    u8, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+    def hashes():
+        out = {}
+        for h, t, s, w in zip(*suffix.anchors(u8, off, 50)):
+            for i in range(w):
+                out[int(t), int(s) + i] = int(h)
+        return out
+
+    whole = hashes()
+    monkeypatch.setattr(suffix, "WINDOWS", 97)
+    assert hashes() == whole and len(whole) == sum(max(0, len(t) - 49) for t in texts)

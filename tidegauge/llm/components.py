@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,12 +40,11 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """Rows (id, component_id) of every id that ``links`` (a, b) names; component_id is the smallest id reachable.
 
     Large-star and small-star steps in turn, each a grouped minimum (combined on the map side) and a
-    join on it, until nothing moves; each round is written to the shared folder. A batch of links is
+    join on it, until every component is a star round its smallest id; each round is written to the shared folder. A batch of links is
     first replaced by its spanning forest.
     """
     edges = store.saved(links.where("a is not null and b is not null and a != b").mapInPandas(forest, "a long, b long").distinct(), folder, "cc-0")
-    seen = None
-    for k in range(1, 64):
+    for k in count(1):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -51,8 +52,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("x"), "m", "a").select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = store.saved(small.where("a != b").distinct(), folder, f"cc-{k}")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == seen:
-            break
-        seen = now
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").head(1):
+            break  # every leaf has one centre, and no centre is a leaf
     return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())

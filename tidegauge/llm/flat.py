@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_OF = mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
-_OF_LOWER = _OF.copy()
-_OF_LOWER[65:91] = _OF[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans over so many bytes are hashed one by one, the others eight bytes of all of them at a time.
+LONG = 512
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +91,71 @@ def spans(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hashes(u8: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every span of bytes, A-Z as a-z if ``lower``."""
+def hashes(u8: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of every span of bytes, A-Z as a-z if ``lower``; other lanes give independent ones, so two make 128 bits.
+
+    Every eight bytes go through a bijection that is no polynomial, so texts that are alike by construction
+    (Thue-Morse words, say) do not meet.
+    """
+    size = ends - starts
+    acc = mix(size.astype(np.uint64) * U(_ODD) + U(0x2545F4914F6CDD1D * (lane + 1) & (1 << 64) - 1))
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return acc
+    raw = np.zeros(len(u8) + 8, np.uint8)
+    raw[: len(u8)] = _LOWER[u8] if lower else u8
+    eight = np.ndarray((len(u8) + 1,), "<u8", raw.data, strides=(1,))
+    on, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(on):
+        left = size[on] - at
+        piece = eight[starts[on] + at]
+        tail = left < 8
+        piece[tail] &= (U(1) << (left[tail] * 8).astype(np.uint64)) - U(1)
+        acc[on] = mix((acc[on] ^ mix(piece + U(lane))) * U(0xD6E8FEB86659FD93) + U(at + 1))
+        at += 8
+        on = on[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        acc[i] = U(int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little"))
+    return acc
+
+
+def rolling(u8: np.ndarray, k: int) -> np.ndarray:
+    """A quick hash of every ``k`` bytes in a row: a filter only, as unequal strings of equal hash can be constructed."""
     p, inv = powers(len(u8) + 1)
     sums = np.zeros(len(u8) + 1, np.uint64)
-    np.cumsum((_OF_LOWER if lower else _OF)[u8] * p[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))[u8] * p[:-1], out=sums[1:])
+    n = len(u8) - k + 1
+    return mix((sums[k:] - sums[:n]) * inv[:n])
+
+
+def equals(u8: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique`` of the spans' bytes: where each distinct one occurs first, and each span's number among these. Exact: bytes are compared."""
+    h = hashes(u8, starts, ends, lower)
+    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    size, text = ends - starts, _LOWER[u8] if lower else u8
+    check = np.flatnonzero(one[of] != np.arange(len(of)))
+    wrong = size[check] != size[one[of[check]]]
+    at, n = 0, np.cumsum(size[check])
+    while at < len(check):  # some bytes at a time
+        to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + (1 << 22), "right")))
+        own = check[at:to][~wrong[at:to]]
+        if len(own):
+            same = text[ragged(starts[own], size[own])] == text[ragged(starts[one[of[own]]], size[own])]
+            full = size[own] > 0
+            bad = np.zeros(len(own), bool)
+            bad[full] = ~np.logical_and.reduceat(same, np.r_[0, np.cumsum(size[own][full])][:-1]) if full.any() else False
+            wrong[np.flatnonzero(~wrong[at:to]) + at] = bad
+        at = to
+    if wrong.any():  # equal hashes of other bytes: these are told apart one by one
+        seen: dict[bytes, int] = {}
+        more = []
+        for i in check[wrong].tolist():
+            key = text[starts[i] : ends[i]].tobytes()
+            if key not in seen:
+                seen[key] = len(one) + len(more)
+                more.append(i)
+            of[i] = seen[key]
+        one = np.r_[one, more]
+    return one, of
 
 
 def words(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +170,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     acc = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
-        acc = acc * U(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i]
+        acc = mix(acc * U(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i])
     return mix(acc + U(k))
 
 

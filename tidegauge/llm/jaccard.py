@@ -2,12 +2,13 @@
 
 Small sets are light: each enumerates the subsets of fixed sizes that a partner must share with
 it, and equal subsets meet by their hash. Large sets are heavy: each enters the inverted lists of
-the shingles of its prefix, rare ones first, and each list is scanned and its pairs verified
-exactly. The size where light ends is chosen by the cost of both ways over the sizes found.
+the shingles of its prefix, rare ones first, and each list is scanned. The size where light ends is
+chosen by the cost of both ways over the sizes found. Candidates of both ways are verified on the whole sets.
+The list of a frequent shingle is split by size, so that only sets meet which sizes allow to link.
 
-Sets are kept as sorted hash arrays in the shared folder, one file per task, and mapped into memory for
-verification. Equal sets become one class first, so copies are never paired with each other; within a
-list, pairs that are in one component already need no verification.
+Sets are kept as sorted hash arrays in the shared folder, one file per task's attempt, and mapped into memory for
+verification. Sets equal in size and in 128 bits of their elements become one class first, so copies are never paired with
+each other; within a list, pairs that are in one component already need no verification.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SCAN = 4
 FREQUENT = 0.002
 #: Ranges of hashes in which a set's elements are counted: two sets share at most the sum of the smaller counts.
 RANGES = 128
+#: Bytes of the documents' files for which there is a part of the lists.
+BYTES = 16 << 20
 #: Elements of sets that are compared at once.
 BLOCK = 1 << 20
 
@@ -44,17 +47,17 @@ def least_shared(n: int, percent: int) -> int:
 
 def sets_of(docs: DataFrame, folder: str, k: int) -> DataFrame:
     def build(batches):
-        part = TaskContext.get().partitionId()
-        out = store.Appender(folder, f"sets-{part}")
+        attempt = TaskContext.get().taskAttemptId()  # offsets hold for this attempt's order of rows only
+        out = store.Appender(folder, f"sets-{attempt}")
         for rows, u8, off in flat.slices(batches):
             h, at = flat.words(u8, off)
-            n, total, offset = (np.zeros(len(off) - 1, t) for t in (np.int64, np.uint64, np.int64))
+            n, total, other, offset = (np.zeros(len(off) - 1, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
             for i, s in enumerate(flat.shingle_sets(h, at, k)):
-                n[i], total[i], offset[i] = len(s), flat.mix(s).sum(dtype=np.uint64), out.add(s)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(total.view(np.int64)), pa.array(np.full(len(n), part, np.int32)), pa.array(offset)], ["doc_id", "n", "total", "file", "offset"])
+                n[i], total[i], other[i], offset[i] = len(s), flat.mix(s).sum(dtype=np.uint64), flat.mix(s ^ flat.U(0xA0761D6478BD642F)).sum(dtype=np.uint64), out.add(s)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(n), attempt, np.int64)), pa.array(offset)], ["doc_id", "n", "total", "other", "file", "offset"])
         out.close()
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, total long, file int, offset long")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, total long, other long, file long, offset long")
 
 
 class Sets:
@@ -66,6 +69,8 @@ class Sets:
     def __call__(self, file: int, offset: int, n: int) -> np.ndarray:
         if file not in self.files:
             self.files[file] = store.mapped(self.folder, f"sets-{file}", np.uint64)
+        if offset + n > len(self.files[file]):
+            raise OSError(f"sets-{file} is shorter than its rows say")
         return self.files[file][offset : offset + n]
 
 
@@ -112,13 +117,15 @@ def entries(reps: DataFrame, folder: str, percent: int, light: int, freq: tuple[
                 keys.append(flat.mix(m.sum(dtype=np.uint64) - drop))
                 shared.append(np.full(len(drop), n - j, np.int32))
         if n > light:
-            p = out + 1
+            p, df = out + 1, np.zeros(len(s), np.int64)
             if len(freq[0]):
                 at = np.minimum(np.searchsorted(freq[0], s), len(freq[0]) - 1)
                 df = np.where(freq[0][at] == s, freq[1][at], 0)
-                s = s[df == 0][:p] if (df == 0).sum() >= p else s[np.lexsort((s, df))[:p]]
-            keys.append(np.array(s[:p]))
-            shared.append(np.full(p, -1, np.int32))
+            first = np.flatnonzero(df == 0)[:p] if (df == 0).sum() >= p else np.lexsort((s, df))[:p]
+            often = np.array(s[first[df[first] > 0]])
+            band = int(np.log(n) / np.log(max(100 / percent, 1.001)) + 1e-9)  # partners are in the same band or one beside it
+            keys += [np.array(s[first[df[first] == 0]]), *(flat.mix(often + flat.U(b + 1)) for b in (band, band + 1))]
+            shared.append(np.full(sum(map(len, keys[-3:])), -1, np.int32))
         return keys, shared
 
     def emit(batches):
@@ -134,7 +141,7 @@ def entries(reps: DataFrame, folder: str, percent: int, light: int, freq: tuple[
                     size.append(sum(map(len, k)))
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "shared": np.concatenate(shared), **{c: np.repeat(pdf[c].to_numpy(), size) for c in ("doc_id", "n", "file", "offset")}})
 
-    return reps.mapInPandas(emit, "key long, shared int, doc_id long, n long, file int, offset long")
+    return reps.mapInPandas(emit, "key long, shared int, doc_id long, n long, file long, offset long")
 
 
 class Joined:
@@ -177,10 +184,18 @@ def linked(folder: str, percent: int):
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shared[1:] != shared[:-1])])
         length = np.diff(np.r_[first, len(pdf)])
         head = np.repeat(first, length)
+
+        def check(x, y):
+            """Joins the sets in rows x and y if they are known to be apart so far, and link."""
+            if joined.top(int(doc[x])) != joined.top(int(doc[y])):
+                both = int(shared_counts(read(file[x], offset[x], n[x]), [read(file[y], offset[y], n[y])])[0])
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    joined.join(int(doc[x]), int(doc[y]))
+                    a.append(doc[x : x + 1]), b.append(doc[y : y + 1])
+
         ok = (shared >= 0) & (head != np.arange(len(pdf))) & (100 * shared.astype(np.int64) >= percent * (n + n[head] - shared))
-        for x, y in zip(doc[ok].tolist(), doc[head[ok]].tolist()):  # the smallest set stands for its group: what does not link with it links with none
-            joined.join(x, y)
-        a.append(doc[ok]), b.append(doc[head[ok]])
+        for x, y in zip(np.flatnonzero(ok).tolist(), head[ok].tolist()):  # the smallest set stands for its group: what does not link with it links with none
+            check(x, y)
         lists = shared[first] < 0
         many = np.flatnonzero(np.repeat(lists & (length > 1), length))
         _, one, which = np.unique(doc[many], return_index=True, return_inverse=True)
@@ -209,12 +224,7 @@ def linked(folder: str, percent: int):
             order = np.lexsort((hi, lo))
             new = order[np.r_[True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)]] if len(order) else order
             for x, y in zip(i[new].tolist(), j[new].tolist()):
-                if joined.top(doc[x]) == joined.top(doc[y]):
-                    continue
-                both = int(shared_counts(read(file[x], offset[x], n[x]), [read(file[y], offset[y], n[y])])[0])
-                if 100 * both >= percent * (n[x] + n[y] - both):
-                    joined.join(int(doc[x]), int(doc[y]))
-                    a.append(doc[x : x + 1]), b.append(doc[y : y + 1])
+                check(x, y)
         for s, size in zip(first[lists & (length > SHORT)], length[lists & (length > SHORT)]):
             at = np.arange(s, s + size)
             own = counts[of[at]] / n[at, None]
@@ -235,7 +245,7 @@ def linked(folder: str, percent: int):
                     top = np.array([joined.top(x) for x in doc[at].tolist()])
         pdf = key = shared = doc = n = file = offset = read = None
         flat.trim()
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
 
     return scan
 
@@ -255,15 +265,17 @@ class Kept:
             order = np.argsort(key)
             s = int(by.of(key[:1])[0])
             by.write(s, key[order], n=pdf["n"].to_numpy()[order])
-            return pd.DataFrame({"shard": [s], "many": [int((pdf["n"] > 1).sum())]})
+            return pd.DataFrame({"shard": [s], "n": [len(key)], "many": [int((pdf["n"] > 1).sum())]})
 
         def home(batches):
             for pdf in batches:
                 yield pdf.assign(shard=by.of(flat.mix(pdf["doc_id"].to_numpy(np.int64).view(np.uint64))).astype(np.int32))
 
         dealt = ids.mapInPandas(home, "doc_id long, n long, shard int")
-        dealt.groupBy("shard").applyInPandas(lambda pdf: put(pdf), "shard int, many long").write.mode("overwrite").parquet(f"{by.folder}/stored")
-        return ids.sparkSession.read.parquet(f"{by.folder}/stored").agg(F.sum("many")).first()[0] or 0
+        dealt.groupBy("shard").applyInPandas(lambda pdf: put(pdf), "shard int, n long, many long").write.mode("overwrite").parquet(f"{by.folder}/stored")
+        stored = ids.sparkSession.read.parquet(f"{by.folder}/stored").collect()  # a row for each shard
+        by.sealed({r["shard"]: r["n"] for r in stored})
+        return sum(r["many"] for r in stored)
 
     def only(self, docs: DataFrame, many: bool) -> DataFrame:
         """Rows whose id is kept and stands in several rows, or else in one; rows with a null doc_id count as one."""
@@ -284,7 +296,7 @@ def first_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
     No text moves between tasks. Rows that repeat one doc_id and text count as one; rows with a null doc_id stay.
     """
     spark = docs.sparkSession
-    kept = Kept(store.shared_dir(spark, "kept"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    kept = Kept(store.shared_dir(spark, "kept"), store.parts_for(docs, BYTES))
     first = jaccard_join(docs, k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     many = kept.write(first)
     out = kept.only(docs, False)
@@ -301,15 +313,15 @@ def jaccard_join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     folder = store.shared_dir(spark, "jaccard")
     every = store.saved(sets_of(docs, folder, k), folder, "rows")
-    reps = every.where("n > 0 and doc_id is not null").groupBy("total", "n").agg(F.min(F.struct("doc_id", "file", "offset")).alias("r"))
-    reps = store.saved(reps.select("r.doc_id", "n", "r.file", "r.offset", "total"), folder, "classes")
+    reps = every.where("n > 0 and doc_id is not null").groupBy("total", "other", "n").agg(F.min(F.struct("doc_id", "file", "offset")).alias("r"))
+    reps = store.saved(reps.select("r.doc_id", "n", "r.file", "r.offset", "total", "other"), folder, "classes")
     sizes = {r["n"]: r["count"] for r in reps.where("n < 128").groupBy("n").count().collect()}  # at most 127 rows
     light = boundary(sizes, percent)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    parts = store.parts_for(docs, BYTES) * 4
     rows = entries(reps.select("doc_id", "n", "file", "offset"), folder, percent, light, frequent(reps, folder))
     links = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("bucket")).applyInPandas(linked(folder, percent), "a long, b long")
     cc = components(links, folder)
     store.drop(folder, "sets-")
-    of = reps.join(cc, reps.doc_id == cc.id, "left").select("total", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    full = every.join(of, ["total", "n"], "left")
+    of = reps.join(cc, reps.doc_id == cc.id, "left").select("total", "other", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    full = every.join(of, ["total", "other", "n"], "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

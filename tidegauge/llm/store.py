@@ -1,9 +1,10 @@
 """Files in the folder that driver and executors share, and sorted arrays that workers map into memory.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, single
-machine) a temporary folder of this process is used. Every file is written under a temporary name and
-renamed, and its content depends on its task's input alone, so a task that runs again after a
-lost executor writes the same bytes to the same place.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local
+(tests, single machine) a temporary folder of this process is used. Every file is written under a temporary
+name and renamed. Where its content depends on its task's rows as a set, a task that runs again writes the
+same bytes to the same place; where it depends on their order, the attempt is part of the name and of the rows.
+Tasks return what they wrote, readers are told, and a file that should be there and is not is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(most))
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
     if not base:
         if _own is None:
             _own = tempfile.mkdtemp(prefix="tidegauge-")
@@ -76,19 +79,33 @@ def drop(folder: str, prefix: str) -> None:
             fs.delete_dir(x.path) if x.type == pafs.FileType.Directory else fs.delete_file(x.path)
 
 
-def mapped(folder: str, name: str, dtype) -> np.ndarray:
-    """The array, mapped into memory; from a store without POSIX paths by way of an unlinked local copy."""
+def mapped(folder: str, name: str, dtype, least: int = 1) -> np.ndarray:
+    """The array, mapped into memory; from a store without POSIX paths by way of an unlinked local copy.
+
+    Raises FileNotFoundError where there is no such file, OSError where it holds fewer than ``least`` elements.
+    """
     if folder.startswith("file://"):
-        path = f"{folder[7:]}/{name}"
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
-    fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return np.zeros(0, dtype)
-    with tempfile.NamedTemporaryFile() as tmp:
+        path, tmp = f"{folder[7:]}/{name}", None
+    else:
+        fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
+        tmp = tempfile.NamedTemporaryFile()
         with fs.open_input_stream(path) as src:
             shutil.copyfileobj(src, tmp)
         tmp.flush()
-        return np.memmap(tmp.name, dtype=dtype, mode="r") if os.path.getsize(tmp.name) else np.zeros(0, dtype)
+        path = tmp.name
+    size = os.path.getsize(path)
+    if size < least * np.dtype(dtype).itemsize:
+        raise OSError(f"{folder}/{name} holds {size} bytes, not {least} elements")
+    out = np.memmap(path, dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+    if tmp:
+        tmp.close()
+    return out
+
+
+def parts_for(df: DataFrame, each: int) -> int:
+    """Into how many parts of ``each`` bytes of files the rows fall, by Spark's estimate of the plan's size; shuffle partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 17))
 
 
 class Lookup:
@@ -96,18 +113,25 @@ class Lookup:
 
     def __init__(self, folder: str, name: str, shards: int, values: dict[str, str]):
         self.folder, self.name, self.shards, self.values, self._open = folder, name, shards, values, {}
+        self.sizes: dict[int, int] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
+    def sealed(self, sizes: dict[int, int]) -> None:
+        """Tells readers how many keys the writers put into each shard; shards without any need no file."""
+        self.sizes = {int(s): int(n) for s, n in sizes.items() if n}
+
     def write(self, shard: int, keys: np.ndarray, **values: np.ndarray) -> None:
-        for k, dtype in self.values.items():
-            put(self.folder, f"{self.name}-{shard}.{k}", values[k].astype(dtype))
+        """Files of a shard's sorted keys and of those value arrays that are given."""
+        for k, array in values.items():
+            put(self.folder, f"{self.name}-{shard}.{k}", array.astype(self.values[k]))
         put(self.folder, f"{self.name}-{shard}.key", keys.astype(np.uint64))
 
     def shard(self, s: int) -> dict[str, np.ndarray]:
         if s not in self._open:
-            self._open[s] = {k: mapped(self.folder, f"{self.name}-{s}.{k}", d) for k, d in (self.values | {"key": "u8"}).items()}
+            n = self.sizes.get(s, 0)
+            self._open[s] = {k: mapped(self.folder, f"{self.name}-{s}.{k}", d, n) if n else np.zeros(0, d) for k, d in (self.values | {"key": "u8"}).items()}
         return self._open[s]
 
     def of(self, keys: np.ndarray) -> np.ndarray:

@@ -27,30 +27,41 @@ from .flat import U
 
 #: Bytes of passages whose suffixes are sorted at once.
 SHARD = 1_500_000
+#: Bytes of the documents' files for which there are eight shards.
+BYTES = 10 << 20
 #: Anchors that a task gathers before it sends them.
 GATHER = 2 << 20
 BLOCK = 1 << 17
+#: Windows whose anchors are found at once; places in a block take under 28 bits.
+WINDOWS = 4 << 20
 
 
 def anchors(u8: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: its hash, the run's text, first window's start, number of windows."""
-    k = max(1, length * 2 // 5)
-    starts = flat.ragged(off[:-1], np.maximum(0, np.diff(off) - length + 1))
-    if not len(starts):
+    k, parts = max(1, length * 2 // 5), []
+    for a in range(0, max(1, len(u8) - length + 1), WINDOWS):  # a run that crosses blocks becomes two
+        u, lo = u8[a : a + WINDOWS + length - 1], np.searchsorted(off, a, "right") - 1
+        hi = int(np.searchsorted(off, a + len(u), "left"))
+        own = np.clip(off[lo : hi + 1] - a, 0, len(u))
+        starts = flat.ragged(own[:-1], np.maximum(0, np.diff(own) - length + 1))
+        if not len(starts):
+            continue
+        h = flat.rolling(u, k)
+        at = np.arange(len(h))
+        least = (h & U(0xFFFFFFFFF0000000)) | at.astype(np.uint64)  # leftmost of equals
+        span, width = length - k + 1, 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < span:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        place = (least[starts] & U(0xFFFFFFF)).astype(np.int64)
+        text = np.searchsorted(own, starts, "right") - 1
+        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+        parts.append((flat.mix(h[place[head]]) & ~U(1), text[head] + lo, starts[head] + a, np.diff(np.r_[head, len(starts)])))
+    if not parts:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    at = np.arange(len(u8) - k + 1)
-    h = flat.hashes(u8, at, at + k, lower=False)
-    least = (h & U(0xFFFFFFFFF0000000)) | (at & 0xFFFFFFF).astype(np.uint64)  # leftmost of equals; texts of a slice are under 2**28 bytes, or the place is found again below
-    span, width = length - k + 1, 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    place = starts + ((least[starts] - starts.astype(np.uint64)) & U(0xFFFFFFF)).astype(np.int64)
-    text = np.searchsorted(off, starts, "right") - 1
-    head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-    return flat.mix(h[place[head]]) & ~U(1), text[head], starts[head], np.diff(np.r_[head, len(starts)])
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def shared_anchors(docs: DataFrame, folder: str, length: int, shards: int) -> store.Lookup:
@@ -91,6 +102,7 @@ def shared_anchors(docs: DataFrame, folder: str, length: int, shards: int) -> st
         return pd.DataFrame({"shard": [s], "n": [int(many.sum())]})
 
     docs.select("text").mapInArrow(gather, "shard int, hashes binary").groupBy("shard").applyInPandas(merge, "shard int, n long").write.mode("overwrite").parquet(f"{folder}/anchors")
+    found.sealed({r["shard"]: r["n"] for r in docs.sparkSession.read.parquet(f"{folder}/anchors").collect()})  # a row for each shard
     return found
 
 
@@ -214,7 +226,7 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
                 continue
             h, text, start, wins = h[keep], text[keep], start[keep], wins[keep]
             size = wins + length - 1
-            same = flat.hashes(u8, start, start + size, lower=False)
+            same = flat.equals(u8, start, start + size)[1]
             order = np.lexsort((doc[text], same))
             head = np.r_[True, same[order][1:] != same[order][:-1]]
             first = np.empty(len(order), np.int64)
@@ -252,8 +264,8 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
         pdf = None
         size = wins + length - 1
         off = np.r_[0, np.cumsum(size)]
-        uniq, one, back = np.unique(flat.hashes(u8, off[:-1], off[1:], lower=False), return_index=True, return_inverse=True)
-        low = np.full(len(uniq), np.iinfo(np.int64).max)
+        one, back = flat.equals(u8, off[:-1], off[1:])
+        low = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(low, back, doc)
         own = np.r_[0, np.cumsum(size[one])]
         least = smallest(u8[flat.ragged(off[one], size[one])], own, low, length)
@@ -292,7 +304,8 @@ class Spans:
         self.folder, self.by = folder, store.Lookup(folder, "spans", shards, {"first": "i8", "n": "i8"})
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def write(self, s: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def write(self, s: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> int:
+        """Returns how many documents have spans."""
         key = flat.mix(doc.view(np.uint64))
         order = np.lexsort((start, key))
         key = key[order]
@@ -300,6 +313,7 @@ class Spans:
         store.put(self.folder, f"ends-{s}", end[order])
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         self.by.write(s, key[head], first=head, n=np.diff(np.r_[head, len(key)]))
+        return len(head)
 
     def of(self, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         key, back = np.unique(flat.mix(doc.view(np.uint64)), return_inverse=True)
@@ -321,17 +335,18 @@ def repeated_spans(docs: DataFrame, length: int) -> Spans:
     """The maximal runs of bytes, by document, that ``length``-byte strings of smaller doc_ids cover."""
     spark = docs.sparkSession
     folder = store.shared_dir(spark, "suffix")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = store.parts_for(docs, BYTES)
     shards, homes = 8 * parts, -(-parts // 4)  # a shard sends a row to each home at most
     spans = Spans(folder, homes)
     found = found_spans(docs, shared_anchors(docs, folder, length, shards), length, shards, homes)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         s = -1 - int(pdf["shard"].iloc[0])
-        spans.write(s, *merged(*(np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("docs", "starts", "ends"))))
-        return pd.DataFrame({"home": [s], "rows": [len(pdf)]})
+        n = spans.write(s, *merged(*(np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("docs", "starts", "ends"))))
+        return pd.DataFrame({"home": [s], "docs": [n]})
 
-    found.groupBy("shard").applyInPandas(keep, "home int, rows long").write.mode("overwrite").parquet(f"{folder}/homes")
+    found.groupBy("shard").applyInPandas(keep, "home int, docs long").write.mode("overwrite").parquet(f"{folder}/homes")
+    spans.by.sealed({r["home"]: r["docs"] for r in spark.read.parquet(f"{folder}/homes").collect()})  # a row for each home
     store.drop(folder, "anchors")
     return spans
 

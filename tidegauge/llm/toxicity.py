@@ -32,6 +32,8 @@ _FEATURES = 1 + len(PASSAGES)
 #: Bytes of an n-gram with its own counts by class, and of one of the shared backoff; END and BEGIN stand round a word.
 ORDER, SHORT = 6, 3
 END, BEGIN, _BITS = 256, 257, 9
+#: Columns of a block of counts: n-gram, then each fold's two classes.
+KINDS = ["u8", *["u4"] * (2 * FOLDS)]
 
 
 def discount(c: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def spelled(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Each word's number among the slice's distinct words, where each text's words begin, and of the distinct words' bytes, A-Z as a-z, with END: the n-gram that ends at each, where each word's begin."""
     start, end = flat.spans(u8, off)
     at = np.searchsorted(start, off)
-    _, one, word = np.unique(flat.hashes(u8, start, end), return_index=True, return_inverse=True)
+    one, word = flat.equals(u8, start, end, lower=True)
     size = end[one] - start[one] + 1
     begin = np.r_[0, np.cumsum(size)]
     place = flat.ragged(np.zeros(len(one), np.int64), size)
@@ -81,8 +83,11 @@ class Models:
         self.curve = np.zeros(_FEATURES + 1)
         self.scale = np.stack([np.zeros(_FEATURES), np.ones(_FEATURES)])
 
-    def write(self, keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
-        """From distinct n-grams, sorted, and their counts in both classes."""
+    def tables(self) -> list[store.Lookup]:
+        return [self.long, self.left, self.short, self.tail]
+
+    def write(self, keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> list[int]:
+        """From distinct n-grams, sorted, and their counts in both classes; returns the sizes of the tables."""
         some = ordinary + toxic > 0
         keys, ordinary, toxic = keys[some], ordinary[some], toxic[some]
         got = {"0": conditional(keys, ordinary), "1": conditional(keys, toxic), "s": conditional(keys, ordinary + toxic)}
@@ -92,6 +97,7 @@ class Models:
         p, ctx, free = conditional(short, contexts)
         self.short.write(0, short, s=p)
         self.tail.write(0, ctx, s=free)
+        return [len(keys), len(got["s"][1]), len(short), len(ctx)]
 
     def ratios(self, key: np.ndarray) -> np.ndarray:
         """The log of toxic over ordinary probability of each n-gram's last sign."""
@@ -162,20 +168,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Models:
             kind = np.repeat(rows.column("fold").to_numpy() * 2 + (rows.column("toxic").to_numpy() > 0), np.diff(at))
             which = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
             (keys,), sums = summed([key], [np.bincount(word[kind == k], minlength=len(begin) - 1)[which] for k in range(2 * FOLDS)])
-            yield pa.RecordBatch.from_arrays([pa.array([blob([keys, *sums])], pa.binary())], ["data"])
+            yield pa.RecordBatch.from_arrays([pa.array([blob([keys, *sums], KINDS)], pa.binary())], ["data"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, sums = np.zeros(0, np.uint64), [np.zeros(0, np.int32)] * 2 * FOLDS
         for a in range(0, len(pdf), 4):
-            parts = [unblob(x, 1, 2 * FOLDS) for x in pdf["data"].iloc[a : a + 4]]
+            parts = [unblob(x, KINDS) for x in pdf["data"].iloc[a : a + 4]]
             (keys,), sums = summed([np.concatenate([keys, *(p[0] for p in parts)])], [np.concatenate([sums[i], *(p[1 + i].astype(np.int32) for p in parts)]) for i in range(2 * FOLDS)])
         total = [sum(sums[c::2]) for c in (0, 1)]
-        models.write(keys, *total)
+        sizes = models.write(keys, *total)
         for f, m in enumerate(without):
-            m.write(keys, *(total[c] - sums[2 * f + c] for c in (0, 1)))
-        return pd.DataFrame({"n": [len(keys)]})
+            sizes += m.write(keys, *(total[c] - sums[2 * f + c] for c in (0, 1)))
+        return pd.DataFrame({"sizes": [sizes]})
 
-    chosen.mapInArrow(count, "data binary").groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: merge(pdf), "n long").collect()  # one row
+    stored = chosen.mapInArrow(count, "data binary").groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: merge(pdf), "sizes array<long>").collect()  # one row, or none without labels
+    for r in stored:
+        for table, n in zip([x for m in (models, *without) for x in m.tables()], r["sizes"]):
+            table.sealed({0: n})
 
     def measure(batches):
         for rows, u8, off in flat.slices(batches):
