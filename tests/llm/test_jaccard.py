@@ -97,6 +97,6 @@ def test_lost_scratch_files_are_an_error(spark, documents, monkeypatch):
 
 def test_a_long_chain_is_one_component(spark):
     n = 3000
-    links = spark.range(n - 1).selectExpr("(id * 7919) % 3000 as a", "(id * 7919 + 1) % 3000 as b").where("b > a")
+    links = spark.range(n).selectExpr("(id * 7919) % 3000 as a", "(id * 7919 + 1) % 3000 as b").where("b > a")
     got = components.components(links, store.shared_dir(spark, "chain")).collect()
     assert len(got) == n and {r["component_id"] for r in got} == {0}
