@@ -32,6 +32,8 @@ ROWS, SHARDS = 100_000, 6
 AUDIT, AUDITS, RECALL = 256, 16_384, 0.995
 #: Links that are few (a beam seldom fills with them), and audited classes that should have so few.
 FEW, ENOUGH = 32, 64
+#: Classes whose links are found at once.
+QUERIES = 1024
 #: Marks of visited nodes that a block of queries may take.
 MARKS = 1 << 22
 
@@ -255,9 +257,9 @@ def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFram
         opened, parts = list(shards.open()), shards.parts()
         for rows in batches:
             ids, raw, copies = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), shards.d), rows.column("times").to_numpy()
-            for i in range(0, len(ids), 1024):
-                own = ids[i : i + 1024]
-                row, index, node = shards.links(opened, own, raw[i : i + 1024], least, width)
+            for i in range(0, len(ids), QUERIES):
+                own = ids[i : i + QUERIES]
+                row, index, node = shards.links(opened, own, raw[i : i + QUERIES], least, width)
                 to, times, part = np.zeros((3, len(row)), np.int64)
                 mine = own.copy()
                 for x, one in enumerate(opened):
@@ -269,7 +271,7 @@ def found(reps: DataFrame, shards: Shards, least: float, width: int) -> DataFram
                 a, b = roots(np.r_[mine[row], own], np.r_[part, mine])
                 few = m[row] <= FEW
                 a, b = a[a != b], b[a != b]
-                columns = [np.repeat([COUNT, JOIN, LINK], [len(own), len(a), int(few.sum())]), np.r_[own, a, own[row[few]]], np.r_[m, b, to[few]], np.r_[n, b, times[few]], np.r_[n, b, copies[i : i + 1024][row[few]]]]
+                columns = [np.repeat([COUNT, JOIN, LINK], [len(own), len(a), int(few.sum())]), np.r_[own, a, own[row[few]]], np.r_[m, b, to[few]], np.r_[n, b, times[few]], np.r_[n, b, copies[i : i + QUERIES][row[few]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "a", "b", "n", "own"])
 
     return reps.select("vec_id", "embedding", "times").mapInArrow(run, "kind long, a long, b long, n long, own long")
@@ -399,7 +401,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
                 break
             width *= 2
     joined_inside(spark, shards, least, width)
-    links = store.saved(found(reps.repartition(4 * store.parts_for(reps, 16 << 20), "vec_id"), shards, least, width), folder, "links")
+    links = store.saved(found(reps.repartition(min(-(-total // QUERIES), 1 << 16), "vec_id"), shards, least, width), folder, "links")
     for name in ("raw-", "unit-", "near"):
         store.drop(folder, name)
     cc = components(links.where(F.col("kind") == JOIN).select("a", "b"), folder)

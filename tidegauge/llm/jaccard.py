@@ -35,7 +35,7 @@ FREQUENT = 0.002
 #: Ranges of hashes in which a set's elements are counted: two sets share at most the sum of the smaller counts.
 RANGES = 128
 #: Bytes of the documents' files for which there is a part of the lists.
-BYTES = 16 << 20
+BYTES = 10 << 20
 #: Elements of sets that are compared at once.
 BLOCK = 1 << 20
 

@@ -103,9 +103,12 @@ def mapped(folder: str, name: str, dtype, least: int = 1) -> np.ndarray:
 
 
 def parts_for(df: DataFrame, each: int) -> int:
-    """Into how many parts of ``each`` bytes of files the rows fall, by Spark's estimate of the plan's size; shuffle partitions at least."""
+    """Into how many parts of ``each`` bytes of files the rows fall, by Spark's estimate of the plan's size; 8 at least, or the shuffle partitions if fewer.
+
+    Shuffle partitions do not set the number otherwise: blocks go from parts to parts, and would grow with its square.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 17))
+    return max(1, min(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), min(-(-size // each), 1 << 17))
 
 
 class Lookup:
