@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,19 +38,9 @@ def point_metrics(rows: DataFrame, events: DataFrame, by: list[str]) -> DataFram
     return total.join(got, by).withColumn("fp", F.col("alarms") - F.col("tp")).select(*by, "n", "tp", "fp", "fn", "pa_tp", "pa_fn")
 
 
-def event_outcomes(rows: DataFrame, events: DataFrame, by: list[str], threshold: float, context: int = 128) -> DataFrame:
-    """Per event its largest score and a category, first match wins: hit, near miss, spike, noisy before, unknown."""
-    e = events.select(*by, "start", "end")
-    own = rows.join(e, by).where("t between start and end").groupBy(*by, "start", "end").agg(F.max("score").alias("top"), F.avg("z").alias("level"))
-    past = rows.join(e, by).where(F.col("t").between(F.col("start") - context, F.col("start") - 1)).groupBy(*by, "start").agg(F.stddev_pop("z").alias("spread"))
-    out = own.join(past, [*by, "start"], "left")
-    kind = F.when(F.col("top") >= threshold, "hit").when(F.col("top") >= 0.8 * threshold, "threshold_miss").when(F.col("end") - F.col("start") < 5, "short_spike").when(F.col("spread") > 1.2, "noisy_context").otherwise("unknown")
-    return out.withColumn("category", kind)
-
-
 def ranked(trials: DataFrame, keep: int) -> DataFrame:
-    """Trials by F1 to 3 places, then fewer settings, then fewer false runs, then id; the first ``keep``."""
-    place = F.row_number().over(Window.orderBy(F.round("f1", 3).desc(), "complexity", "fp", "trial"))
+    """Trials by F1 to 3 places, then fewer settings, higher precision, higher macro F1, fewer false runs, id; the first ``keep``. Runtimes, which differ by run, do not count."""
+    place = F.row_number().over(Window.orderBy(F.round("f1", 3).desc(), "complexity", F.col("precision").desc(), F.col("macro_f1").desc(), "fp", "trial"))  # over trials
     return trials.withColumn("place", place.cast("long")).where(F.col("place") <= keep)
 
 
@@ -65,48 +53,19 @@ def trials(rows: DataFrame, events: DataFrame, grid: list[tuple[int, float, int]
     spans = runs(rows.select("channel", "t", "score", options).select("channel", "t", "score", "o.*").withColumn("alarm", F.col("score") >= F.col("threshold")), ["trial", "least", "channel"])
     spans = spans.where(F.col("end") - F.col("start") + 1 >= F.col("least")).select("trial", "channel", "start", "end")
     every = events.select("channel", "start", "end", "class", F.explode(F.array(*(F.lit(i) for i, _, _ in grid))).alias("trial"))
-    m = channel_metrics(spans, every, ["trial", "channel"]).groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    each = channel_metrics(spans, every, ["trial", "channel"])
+    m = each.groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.avg(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).alias("macro_f1"))
     cost = F.create_map(*(F.lit(x) for i, t, n in grid for x in (i, int(t != grid[0][1]) + int(n != grid[0][2]))))
-    return m.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).withColumn("complexity", cost[F.col("trial")])
-
-
-def bootstrap(channels: DataFrame, spark, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """Percentile interval of pooled F1 over channels drawn with replacement; the draws are made by key, the sums in Spark."""
-    n = channels.count()
-    place = channels.withColumn("place", F.row_number().over(Window.orderBy("channel")) - 1)
-    idx = np.random.default_rng(np.random.SeedSequence(seed)).integers(0, max(1, n), (draws, n))
-    drawn = spark.createDataFrame([(int(r), int(i)) for r, row in enumerate(idx) for i in row], "rep long, place long")
-    sums = drawn.join(F.broadcast(place), "place").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    f1 = sums.select(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias("f1"))
-    return f1.agg(F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"))
-
-
-def wilcoxon(differences: list[float]) -> float:
-    """Two-sided signed-rank p: exact without ties and up to 50 differences, else normal with corrections; 1 without any."""
-    d = [x for x in differences if abs(x) > 1e-12]
-    n = len(d)
-    if not n:
-        return 1.0
-    order = sorted(range(n), key=lambda i: abs(d[i]))
-    rank, i, ties = [0.0] * n, 0, 0
-    while i < n:
-        j = i
-        while j + 1 < n and math.isclose(abs(d[order[j + 1]]), abs(d[order[i]]), rel_tol=1e-9, abs_tol=1e-12):
-            j += 1
-        for k in range(i, j + 1):
-            rank[order[k]] = (i + j) / 2 + 1
-        ties += (j - i + 1) ** 3 - (j - i + 1)
-        i = j + 1
-    plus = sum(r for r, x in zip(rank, d) if x > 0)
-    least = min(plus, n * (n + 1) / 2 - plus)
-    if not ties and n <= 50:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] += ways[:-r].copy()
-        return min(1.0, 2 * ways[: int(least) + 1].sum() / 2**n)
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
-    return min(1.0, math.erfc(max(0.0, n * (n + 1) / 4 - least - 0.5) / sd / math.sqrt(2)))
+    p, _, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return m.withColumns({"precision": p, "f1": f1, "complexity": cost[F.col("trial")]})
+
+
+def bootstrap(channels: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """Percentile interval of pooled F1 over channels drawn with replacement, by keyed draws that tasks make."""
+    from .statistics import resampled_f1
+
+    rows = channels.select(F.lit("all").alias("group"), "channel", "tp", (F.col("tp") + F.col("fn")).alias("events"), "fp")
+    return resampled_f1(rows, ["group"], "channel", draws, seed).agg(F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"))
 
 
 def pca_residuals(rows: DataFrame, lags: int = 16, share: float = 0.9, most: int = 8) -> DataFrame:

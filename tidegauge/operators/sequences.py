@@ -22,11 +22,40 @@ def standardized(rows: DataFrame, stream: list[str], block: str | None, value: s
     return out.withColumn("z", F.when(F.col("step") < warmup, 0.0).otherwise(F.coalesce(z, F.lit(0.0))))
 
 
-def ewma(rows: DataFrame, by: list[str], lam: float = 0.2, reach: int = 127) -> DataFrame:
-    """abs(e) over its stationary deviation, e = lam z + (1 - lam) e; states more than ``reach`` steps old weigh under (1 - lam) ** reach."""
-    w = Window.partitionBy(*by).orderBy("step").rowsBetween(-reach, 0)
-    e = F.aggregate(F.collect_list("z").over(w), F.lit(0.0), lambda a, q: lam * q + (1 - lam) * a)
-    return rows.withColumn("ewma", F.abs(e) / (lam / (2 - lam)) ** 0.5)
+def weighted(rows: DataFrame, stream: list[str], block: str, value: str, observed: str, size: int, warmup: int) -> DataFrame:
+    """As ``standardized`` for block means over ``observed`` of ``size`` channels: residuals weigh by the root of the share observed; z is 0 where none is.
+
+    With all channels observed it is the plain rule, whose degrees of freedom are the warm-up cells less the blocks.
+    """
+    weight = F.sqrt(F.col(observed) / size)
+    known = rows.withColumn("_m", F.when(F.col(observed) > 0, F.col(value)))
+    warm = F.when(F.col("step") < warmup, F.col("_m"))
+    mu = known.groupBy(*stream, block).agg(F.avg(warm).alias("mu"))  # a row per block
+    both = known.join(mu, [*stream, block])
+    res = F.when(F.col("step") < warmup, (F.col("_m") - F.col("mu")) * weight)
+    one = both.groupBy(*stream).agg(F.sum(res * res).alias("_ss"), F.count(res).alias("_n"), F.count_distinct(F.when(F.col("mu").isNotNull(), F.col(block))).alias("_b"))
+    sigma = one.select(*stream, F.greatest(F.sqrt(F.coalesce("_ss", F.lit(0.0)) / F.greatest(F.col("_n") - F.col("_b"), F.lit(1))), F.lit(1e-9)).alias("sigma"))
+    z = F.when(F.col("step") < warmup, 0.0).otherwise(F.coalesce((F.col("_m") - F.col("mu")) * weight / F.col("sigma"), F.lit(0.0)))
+    return both.join(sigma, stream).withColumn("z", z).drop("_m")
+
+
+def ewma(rows: DataFrame, by: list[str], lam: float = 0.2, part: int = 256) -> DataFrame:
+    """abs(e) over its stationary deviation, e = lam z + (1 - lam) e over all steps before.
+
+    The recursion is linear: parts of ``part`` steps are folded on their own, then the parts' ends, and each step adds
+    what is left of the state at its part's start. No array holds a whole stream's steps.
+    """
+    keep = 1 - lam
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("step")) - 1
+    cut = rows.withColumn("_part", F.floor(place / part)).withColumn("_at", (place % part).cast("long"))
+    w = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("_own", F.aggregate(F.collect_list("z").over(w), F.lit(0.0), lambda a, q: lam * q + keep * a))
+    ends = own.groupBy(*by, "_part").agg(F.max_by("_own", "_at").alias("_end"), (F.max("_at") + 1).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.aggregate(F.collect_list(F.struct("_end", "_n")).over(before), F.lit(0.0), lambda a, x: x["_end"] + F.pow(F.lit(keep), x["_n"]) * a)
+    start = ends.select(*by, "_part", carry.alias("_carry"))
+    e = F.col("_own") + F.pow(F.lit(keep), F.col("_at") + 1) * F.col("_carry")
+    return own.join(start, [*by, "_part"]).withColumn("ewma", F.abs(e) / (lam / (2 - lam)) ** 0.5).drop("_part", "_at", "_own", "_carry")
 
 
 def cusum(rows: DataFrame, by: list[str], k: float = 0.5) -> DataFrame:

@@ -126,12 +126,30 @@ def q_localization_error(spark, sf):
     return blocks.distance_to_truth(marks(spark, sf), "vec_id").select("vec_id", "distance")
 
 
-SUMMARY = UNITS + f", summary as (select label, count(*) as n, count(case when n_detected > 0 then 1 end) as k, avg((n_detected > 0)::int::double) as alarm_rate, avg((hits = un)::int::double) as exact_rate, avg({IOU}) as mean_iou, avg(top) as mean_top, min(top) as min_top, max(top) as max_top from units group by label)"
+EXPECT = "case label % 3 when 0 then 'none' when 1 then 'event_blocks' else 'all_blocks' end"
+NEAR = "near as (select d.vec_id, min(abs(d.block - t.block)) as distance from marks d join marks t on d.vec_id = t.vec_id and t.truth and d.detected group by d.vec_id)"
+SUMMARY = UNITS + f", {NEAR}, summary as (select label, {EXPECT} as expectation, count(*) as n, count(case when n_detected > 0 then 1 end) as k, avg((n_detected > 0)::int::double) as rate, avg((hits > 0)::int::double) as event_rate, avg((hits = un)::int::double) as exact, avg({IOU}) as iou, avg(distance) as dist, count(distance) as dists, avg((extra > 0)::int::double) as extra, avg(n_detected) as blocks, avg(n_detected / 8.0::double) as coverage, avg((n_detected * 2 > 8)::int::double) as majority, avg((n_detected = 8)::int::double) as alls, avg(top) as mean_top, min(top) as min_top, max(top) as max_top, count(case when n_detected = 0 then 1 end) as s0, count(case when n_detected = 1 then 1 end) as s1, count(case when n_detected between 2 and 3 then 1 end) as s2, count(case when n_detected >= 4 then 1 end) as s3 from units left join near using (vec_id) group by label)"
+R26 = {"detection_rate": "rate", "detection_rate_ci95_low": "alarm_low", "detection_rate_ci95_high": "alarm_high", "false_positive_rate": "case when expectation = 'none' then rate end", "event_detection_rate": "case when expectation = 'event_blocks' then event_rate end", "exact_match_rate": "exact", "mean_overlap": "case when expectation <> 'none' then iou end", "mean_localization_error": "case when expectation = 'event_blocks' then dist end", "extra_block_rate": "extra", "mean_detected_blocks": "blocks", "mean_block_coverage": "coverage", "majority_blocks_rate": "majority", "all_blocks_rate": "alls", "zero_detection_rate": "1 - rate", "mean_maximum_score": "mean_top", "min_maximum_score": "min_top", "max_maximum_score": "max_top"}
 
 
-@query(f"with {SUMMARY}, w as (select *, {WILSON} from summary) select label::bigint as label, n, k as alarms, round(alarm_rate, 6) + 0.0 as alarm_rate, round(exact_rate, 6) + 0.0 as exact_rate, round(mean_iou, 6) + 0.0 as mean_iou, round(mean_top, 6) + 0.0 as mean_top, round(min_top, 6) + 0.0 as min_top, round(max_top, 6) + 0.0 as max_top, round(alarm_low, 6) + 0.0 as alarm_low, round(alarm_high, 6) + 0.0 as alarm_high from w")
+def summaries(spark, sf) -> DataFrame:
+    from ..operators.scorecard import summary, unit_eval
+    from ..settings import Frames
+
+    expectation = F.when(F.col("label") % 3 == 0, "none").when(F.col("label") % 3 == 1, "event_blocks").otherwise("all_blocks")
+    return summary(unit_eval(marks(spark, sf), ["label", "vec_id"], Frames(64, 8)), ["label"], expectation, 8)
+
+
+@query(f"with {SUMMARY}, w as (select *, {WILSON} from summary) select label::bigint as label, n as trials, expectation, {', '.join(f'round({v}, 6) + 0.0 as {k}' for k, v in R26.items())}, case when expectation = 'event_blocks' then dists end as localization_error_trials, s0 as status_stable, s1 as status_localized_alert, s2 as status_distributed_alert, s3 as status_global_shock from w")
 def q_regime_summary(spark, sf):
-    return evaluation.regime_summary(units(spark, sf), ["label"]).select(F.col("label").cast("long"), "n", "alarms", *map(r6, ("alarm_rate", "exact_rate", "mean_iou", "mean_top", "min_top", "max_top", "alarm_low", "alarm_high")))
+    return summaries(spark, sf).select(F.col("label").cast("long"), "trials", "expectation", *map(r6, R26), "localization_error_trials", "status_stable", "status_localized_alert", "status_distributed_alert", "status_global_shock")
+
+
+@query(f"with {SUMMARY}, w as (select *, {WILSON} from summary), c as (select label, 'false_positive_rate' as \"check\", rate as value, '<=' as op, 0.01::double as bound from w where expectation = 'none' union all select label, 'event_detection_rate', event_rate, '>=', 0.99 from w where expectation = 'event_blocks' union all select label, 'exact_match_rate', exact, '>=', 0.95 from w where expectation = 'event_blocks' union all select label, 'majority_blocks_rate', majority, '>=', 0.99 from w where expectation = 'all_blocks') select label::bigint as label, \"check\", round(value, 6) + 0.0 as value, op, bound, case when op = '<=' then value <= bound else value >= bound end as passed from c")
+def q_expectations(spark, sf):
+    from ..operators.scorecard import checks
+
+    return checks(summaries(spark, sf), ["label"]).select(F.col("label").cast("long"), "check", r6("value"), "op", "bound", "passed")
 
 
 @query(f"with {BURST}, s as (select vec_id, block, bool_or(truth) as truth, {BLEND} as score from burst group by all), g as (select unnest(range(0, 9)) as i), m as (select vec_id, round(0.2::double + i * 0.05::double, 10) as threshold, count(case when score >= round(0.2::double + i * 0.05::double, 10) then 1 end) as n, count(case when (score >= round(0.2::double + i * 0.05::double, 10)) <> truth then 1 end) as wrong from s cross join g group by vec_id, i) select threshold, count(case when n > 0 then 1 end) as alarms, round(avg(n), 6) + 0.0 as mean_blocks, round(avg((wrong = 0)::int::double), 6) + 0.0 as exact_rate from m group by threshold")
@@ -153,12 +171,14 @@ def q_standardize_warmup(spark, sf):
     return zstream(spark, sf).select("user_id", "step", r6("z"))
 
 
-TYPES = "got as (select user_id % 10 as stream, (ts::date - date '2024-01-01')::bigint as step, event_type as block, sum(value) as x from events group by all), grid as (select a.stream, b.block, unnest(range(0, 30)) as step from (select distinct stream from got) a cross join (select distinct block from got) b), ty as (select grid.stream, grid.step, grid.block, got.x from grid left join got using (stream, step, block))"
+TYPES = "got as (select user_id % 10 as stream, (ts::date - date '2024-01-01')::bigint as step, event_type as block, sum(value) as x, least(count(*), 4) as n from events group by all), grid as (select a.stream, b.block, unnest(range(0, (select max(step) + 1 from got))) as step from (select distinct stream from got) a cross join (select distinct block from got) b), ty as (select grid.stream, grid.step, grid.block, got.x, coalesce(got.n, 0) as n from grid left join got using (stream, step, block))"
+#: Weighted standardisation: residuals by the root of the share of 4 that is observed.
+WEIGHTED = TYPES + ", wm as (select stream, block, avg(x) as mu from ty where step < 8 group by all), wr as (select ty.*, mu, (x - mu) * sqrt(n / 4.0::double) as r from ty join wm using (stream, block)), ws as (select stream, greatest(sqrt(coalesce(sum(r * r) filter (step < 8), 0) / greatest(count(r) filter (step < 8) - count(distinct case when mu is not null then block end), 1)), 1e-9::double) as sigma from wr group by stream), wz as (select wr.stream, step, block, case when step < 8 then 0.0::double else coalesce(r / sigma, 0) end as z from wr join ws using (stream))"
 
 
-@query(f"with {TYPES}, m as (select stream, block, avg(x) as mu from ty where step < 8 group by all), sg as (select stream, sqrt(sum((x - mu) * (x - mu)) / greatest(count(x - mu) - count(distinct case when x is not null then block end), 1)) as sigma from ty join m using (stream, block) where step < 8 group by stream) select stream, step, block, round(case when step < 8 then 0.0::double else coalesce((x - mu) / greatest(sigma, 1e-9::double), 0) end, 6) + 0.0 as z from ty join m using (stream, block) join sg using (stream)")
+@query(f"with {WEIGHTED} select stream, step, block, round(z, 6) + 0.0 as z from wz")
 def q_standardize_masked(spark, sf):
-    return sequences.standardized(views.type_streams(spark, sf), ["stream"], "block", "x", 8).select("stream", "step", "block", r6("z"))
+    return sequences.weighted(views.type_streams(spark, sf), ["stream"], "block", "x", "observed", 4, 8).select("stream", "step", "block", r6("z"))
 
 
 @query(f"with {ZUSERS} select a.user_id, a.step, round(abs(sum(0.2::double * pow(0.8::double, a.step - b.step) * b.z)) / sqrt(0.2::double / 1.8::double), 6) + 0.0 as ewma from z a join z b on a.user_id = b.user_id and b.step <= a.step group by a.user_id, a.step")
@@ -171,7 +191,10 @@ def q_cusum(spark, sf):
     return sequences.cusum(zstream(spark, sf), ["user_id"]).select("user_id", "step", r6("cusum"))
 
 
-@query()
+CHANGE = ZUSERS + ", zs as (select user_id, step, z from z where step >= 16), k as (select user_id, 15::bigint as step, 0.0::double as off, 0.0::double as up, 0.0::double as dn, []::double[] as h, 0.0::double as score from (select distinct user_id from zs) union all select user_id, step, case when hit then off + list_sum(h) / 3 else off end, case when hit then 0 else up end, case when hit then 0 else dn end, case when hit then [] else h end, greatest(up, dn, p / 0.8::double) from (select *, p >= 0.8::double as hit from (select *, case when len(h) = 3 then 1 / (1 + exp(-greatest(-700.0::double, least(700.0::double, -0.5::double * ln(13.0::double) + 0.5::double * 4 / 13 * list_sum(h) * list_sum(h) + ln(1 / 200.0::double) - ln(1 - 1 / 200.0::double))))) else 0 end as p from (select zs.user_id, zs.step, k.off, greatest(0, k.up + zs.z - k.off - 0.5::double) as up, greatest(0, k.dn - (zs.z - k.off) - 0.5::double) as dn, list_append(case when len(k.h) = 3 then k.h[2:3] else k.h end, zs.z - k.off) as h from k join zs on zs.user_id = k.user_id and zs.step = k.step + 1))))"
+
+
+@query(f"with recursive {CHANGE} select user_id, step, round(score, 6) + 0.0 as score from k where step > 15")
 def q_cusum_changepoint(spark, sf):
     return sequences.changepoint_cusum(zstream(spark, sf).where("live"), ["user_id"]).select("user_id", "step", r6("score"))
 
@@ -299,34 +322,24 @@ def q_holm(spark, sf):
     return evaluation.holm(m, ["family"]).select("name", r6("p"), r6("adjusted"))
 
 
-REPLAY = "rp as (select row_number() over (order by ts, event_id) - 1 as t, ts, value as x, event_type = 'error' as event, case when day(ts) % 2 = 0 then 'even' else 'odd' end as regime from events where user_id < 20)"
-REPLAY_ALL = "rp as (select row_number() over (order by ts, event_id) - 1 as t, ts, value as x, event_type = 'error' as event, case when day(ts) % 2 = 0 then 'even' else 'odd' end as regime from events)"
-#: The user ids of REPLAY; the queries ending in _all run over every user.
-SUBSET = 20
-
-
-def replay_metrics(r: DataFrame) -> DataFrame:
-    r = r.withColumn("alarm", (F.col("x") >= 60.0) & ~F.col("event"))
-    episodes = sequences.runs(r, ["regime"]).groupBy("regime").agg(F.count("*").alias("false_episodes"))
-    out = r.groupBy("regime").agg(F.count("*").alias("frames"), F.count_if("alarm").alias("false_frames"), C.ratio(F.count_if(F.col("event") & (F.col("x") >= 60.0)), F.count_if("event")).alias("event_rate"))
-    return out.join(episodes, "regime").select("regime", "frames", "false_frames", "false_episodes", r6("event_rate"))
-
+REPLAY = "rp as (select row_number() over (order by ts, event_id) - 1 as t, ts, case when day(ts) % 2 = 0 then 'even' else 'odd' end as regime, case when event_type = 'error' then strftime(ts, '%Y-%m-%d-') || (hour(ts) // 6)::varchar end as ev, value >= 60 as alarm, user_id % 8 as tb, (user_id + (value >= 80)::int) % 8 as fb from events)"
 
-def episode_validate(r: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    late = r.withColumn("before", F.lag("ts").over(Window.orderBy("t"))).agg(F.count_if(F.col("ts") <= F.col("before")).alias("unordered"), F.count_if("event").alias("event_frames"))
-    return late.join(sequences.runs(r.withColumn("all", F.lit(1)), ["all"], "event").agg(F.count("*").alias("episodes")))
+def replay_outputs(r: DataFrame) -> DataFrame:
+    """Alarms from 60 on; the flagged block is the next one from 80 on."""
+    alarm = F.col("x") >= 60.0
+    return r.select(F.lit("level").alias("detector"), "line", alarm.alias("alarm"), F.when(alarm, F.array((F.col("user_id") + (F.col("x") >= 80.0).cast("int")) % 8)).otherwise(F.array().cast("array<bigint>")).alias("flagged"))
 
 
-@query(f"with {REPLAY}, q as (select regime, t, t - row_number() over (partition by regime order by t) as g from rp where x >= 60::double and not event), ep as (select regime, count(distinct g) as episodes from q group by all) select regime, count(*) as frames, count(case when not event and x >= 60::double then 1 end) as false_frames, any_value(episodes) as false_episodes, round(count(case when event and x >= 60::double then 1 end)::double / count(case when event then 1 end), 6) + 0.0 as event_rate from rp join ep using (regime) group by regime")
+@query(f"with {REPLAY}, st as (select quantile_cont(d, 0.5) as step from (select (epoch_us(ts) - epoch_us(lag(ts) over (order by t))) / 1e6::double as d from rp)), ex as (select regime, sum((epoch_us(b) - epoch_us(a)) / 1e6::double) + count(*) * any_value(step) as exposure from (select regime, g, min(ts) as a, max(ts) as b from (select *, t - row_number() over (partition by regime order by t) as g from rp) group by regime, g) cross join st group by regime), e as (select regime, ev, min(t) as t0, min(ts) as a, min(case when alarm then ts end) as b from rp where ev is not null group by regime, ev), es as (select regime, count(*) as events, count(b) as found, coalesce(string_agg(ev, ';' order by t0) filter (b is null), '') as missed, avg((epoch_us(b) - epoch_us(a)) / 1e3::double) as mean_ms, quantile_cont((epoch_us(b) - epoch_us(a)) / 1e3::double, 0.5) as median_ms from e group by regime), f as (select regime, count(distinct g) as episodes from (select regime, t - row_number() over (partition by regime order by t) as g from rp where ev is null and alarm) group by regime), c as (select regime, count(*) as frames, count(ev) as event_frames, count(case when alarm then 1 end) as alarms, count(case when ev is null and alarm then 1 end) as fpf, count(case when ev is not null and alarm and tb = fb then 1 end) as tp, count(case when alarm and not (ev is not null and tb = fb) then 1 end) as fp, count(case when ev is not null and not (alarm and tb = fb) then 1 end) as fn from rp group by regime) select c.regime, frames as frame_count, event_frames as event_frame_count, alarms as alarm_frame_count, frames - event_frames as no_event_frame_count, fpf as false_positive_frame_count, events as event_count, found as detected_event_count, events - found as missed_event_count, missed as missed_event_ids, round(found::double / events, 6) + 0.0 as event_recall, round(fpf::double / (frames - event_frames), 6) + 0.0 as false_positive_frame_rate, round(fpf * 600.0::double / exposure, 6) + 0.0 as false_positive_frames_per_10min, episodes as false_positive_alarm_episode_count, round(episodes * 600.0::double / exposure, 6) + 0.0 as false_positive_alarm_episodes_per_10min, round(exposure, 3) + 0.0 as observed_exposure_seconds, tp as tp_blocks, fp as fp_blocks, fn as fn_blocks, round(tp::double / (tp + fp), 6) + 0.0 as localization_precision, round(tp::double / (tp + fn), 6) + 0.0 as localization_recall, round(tp::double / (tp + fp + fn), 6) + 0.0 as localization_iou, round(mean_ms, 3) + 0.0 as mean_latency_ms, round(median_ms, 3) + 0.0 as median_latency_ms from c join es using (regime) join f using (regime) join ex using (regime)")
 def q_replay_metrics(spark, sf):
-    return replay_metrics(views.replay(spark, sf, SUBSET))
-
+    from ..operators.replay import metrics
 
-@query(f"with {REPLAY_ALL}, q as (select regime, t, t - row_number() over (partition by regime order by t) as g from rp where x >= 60::double and not event), ep as (select regime, count(distinct g) as episodes from q group by all) select regime, count(*) as frames, count(case when not event and x >= 60::double then 1 end) as false_frames, any_value(episodes) as false_episodes, round(count(case when event and x >= 60::double then 1 end)::double / count(case when event then 1 end), 6) + 0.0 as event_rate from rp join ep using (regime) group by regime")
-def q_replay_metrics_all(spark, sf):
-    return replay_metrics(views.replay(spark, sf))
+    r = views.replay(spark, sf)
+    whole = ("frame_count", "event_frame_count", "alarm_frame_count", "no_event_frame_count", "false_positive_frame_count", "event_count", "detected_event_count", "missed_event_count", "false_positive_alarm_episode_count", "tp_blocks", "fp_blocks", "fn_blocks")
+    out = metrics(r, replay_outputs(r)).withColumn("missed_event_ids", F.array_join("missed_event_ids", ";"))
+    r3 = lambda c: (F.round(c, 3) + 0.0).alias(c)
+    return out.select("regime", "missed_event_ids", *whole, *map(r6, ("event_recall", "false_positive_frame_rate", "false_positive_frames_per_10min", "false_positive_alarm_episodes_per_10min", "localization_precision", "localization_recall", "localization_iou")), *map(r3, ("observed_exposure_seconds", "mean_latency_ms", "median_latency_ms")))
 
 
 @query(f"with {DAILY}, n as (select channel, count(*) as n from daily group by all) select channel, t, case when t < n - floor(0.3::double * n) - 128 then 'fit' when t >= n - floor(0.3::double * n) then 'val' else 'gap' end as part from daily join n using (channel)")
@@ -350,7 +363,7 @@ def q_pot_online(spark, sf):
     from ..streaming.pot import replayed
 
     s = zstream(spark, sf).where("live").select("user_id", "step", F.abs("z").alias("score"))
-    return replayed(s, "user_id", "step").select("user_id", "step", r6("threshold"), "flagged")
+    return replayed(s, "user_id", "step", window=120, initial=0.9, risk=0.01, least=5).select("user_id", "step", r6("threshold"), "flagged")
 
 
 @query()
@@ -392,49 +405,90 @@ def q_channel_eval_v2(spark, sf):
     return point_metrics(s.withColumn("alarm", F.col("score") >= 2.5), views.truth_windows(s), ["channel"])
 
 
-@query(f"with {TRUTH}, own as (select v.channel, v.s, v.e, max(score) as top from scored c join truth v on c.channel = v.channel and c.t between v.s and v.e group by all), past as (select v.channel, v.s, stddev_pop(z) as spread from scored c join truth v on c.channel = v.channel and c.t between v.s - 128 and v.s - 1 group by all) select own.channel, own.s as start, round(top, 6) + 0.0 as top, case when top >= 4.0::double then 'hit' when top >= 3.2::double then 'threshold_miss' when e - own.s < 5 then 'short_spike' when spread > 1.2::double then 'noisy_context' else 'unknown' end as category from own left join past on own.channel = past.channel and own.s = past.s")
+ATLAS = RUNS + ", cases as (select v.channel, 'FN' as kind, v.s, v.e, max(score) as top from scored c join truth v on c.channel = v.channel and c.t between v.s and v.e group by all union all select r.channel, 'FP', r.s, r.e, max(score) from runs r join scored c on c.channel = r.channel and c.t between r.s and r.e where not exists (select 1 from truth v where v.channel = r.channel and r.s <= v.e and r.e >= v.s) group by all), rm as (select channel, median(z) as m from scored where split = 'train' group by all), rs as (select channel, 1.4826::double * median(abs(z - m)) as rsd from scored join rm using (channel) where split = 'train' group by all), nr as (select k.channel, k.kind, k.s, k.e, c.t, c.z, c.t >= k.s as seg, c.t < k.s and c.t >= k.s - 128 as pre from cases k join scored c on c.channel = k.channel and c.t between greatest(k.s - 256, 0) and k.e), ag as (select channel, kind, s, e, max(z) filter (seg) - min(z) filter (seg) as spread, count(*) filter (seg) as n, regr_slope(case when seg then z end, case when seg then t::double end) as slope, avg(z) filter (seg) as mean, stddev_pop(z) filter (seg) as sd, avg(z) filter (pre) as pmean, count(*) filter (pre) as pn, median(z) filter (pre) as pm, list(z order by t) filter (t < s) as past from nr group by all), pd as (select nr.channel, nr.kind, nr.s, 1.4826::double * median(abs(z - pm)) filter (pre) as pmad from nr join ag using (channel, kind, s) group by all), ac as (select *, list_sum(list_transform(c, lambda v: v * v)) as zz from (select *, list_transform(past, lambda v: v - list_avg(past)) as c from ag)), pr as (select *, case when len(c) > 70 and zz > 0 then list_max(list_transform(range(1, 65), lambda k: list_inner_product(c[1:len(c) - k], c[k + 1:len(c)]))) / zz end as periodic from ac), atlas as (select k.channel, k.kind, k.s, k.e, k.top, case when rsd = 0 or spread = 0 then 'data-quality issue' when k.e - k.s + 1 <= 5 then 'isolated spike' when k.kind = 'FN' and k.top >= 3.2::double then 'threshold miss' when n >= 3 and abs(slope) * n >= 2 * rsd then 'drift' when pn > 0 and abs(mean - pmean) >= 2 * rsd then 'regime shift' when pn > 1 and sd >= 2 * greatest(pmad, 1e-12::double) then 'noisy segment' when periodic >= 0.5 then 'periodic mismatch' when k.kind = 'FN' then 'score failure' else 'unknown' end as category from cases k join pr using (channel, kind, s) join pd using (channel, kind, s) join rs using (channel))"
+
+
+def atlas(spark, sf) -> DataFrame:
+    from ..functions.lineage import cut
+    from ..operators import search
+
+    s = cut(views.scored_series(spark, sf))
+    spans, events = sequences.runs(s.withColumn("alarm", F.col("score") >= 2.5), ["channel"]), views.truth_windows(s)
+    named = lambda df: df.withColumn("dataset", F.lit("orders"))
+    every = search.event_matches(named(spans), named(events), named(s))
+    cases = every.where("kind = 'event' or not matched").select("dataset", "channel", F.when(F.col("kind") == "event", "FN").otherwise("FP").alias("kind"), "start", "end", "max_score", F.lit(4.0).alias("threshold"))
+    rows = named(s.where("split = 'train'").select("channel", F.lit("train").alias("split"), "t", F.col("z").alias("x")).unionByName(s.select("channel", F.lit("test").alias("split"), "t", F.col("z").alias("x"))))
+    return search.categories(cases, rows)
+
+
+@query(f"with {ATLAS} select channel, kind, s as start, round(top, 6) + 0.0 as top, category from atlas")
 def q_failure_atlas(spark, sf):
-    from ..operators.outcomes import event_outcomes
+    return atlas(spark, sf).select("channel", "kind", "start", (F.round("max_score", 6) + 0.0).alias("top"), "category")
 
-    s = views.scored_series(spark, sf)
-    return event_outcomes(s, views.truth_windows(s), ["channel"], 4.0).select("channel", "start", r6("top"), "category")
+
+@query(f"with {ATLAS} select kind, category, count(*) as n from atlas group by all order by n desc, kind, category limit 5")
+def q_failure_patterns(spark, sf):
+    from ..operators.search import patterns
+
+    return patterns(atlas(spark, sf))
+
+
+@query(f"with {RUNS} select v.channel, 'event' as kind, v.s as start, v.e as \"end\", (select count(*) from runs r where r.channel = v.channel and r.s <= v.e and r.e >= v.s) as n_matches, round((select max(score) from scored c where c.channel = v.channel and c.t between v.s and v.e), 6) + 0.0 as max_score from truth v union all select r.channel, 'alert', r.s, r.e, (select count(*) from truth v where r.channel = v.channel and r.s <= v.e and r.e >= v.s), round((select max(score) from scored c where c.channel = r.channel and c.t between r.s and r.e), 6) + 0.0 from runs r")
+def q_event_listing(spark, sf):
+    from ..operators.search import event_matches
+
+    s = views.scored_series(spark, sf).withColumn("dataset", F.lit("orders"))
+    spans = sequences.runs(s.withColumn("alarm", F.col("score") >= 2.5), ["dataset", "channel"])
+    return event_matches(spans, views.truth_windows(s).withColumn("dataset", F.lit("orders")), s).select("channel", "kind", "start", "end", "n_matches", r6("max_score"))
 
 
 GRID = [(i, t, n) for i, (t, n) in enumerate((t, n) for t in (2.0, 2.5, 3.0, 3.5) for n in (1, 2, 3))]
 
 
-@query(f"with {TRUTH}, grid as (select * from (values {', '.join(f'({i}, {t}::double, {n})' for i, t, n in GRID)}) g(trial, threshold, least)), rn as (select trial, channel, min(t) as s, max(t) as e from (select trial, least, channel, t, t - row_number() over (partition by trial, channel order by t) as g from scored cross join grid where score >= threshold) group by trial, channel, g, least having max(t) - min(t) + 1 >= least), ct as (select trial, (select count(*) from truth v where exists (select 1 from rn r where r.trial = grid.trial and r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as tp, (select count(*) from rn r where r.trial = grid.trial and not exists (select 1 from truth v where r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as fp, (select count(*) from truth) as ev, (case when threshold <> 2.0 then 1 else 0 end + case when least <> 1 then 1 else 0 end) as cx from grid), f as (select *, case when tp > 0 then 2.0::double * tp / (tp + fp + ev) else 0 end as f1 from ct) select trial::bigint as trial, tp, fp, round(f1, 6) + 0.0 as f1, row_number() over (order by round(f1, 3) desc, cx, fp, trial) as place from f qualify place <= 5")
+@query(f"with {TRUTH}, grid as (select * from (values {', '.join(f'({i}, {t}::double, {n})' for i, t, n in GRID)}) g(trial, threshold, least)), rn as (select trial, channel, min(t) as s, max(t) as e from (select trial, least, channel, t, t - row_number() over (partition by trial, channel order by t) as g from scored cross join grid where score >= threshold) group by trial, channel, g, least having max(t) - min(t) + 1 >= least), ch as (select distinct channel from truth), pc as (select trial, channel, (select count(*) from truth v where v.channel = ch.channel and exists (select 1 from rn r where r.trial = grid.trial and r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as tp, (select count(*) from rn r where r.trial = grid.trial and r.channel = ch.channel and not exists (select 1 from truth v where r.channel = v.channel and r.s <= v.e and r.e >= v.s)) as fp, (select count(*) from truth v where v.channel = ch.channel) as ev, (case when threshold <> 2.0 then 1 else 0 end + case when least <> 1 then 1 else 0 end) as cx from grid cross join ch), f as (select trial, any_value(cx) as cx, sum(tp)::bigint as tp, sum(fp)::bigint as fp, avg(case when tp > 0 then 2.0::double * tp / (tp + fp + ev) else 0 end) as macro, case when sum(tp) > 0 then 2.0::double * sum(tp) / (sum(tp) + sum(fp) + sum(ev)) else 0 end as f1, case when sum(tp) + sum(fp) > 0 then sum(tp)::double / (sum(tp) + sum(fp)) else 0 end as prec from pc group by trial) select trial::bigint as trial, tp, fp, round(f1, 6) + 0.0 as f1, round(prec, 6) + 0.0 as \"precision\", round(macro, 6) + 0.0 as macro_f1, row_number() over (order by round(f1, 3) desc, cx, prec desc, macro desc, fp, trial) as place from f qualify place <= 5")
 def q_config_rank(spark, sf):
     from ..operators.outcomes import ranked, trials
 
     s = views.scored_series(spark, sf)
-    return ranked(trials(s, views.truth_windows(s), GRID), 5).select(F.col("trial").cast("long"), "tp", "fp", r6("f1"), "place")
+    return ranked(trials(s, views.truth_windows(s), GRID), 5).select(F.col("trial").cast("long"), "tp", "fp", r6("f1"), r6("precision"), r6("macro_f1"), "place")
 
 
-@query(f"with {REPLAY}, l as (select t, ts, lag(ts) over (order by t) as before, event, t - row_number() over (partition by event order by t) as g from rp) select count(case when ts <= before then 1 end) as unordered, count(distinct case when event then g end) as episodes, count(case when event then 1 end) as event_frames from l")
+@query(f"with {REPLAY}, l as (select t, ts, lag(ts) over (order by t) as before, ev, lag(ev) over (order by t) as last from rp) select count(case when ts <= before then 1 end) as unordered, count(case when ev is not null then 1 end) as event_frames, count(case when ev is not null and ev is distinct from last then 1 end) as runs, (select count(*) from (select ev from l where ev is not null and ev is distinct from last group by ev having count(*) > 1)) as parted from l")
 def q_episode_validate(spark, sf):
-    return episode_validate(views.replay(spark, sf, SUBSET))
-
+    from ..sources.files import replay_faults
 
-@query(f"with {REPLAY_ALL}, l as (select t, ts, lag(ts) over (order by t) as before, event, t - row_number() over (partition by event order by t) as g from rp) select count(case when ts <= before then 1 end) as unordered, count(distinct case when event then g end) as episodes, count(case when event then 1 end) as event_frames from l")
-def q_episode_validate_all(spark, sf):
-    return episode_validate(views.replay(spark, sf))
+    r = views.replay(spark, sf).withColumns({"event_label": F.lit("error"), "incumbent_flags": F.lit(None).cast("array<boolean>"), "incumbent_alarm": F.lit(None).cast("boolean")})
+    faults = replay_faults(r).groupBy().pivot("fault", ["order", "parted"]).agg(F.first("n"))
+    last = r.select((F.col("line") + 1).alias("line"), F.col("event_id").alias("_last"))
+    runs = r.join(last, "line", "left").agg(F.count("event_id").alias("event_frames"), F.count_if(F.col("event_id").isNotNull() & ~F.col("event_id").eqNullSafe(F.col("_last"))).alias("runs"))
+    return faults.join(F.broadcast(runs)).select(F.col("order").alias("unordered"), "event_frames", "runs", "parted")  # one row each
 
 
-@query(f"with {DAILY}, f as (select channel, greatest(1.4826::double * median(abs(x - c)), 1e-9::double) as scale from daily join (select channel, median(x) as c from daily where split = 'train' group by all) using (channel) where split = 'train' group by channel) select channel, t, case when t % 400 = 200 then 'spike' when t % 400 between 300 and 319 then 'shift' else 'none' end as kind, round(x + scale * case when t % 400 = 200 then 8 when t % 400 between 300 and 319 then 3 else 0 end, 4) + 0.0 as x from daily join f using (channel)")
+@query(f"with {DAILY}, f as (select channel, greatest(1.4826::double * median(abs(x - c)), 1e-9::double) as scale from daily join (select channel, median(x) as c from daily where split = 'train' group by all) using (channel) where split = 'train' group by channel), k as (select *, t % 400 as m, case when t % 400 = 200 then 'spike' when t % 400 between 240 and 259 then 'drift' when t % 400 between 300 and 319 then 'level_shift' when t % 400 between 360 and 379 then 'variance_burst' else 'none' end as kind from daily join f using (channel)) select channel, t, kind, round(x + scale * case kind when 'spike' then 8 when 'level_shift' then 3 when 'drift' then 5.0::double * (m - 240) / 19 when 'variance_burst' then case when m % 2 = 0 then 4 else -4 end else 0 end, 4) + 0.0 as x from k")
 def q_inject(spark, sf):
     s = views.daily_series(spark, sf)
     base = blocks.centre_and_scale(s.where("split = 'train'"), ["channel"], "x")
     k = F.col("t") % 400
-    kind = F.when(k == 200, "spike").when(k.between(300, 319), "shift").otherwise("none")
-    return s.join(F.broadcast(base), "channel").withColumn("kind", kind).select("channel", "t", "kind", (F.round(F.col("x") + F.col("scale") * F.when(F.col("kind") == "spike", 8).when(F.col("kind") == "shift", 3).otherwise(0), 4) + 0.0).alias("x"))
+    kind = F.when(k == 200, "spike").when(k.between(240, 259), "drift").when(k.between(300, 319), "level_shift").when(k.between(360, 379), "variance_burst").otherwise("none")
+    size = F.when(F.col("kind") == "spike", 8.0).when(F.col("kind") == "level_shift", 3.0).when(F.col("kind") == "drift", 5.0 * (k - 240) / 19).when(F.col("kind") == "variance_burst", F.when(k % 2 == 0, 4.0).otherwise(-4.0)).otherwise(0.0)
+    return s.join(F.broadcast(base), "channel").withColumn("kind", kind).select("channel", "t", "kind", (F.round(F.col("x") + F.col("scale") * size, 4) + 0.0).alias("x"))
+
+
+@query()
+def q_inject_seeded(spark, sf):
+    from ..operators.search import parts
+    from ..sources.scenarios import inject
+
+    day = views.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("x"))
+    t = F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long")
+    return inject(parts(day.select(F.lit("orders").alias("dataset"), F.lit("all").alias("channel"), t.alias("t"), "x")).select("channel", "index", "part", "t", "x"))
 
 
 @query()
 def q_bootstrap_ci(spark, sf):
     from ..operators.outcomes import bootstrap
 
-    return bootstrap(evaluation.channel_metrics(*alarm_runs(spark, sf), ["channel"]), spark)
+    return bootstrap(evaluation.channel_metrics(*alarm_runs(spark, sf), ["channel"]))
 
 
 @query()
@@ -442,3 +496,6 @@ def q_pca_residual(spark, sf):
     from ..operators.outcomes import pca_residuals
 
     return pca_residuals(views.scored_series(spark, sf)).select("channel", "t", r6("score"))
+
+
+from . import scorecards  # noqa: E402, F401  registers its queries here

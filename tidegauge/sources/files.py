@@ -9,7 +9,7 @@ import re
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = {"timestamp", "channels", "regime", "event_label", "event_id"}
@@ -76,6 +76,18 @@ def frame(text: str, channels: int, blocks: int) -> tuple:
     return stamp, [float(v) for v in x] if x else None, text_or_none(o.get("regime")), text_or_none(o.get("event_label")), text_or_none(event), hit, flags, alarm, wrong
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their number in the order of partitions and of rows within, without bringing them into one partition."""
+    part = rows.withColumn("_id", F.monotonically_increasing_id())
+    sizes = part.groupBy(F.shiftright("_id", 33).alias("p")).count().orderBy("p").collect()  # a row for each partition
+    first, n = {}, 0
+    for r in sizes:
+        first[r["p"]] = n
+        n += r["count"]
+    start = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[F.shiftright("_id", 33)] if first else F.lit(0)
+    return part.withColumn(name, (start + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_id")
+
+
 def read_replay(spark: SparkSession, path: str, channels: int = 512, blocks: int = 16) -> DataFrame:
     """Frames of a JSON-lines file, one per line (only a line feed ends a line), with a list of violations each."""
 
@@ -84,25 +96,45 @@ def read_replay(spark: SparkSession, path: str, channels: int = 512, blocks: int
             out = pd.DataFrame([frame(v.removesuffix("\r"), channels, blocks) for v in pdf["value"]], columns=[c.split()[0] for c in _FRAME.split(", ")][1:])
             yield out.assign(line=pdf["line"], timestamp=pd.to_datetime(out["timestamp"], utc=True).dt.tz_localize(None))
 
-    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("line"), "value")  # one file is read in order
+    lines = numbered(spark.read.text(path, lineSep="\n"), "line").select("line", "value")  # the parts of one file are read in order
     return lines.mapInPandas(parse, _FRAME)
 
 
 def replay_faults(frames: DataFrame) -> DataFrame:
-    """Rows (fault, n): stamps that do not increase, events that change or are parted, incumbents on some frames only."""
-    w = Window.orderBy("line")
-    late = frames.withColumn("before", F.lag("timestamp").over(w)).agg(F.count_if(F.col("timestamp") <= F.col("before")).alias("n")).select(F.lit("order").alias("fault"), "n")
-    place = frames.withColumn("i", F.row_number().over(w)).where("event_id is not null")
-    part = place.withColumn("part", F.col("i") - F.row_number().over(Window.partitionBy("event_id").orderBy("i")))
-    event = part.groupBy("event_id").agg(F.count_distinct("part").alias("parts"), F.count_distinct("regime", "event_label").alias("kinds"))
-    some = frames.agg(F.count_if(F.col("incumbent_flags").isNotNull() | F.col("incumbent_alarm").isNotNull()).alias("k"), F.count("*").alias("m"))
-    return late.unionByName(event.agg(F.count_if(F.col("parts") > 1).alias("n")).select(F.lit("parted").alias("fault"), "n")).unionByName(event.agg(F.count_if(F.col("kinds") > 1).alias("n")).select(F.lit("changed").alias("fault"), "n")).unionByName(some.select(F.lit("incumbent").alias("fault"), F.when((F.col("k") > 0) & (F.col("k") < F.col("m")), 1).otherwise(0).cast("long").alias("n")))
+    """Rows (fault, n): stamps that do not increase, events that change or are parted, incumbents on some frames only.
+
+    A frame meets the one before it by a join on its number, so no partition holds the whole recording.
+    """
+    one = frames.select("line", "timestamp", "event_id", "regime", "event_label", F.coalesce(F.col("incumbent_flags").isNotNull() | F.col("incumbent_alarm").isNotNull()).alias("given"))
+    last = one.select((F.col("line") + 1).alias("line"), F.col("timestamp").alias("_ts"), F.col("event_id").alias("_event"))
+    both = one.join(last, "line", "left").withColumn("_starts", F.col("event_id").isNotNull() & ~F.col("event_id").eqNullSafe(F.col("_event")))
+    event = both.where("event_id is not null").groupBy("event_id").agg(F.count_if("_starts").alias("parts"), F.count_distinct("regime", "event_label").alias("kinds"))
+    flat = both.agg(F.count_if(F.col("timestamp") <= F.col("_ts")).alias("order"), F.when((F.count_if("given") > 0) & (F.count_if("given") < F.count("*")), 1).otherwise(0).cast("long").alias("incumbent"))
+    of = event.agg(F.count_if(F.col("parts") > 1).alias("parted"), F.count_if(F.col("kinds") > 1).alias("changed"))
+    stack = lambda row, names: row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("fault"), F.col(n).alias("n")) for n in names))).alias("f")).select("f.*")
+    return stack(flat, ("order", "incumbent")).unionByName(stack(of, ("parted", "changed")))
+
+
+def sound_replay(spark: SparkSession, path: str, channels: int = 512, blocks: int = 16) -> DataFrame:
+    """The frames of a replay; an error if a line violates the format, the file is empty, or frames do not fit together."""
+    frames = read_replay(spark, path, channels, blocks)
+    bad = frames.where("size(violations) > 0").orderBy("line").select("line", "violations").head(1)
+    if bad:
+        raise ValueError(f"{path}, line {bad[0]['line'] + 1}: {'; '.join(bad[0]['violations'])}")
+    if not frames.head(1):
+        raise ValueError(f"{path} has no frames")
+    if faults := [f"{r['fault']} ({r['n']})" for r in replay_faults(frames).where("n > 0").collect()]:
+        raise ValueError(f"{path}: {', '.join(sorted(faults))}")
+    return frames.drop("violations")
 
 
 def hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Rows (path, sha256) of the files under ``folder``."""
+    """Rows (path, sha256) of the files under ``folder``, paths from there."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.substring_index("path", "/", -2).alias("path"), F.sha2("content", 256).alias("sha256"))
+    root = folder.split("://")[-1].rstrip("/") + "/"
+    at = F.instr("path", root)
+    own = F.when(at > 0, F.expr(f"substring(path, instr(path, {json.dumps(root)}) + {len(root)})")).otherwise(F.substring_index("path", "/", -2))
+    return files.select(own.alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +151,14 @@ def verified(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("own").isNull()).alias("missing"), F.count_if(F.col("own") != F.col("sha256")).alias("different"))
 
 
+def require_verified(manifest: DataFrame, found: DataFrame) -> dict:
+    """How many files the manifest names; an error if it names none, or one is missing or another."""
+    n, r = manifest.count(), verified(manifest, found).first()
+    if not n or r["missing"] or r["different"]:
+        raise ValueError(f"of {n} files {r['missing']} are missing and {r['different']} differ")
+    return {"files": n}
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Rows (channel, dataset, start, end, class) of a label table whose windows and classes are lists in text."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"')
@@ -145,3 +185,20 @@ def read_series(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(folder)
     return files.select("path", "content").mapInPandas(load, "channel string, split string, t long, x double")
+
+
+def require_lengths(series: DataFrame, labels: DataFrame) -> DataFrame:
+    """``series``, which fails when read if a labelled channel's test part has another length than its label says (channel, num_values)."""
+    n = series.where("split = 'test'").groupBy("channel").agg(F.count("*").alias("_n")).join(labels.select("channel", "num_values").distinct(), "channel", "left")
+    ok = n.select("channel", F.when(F.col("num_values").isNull() | (F.col("num_values") == F.col("_n")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a label says another length of "), "channel"))).alias("_ok"))
+    return series.join(F.broadcast(ok), "channel").where("_ok").drop("_ok")  # a row for each channel
+
+
+def series_manifest(series: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows (channel, train, test, fit_end, val_start, has_validation, events): sizes, the chronological split of the training part, labelled windows."""
+    from ..operators.search import split_points
+
+    n = series.groupBy("channel").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+    w = events.groupBy("channel").agg(F.array_sort(F.collect_list(F.array("start", "end"))).alias("events"))
+    fit_end, val_start, ok = split_points(F.col("train"))
+    return n.join(w, "channel", "left").select("channel", "train", "test", fit_end.alias("fit_end"), val_start.alias("val_start"), ok.alias("has_validation"), F.coalesce("events", F.array()).alias("events"))

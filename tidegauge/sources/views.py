@@ -35,11 +35,12 @@ def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten streams of daily sums with a block for each event type; days without events are missing."""
+    """Ten streams of daily sums with a block for each event type, up to the last day; days without events are missing. ``observed`` is the number of events, 4 at most."""
     e = table(spark, sf_dir, "events")
-    got = e.groupBy((F.col("user_id") % 10).alias("stream"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("step"), F.col("event_type").alias("block")).agg(F.sum("value").alias("x"))
-    grid = got.select("stream").distinct().join(got.select("block").distinct()).select("stream", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("step"))
-    return grid.join(got, ["stream", "step", "block"], "left")
+    got = e.groupBy((F.col("user_id") % 10).alias("stream"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("step"), F.col("event_type").alias("block")).agg(F.sum("value").alias("x"), F.least(F.count("*"), F.lit(4)).alias("observed"))
+    last = got.agg(F.max("step").alias("last"))
+    grid = got.select("stream").distinct().join(got.select("block").distinct()).join(F.broadcast(last)).select("stream", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("step"))  # ten streams by five types
+    return grid.join(got, ["stream", "step", "block"], "left").na.fill(0, ["observed"])
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,12 @@ def scored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(base), "channel").withColumn("z", z).withColumn("score", F.abs(z + F.when(inside, 3.0).otherwise(0.0)))
 
 
-def replay(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """All events, or those of user ids ``below`` a bound, in one recorded order: errors are labelled, the regime is the day's parity."""
-    e = table(spark, sf_dir, "events").where(F.lit(True) if below is None else F.col("user_id") < below)
-    i = F.row_number().over(Window.orderBy("ts", "event_id")) - 1  # a replay is one ordered recording
-    return e.select(i.cast("long").alias("t"), "ts", F.col("value").alias("x"), (F.col("event_type") == "error").alias("event"), F.when(F.dayofmonth("ts") % 2 == 0, "even").otherwise("odd").alias("regime"))
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one recording, a frame each: the regime is the day's parity, the errors of six hours are one event, its block follows from the user."""
+    from ..functions.lineage import cut
+    from .files import numbered
+
+    e = numbered(cut(table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "value", "user_id").orderBy("ts", "event_id")), "line")  # in order, but over many partitions
+    error, hours = F.col("event_type") == "error", F.concat(F.date_format("ts", "yyyy-MM-dd-"), F.floor(F.hour("ts") / 6).cast("string"))
+    blocks = F.when(error, F.array(F.col("user_id") % 8)).otherwise(F.array().cast("array<bigint>"))
+    return e.select("line", F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("x"), "user_id", F.when(F.dayofmonth("ts") % 2 == 0, "even").otherwise("odd").alias("regime"), F.when(error, hours).alias("event_id"), blocks.alias("affected_blocks"))
