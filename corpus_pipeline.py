@@ -16,9 +16,17 @@ TOXIC = 0.5
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity, by models of all labels, is under ``TOXIC``; null texts count as empty."""
+    """Documents whose toxicity, by models of all labels, is under ``TOXIC``.
+
+    Null texts count as empty, repeated rows and rows with a null doc_id are judged each, all columns stay as they are; an empty table, or
+    one without labels, loses none: all scores are 0.5 then, and such rows stay.
+    """
     models = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, models, "toxicity_score").where(F.col("toxicity_score") < TOXIC).select(*docs.columns)
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    kept = toxicity.scored(docs, models, name)
+    return kept.where((F.col(name) < TOXIC) | F.lit(not models.curve.any())).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +43,11 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens."""
+    """The pieces of sequences of 1024 tokens.
+
+    A null or empty text is its end id alone; repeated rows and null doc_ids are documents like others; other columns are ignored; an empty
+    table gives no rows.
+    """
     return packing.pack(docs, capacity=1024)
 
 
