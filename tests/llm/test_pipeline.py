@@ -33,3 +33,19 @@ def test_odd_rows(spark, documents, sf):
     for _, stage in cp.STAGES:
         assert stage(spark, documents([]).withColumnRenamed("n", "n_chars"), sf).count() == 0
     assert cp.unrepeated(spark, rows, sf).count() == 7
+
+
+def test_columns_of_any_name_stay(spark, documents, sf, tmp_path):
+    docs = documents([(1, "a good day"), (2, None), (None, ""), (2, None), (4, "x " * 30000)]).withColumnRenamed("n", "n_chars").selectExpr("*", "-7.0D as score", "-8.0D as toxicity_score", "-9.0D as SCORE_")
+    out = cp.ordinary(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert {(r["score"], r["toxicity_score"], r["SCORE_"]) for r in out.collect()} == {(-7.0, -8.0, -9.0)}
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.ordinary(spark, docs, str(tmp_path)).count() == 5
+
+
+def test_packing_of_odd_rows(spark, documents, sf):
+    rows = documents([(1, None), (1, None), (None, "a b c"), (3, ""), (4, "word " * 3000)]).withColumnRenamed("n", "n_chars")
+    got = cp.packed(spark, rows, sf).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 2 and sum(r["length"] for r in got if r["doc_id"] == 3) == 1
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 4 and all(r["length"] <= 1024 for r in got)
