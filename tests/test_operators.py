@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import __main__ as cli
 from tidegauge import settings
+from tidegauge.functions import quantiles
 from tidegauge.operators import blocks, detectors, evaluation, forest, outcomes, replay, scorecard, search, sequences, statistics
 from tidegauge.plans import catalog
 from tidegauge.settings import Compare, Evaluation, Frames, Streams, Stress
@@ -457,3 +458,63 @@ def test_forest(spark):
     trees, n = forest.grow(x, 60, 128, 1)
     s = forest.isolation(trees, n, x)
     assert n == 128 and s.argmax() == 300 and s[300] > 0.6 > np.median(s) and forest.mean_path(256) == pytest.approx(10.24, abs=0.01)
+
+
+def test_exact_ranks_of_large_groups(spark, monkeypatch):
+    """The way for large groups against numpy: ties, few values, nulls."""
+    monkeypatch.setattr(quantiles, "PLAIN", -1)
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=5000), "b": np.round(rng.normal(size=4000), 1), "c": np.array([3.0]), "d": np.array([1.0, 2.0]), "e": np.full(700, 5.0)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None)], "g string, x double").repartition(5)
+    for q in (0.0, 0.01, 0.5, 0.77, 1.0):
+        got = {r["g"]: r["v"] for r in quantiles.quantile(rows, ["g"], "x", q, "v").collect()}
+        assert got == {g: pytest.approx(np.quantile(x, q)) for g, x in groups.items()}
+    some = rows.where("x is not null")
+    cut = {r["g"]: r["cut"] for r in evaluation.cuts(some, ["g"], 0.03, "x").collect()}
+    assert cut == {g: sorted(x, reverse=True)[min(int(0.03 * len(x) + 1e-9), len(x) - 1)] for g, x in groups.items()}
+    base = {r["g"]: (r["centre"], r["scale"]) for r in blocks.centre_and_scale(some, ["g"], "x").collect()}
+    assert base["a"] == (pytest.approx(np.median(groups["a"])), pytest.approx(1.4826 * np.median(np.abs(groups["a"] - np.median(groups["a"])))))
+
+
+def test_matches_in_buckets(spark):
+    rng = np.random.default_rng(8)
+    spans, events = ([("c", int(a), int(a + n)) for a, n in zip(rng.integers(0, 500, 40), rng.integers(0, 90, 40))] for _ in range(2))
+    made = [spark.createDataFrame(x, "c string, start long, end long") for x in (spans, events)]
+    got = sorted((r["run_start"], r["run_end"], r["start"], r["end"]) for r in evaluation.matches(*made, ["c"], 16).collect())
+    assert got == sorted((a, b, s, e) for _, a, b in spans for _, s, e in events if a <= e and b >= s)
+
+
+def test_series_lengths_and_tables(spark, tmp_path):
+    series = spark.createDataFrame([("A", "test", t, 0.0) for t in range(3)], "channel string, split string, t long, x double")
+    labels = lambda n: spark.createDataFrame([("A", n)], "channel string, num_values long")
+    assert files.require_lengths(series, labels(3)).count() == 3
+    with pytest.raises(Exception, match="another length"):
+        files.require_lengths(series, labels(4)).count()
+    long = spark.createDataFrame([("A", "train", t, 0.0) for t in range(1000)] + [("A", "test", 0, 0.0)], "channel string, split string, t long, x double")
+    r = files.series_manifest(long, spark.createDataFrame([("A", 5, 9)], "channel string, start long, end long")).first()
+    assert (r["train"], r["test"], r["fit_end"], r["val_start"], r["has_validation"], r["events"]) == (1000, 1, 572, 700, True, [[5, 9]])
+    a, b = spark.createDataFrame([("m", 0.5)], "method string, event_f1 double"), spark.createDataFrame([("n", 0.4, 1)], "method string, event_f1 double, tp int")
+    assert {(r["source"], r["method"], r["tp"]) for r in search.side_by_side({"one": a, "two": b}).collect()} == {("one", "m", None), ("two", "n", 1)}
+    outputs.atomic_write(tmp_path / "t.csv", outputs.csv_bytes([{"trial": 1, "status": "ok", "config": '{"a": 1}'}, {"trial": 2, "status": "failed", "config": "{}"}], ["trial", "status", "config"]))
+    assert [(r["trial"], r["config"]) for r in search.read_trials(spark, str(tmp_path / "t.csv")).collect()] == [(1, '{"a": 1}')]
+
+
+def test_series_command(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda master: spark)
+    rng = np.random.default_rng(3)
+    for split in ("train", "test"):
+        (tmp_path / "data" / split).mkdir(parents=True)
+        for c in "AB":
+            x = rng.normal(size=(300, 2))
+            x[100:120, 0] += 9 if split == "test" else 0
+            np.save(tmp_path / "data" / split / f"{c}-1.npy", x)
+    (tmp_path / "data" / "labeled_anomalies.csv").write_text('chan_id,spacecraft,anomaly_sequences,class,num_values\n' + "".join(f'{c}-1,{d},"[[100, 119]]","[point]",300\n' for c, d in ("A1", "B2")).replace("A-1,1", "A-1,one").replace("B-1,2", "B-1,two"))
+    (tmp_path / "manifest").write_text(outputs.dataset_manifest(files.hashes(spark, str(tmp_path / "data"))))
+    (tmp_path / "p.json").write_bytes(outputs.json_bytes({"methods": {"theirs": {"window": 8}, "zscore": {}}, "candidate": "theirs", "calibration": {"primary_target_fp": 0.01}, "uncertainty": {"bootstrap_resamples": 50, "seed": 1}}))
+    common = ["series", "--data", str(tmp_path / "data"), "--protocol", str(tmp_path / "p.json"), "--manifest", str(tmp_path / "manifest"), "--alias", "theirs=blend", "--out", str(tmp_path / "out")]
+    assert cli.main(common) == cli.DONE
+    got = json.loads((tmp_path / "out" / "series_results.json").read_text())
+    assert {(r["dataset"], r["method"]): r["event_recall"] for r in got["summary"] if r["subset"] == "all_channels"} == {(d, m): 1.0 for d in ("one", "two") for m in ("blend", "zscore")}
+    assert got["data_manifest"] == {"files": 5} and got["headline"]["criterion_met"] is False and (tmp_path / "out" / "series_f1.svg").read_text().count("<rect") == 4
+    assert cli.main([*common, "--diagnostics"]) == cli.DONE and (tmp_path / "out" / "series_diagnostics.csv").read_text().count("\n") == 5
+    assert cli.main([*common, "--expected", "0" * 64]) == cli.REFUSED

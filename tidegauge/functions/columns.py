@@ -28,10 +28,6 @@ def huber(r: Column, delta: float = 1.345) -> Column:
     return F.when(r <= delta, 0.5 * r * r).otherwise(delta * (r - 0.5 * delta))
 
 
-def logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), x))))
-
-
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % Wilson interval of k successes in n trials; exactly 0 and 1 at the ends, null without trials."""
     k, n, z2 = k.cast("double"), n.cast("double"), Z95 * Z95

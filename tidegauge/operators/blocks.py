@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BLEND, huber, median
+from ..functions.quantiles import quantile
 
 
 def cells(frames: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
@@ -54,9 +55,10 @@ def blended(stats: DataFrame) -> DataFrame:
 
 def centre_and_scale(rows: DataFrame, by: list[str], value: str, floor: float = 1e-9) -> DataFrame:
     """Exact median and 1.4826 * MAD of each group."""
-    centre = rows.groupBy(*by).agg(median(F.col(value)).alias("centre"))
-    far = rows.join(centre, by).groupBy(*by).agg(F.first("centre").alias("centre"), (1.4826 * median(F.abs(F.col(value) - F.col("centre")))).alias("scale"))
-    return far.withColumn("scale", F.greatest(F.col("scale"), F.lit(floor)))
+    rows = rows.select(*by, value)
+    centre = quantile(rows, by, value, 0.5, "centre")
+    far = quantile(rows.join(centre, by).select(*by, F.abs(F.col(value) - F.col("centre")).alias("_far")), by, "_far", 0.5, "scale")
+    return centre.join(far, by).select(*by, "centre", F.greatest(1.4826 * F.col("scale"), F.lit(floor)).alias("scale"))
 
 
 def robust_z(stats: DataFrame, fit: DataFrame, statistic: str = "rms") -> DataFrame:

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import prf, rate, ratio, wilson
+from ..functions.quantiles import top
 
 
 def cuts(maxima: DataFrame, by: list[str], target: float, score: str = "top") -> DataFrame:
     """Per group the value that alarms must exceed: the (floor(target * n + 1e-9) + 1)-th largest, the last at most."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(F.desc(score)))
-    at = F.least(F.floor(target * n + 1e-9), n - 1) + 1
-    return maxima.select(*by, F.col(score).alias("cut"), place.alias("place"), at.alias("at")).where("place = at").drop("place", "at")
+    at = F.least(F.floor(target * F.col("_n") + 1e-9), F.col("_n") - 1) + 1
+    return top(maxima.select(*by, score), by, score, target).where(F.col("_place") == at).select(*by, F.col(score).alias("cut"))
 
 
 def regime_summary(units: DataFrame, by: list[str]) -> DataFrame:
@@ -25,21 +23,28 @@ def regime_summary(units: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"alarm_low": low, "alarm_high": high})
 
 
-def matches(spans: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
-    """Runs and events that overlap: an equality join with a residual range; both sides are islands, far fewer than samples."""
-    r, e = spans.withColumnRenamed("start", "run_start").withColumnRenamed("end", "run_end"), events
-    return r.join(e, by).where((F.col("run_start") <= F.col("end")) & (F.col("run_end") >= F.col("start")))
+def matches(spans: DataFrame, events: DataFrame, by: list[str], width: int = 1024) -> DataFrame:
+    """Runs and events that overlap, joined by the buckets of ``width`` steps that they touch; a pair is taken in the first bucket that both touch."""
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("_bucket")
+    r = spans.withColumnRenamed("start", "run_start").withColumnRenamed("end", "run_end")
+    both = r.select("*", bucket("run_start", "run_end")).join(events.select("*", bucket("start", "end")), [*by, "_bucket"])
+    first = F.floor(F.greatest("run_start", "start") / width)
+    return both.where((F.col("run_start") <= F.col("end")) & (F.col("run_end") >= F.col("start")) & (F.col("_bucket") == first)).drop("_bucket")
 
 
 def channel_metrics(spans: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     """Per channel: events, events hit, false runs, duplicate hits, summed latency of the first hit."""
-    pairs = matches(spans, events, by)
-    hit = pairs.groupBy(*by, "start").agg(F.count("*").alias("n"), F.min(F.greatest(F.col("run_start") - F.col("start"), F.lit(0))).alias("latency"))
-    tp = hit.groupBy(*by).agg(F.count("*").alias("tp"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("latency").alias("latency"))
-    touched = pairs.select(*by, F.col("run_start").alias("start")).distinct()
-    fp = spans.join(touched, [*by, "start"], "left_anti").groupBy(*by).agg(F.count("*").alias("fp"))
-    out = events.groupBy(*by).agg(F.count("*").alias("events")).join(tp, by, "left").join(fp, by, "left").na.fill(0)
-    return out.withColumn("fn", F.col("events") - F.col("tp"))
+    pairs = matches(spans, events, by).select(*by, "start", "run_start")
+    late = F.greatest(F.col("run_start") - F.col("start"), F.lit(0))
+    # Pairs, events and runs in one table, so that a channel's sums are one shuffle: an event's rows first add up, as a run's do.
+    event = pairs.select(*by, "start", F.lit(1).alias("n"), late.alias("latency"), F.lit(0).alias("e")).unionByName(events.select(*by, "start", F.lit(0).alias("n"), F.lit(None).cast("long").alias("latency"), F.lit(1).alias("e")))
+    event = event.groupBy(*by, "start").agg(F.sum("n").alias("n"), F.min("latency").alias("latency"), F.sum("e").alias("e")).select(*by, "n", "latency", "e", F.lit(0).alias("f"))
+    run = pairs.select(*by, F.col("run_start").alias("start"), F.lit(1).alias("n")).unionByName(spans.select(*by, "start", F.lit(0).alias("n"))).groupBy(*by, "start").agg(F.sum("n").alias("n"))
+    run = run.select(*by, F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("latency"), F.lit(0).cast("long").alias("e"), (F.col("n") == 0).cast("int").alias("f"))
+    hit = F.col("n") > 0
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    out = event.unionByName(run).groupBy(*by).agg(F.sum("e").alias("events"), F.count_if(hit).alias("tp"), zero(F.sum(F.when(hit, F.col("n") - 1))).alias("duplicates"), zero(F.sum("latency")).alias("latency"), F.sum("f").alias("fp"))
+    return out.where("events > 0").withColumn("fn", F.col("events") - F.col("tp"))
 
 
 def pooled(channels: DataFrame, sets: list[str]) -> DataFrame:

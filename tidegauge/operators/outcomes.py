@@ -31,11 +31,13 @@ def stream_outcomes(marks: DataFrame, stream: str, warmup: int) -> DataFrame:
 
 def point_metrics(rows: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     """Counts of samples, and point-adjusted ones, where a touched event counts whole; rows (by, t, alarm)."""
-    inside = rows.join(events.select(*by, "start", "end"), [*by], "left").where("t between start and end").select(*by, "t", "start", "alarm")
-    whole = inside.withColumn("touched", F.max("alarm").over(Window.partitionBy(*by, "start")))
-    got = whole.groupBy(*by).agg(F.count_if("alarm").alias("tp"), F.count_if(~F.col("alarm")).alias("fn"), F.count_if("touched").alias("pa_tp"), F.count_if(~F.col("touched")).alias("pa_fn"))
-    total = rows.groupBy(*by).agg(F.count_if("alarm").alias("alarms"), F.count("*").alias("n"))
-    return total.join(got, by).withColumn("fp", F.col("alarms") - F.col("tp")).select(*by, "n", "tp", "fp", "fn", "pa_tp", "pa_fn")
+    points = events.select(*by, "start", F.explode(F.sequence("start", "end")).alias("t"))
+    sums = rows.select(*by, "t", "alarm").join(points, [*by, "t"], "left").groupBy(*by, "start").agg(F.count_if("alarm").alias("a"), F.count("*").alias("n"))  # a row for each event, one for all other samples
+    own = F.col("start").isNotNull()
+    add = lambda flag, c: F.coalesce(F.sum(F.when(flag, c)), F.lit(0)).alias
+    quiet = F.col("n") - F.col("a")
+    out = sums.groupBy(*by).agg(F.sum("n").alias("n"), add(own, F.col("a"))("tp"), add(~own, F.col("a"))("fp"), add(own, quiet)("fn"), add(own & (F.col("a") > 0), F.col("n"))("pa_tp"), add(own & (F.col("a") == 0), F.col("n"))("pa_fn"), F.count("start").alias("_events"))
+    return out.where("_events > 0").drop("_events")
 
 
 def ranked(trials: DataFrame, keep: int) -> DataFrame:

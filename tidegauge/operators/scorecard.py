@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rate, ratio, status, wilson
 from ..functions.lineage import cut
+from ..functions.quantiles import top
 from ..settings import CLEAN_FRAMES, CLEAN_STREAMS, TRACKS, Compare, Frames, Stress
 from ..sources import scenarios
 from . import blocks, detectors, outcomes
@@ -45,9 +46,7 @@ def calibrated(maxima: DataFrame, by: list[str], target: float, regime: str = "r
     For each regime the smallest threshold that at most floor(target * n) of its units reach, just above the next
     largest maximum; the largest of the regimes' holds. The rate is what the units then show.
     """
-    w = Window.partitionBy(*by, regime)
-    n = F.count("*").over(w)
-    ranked = maxima.select(*by, regime, F.col(score).alias("_s"), n.alias("n"), F.row_number().over(w.orderBy(F.desc(score))).alias("_place"))
+    ranked = top(maxima.select(*by, regime, F.col(score).alias("_s")), [*by, regime], "_s", target).withColumnRenamed("_n", "n")
     allowed = F.least(F.floor(target * F.col("n") + 1e-9), F.col("n") - 1)
     each = ranked.withColumn("allowed_exceedances", allowed).where("_place = allowed_exceedances + 1").select(*by, regime, "n", "allowed_exceedances", next_above(F.col("_s")).alias("threshold"))
     best = each.groupBy(*by).agg(F.max("threshold").alias("threshold"))

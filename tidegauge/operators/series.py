@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BLEND, prf, ratio
 from ..functions.lineage import cut
+from ..functions.quantiles import top
 from ..settings import Evaluation
 from . import evaluation, scorecard, sequences, statistics
 
@@ -41,8 +42,7 @@ def thresholds(scores: DataFrame, targets: tuple[float, ...]) -> DataFrame:
     """Rows (dataset, channel, method, target_fp, threshold, n_train, train_alarm_rate): for all targets by one ranking of each channel's training scores."""
     by = [*KEY, "method"]
     train = scores.where("split = 'train'")
-    w = Window.partitionBy(*by)
-    ranked = train.select(*by, "score", F.count("*").over(w).alias("n_train"), (F.row_number().over(w.orderBy(F.desc("score"))) - 1).alias("_place"))
+    ranked = top(train.select(*by, "score"), by, "score", max(targets)).withColumnRenamed("_n", "n_train").withColumn("_place", F.col("_place") - 1)
     asked = F.explode(F.array(*(F.struct(F.lit(t).alias("target_fp"), F.least(F.floor(t * F.col("n_train") + 1e-9), F.col("n_train") - 1).alias("allowed")) for t in targets))).alias("_a")
     limits = ranked.select(*by, "n_train", "score", "_place", asked).where("_place = _a.allowed").select(*by, "n_train", "_a.target_fp", scorecard.next_above(F.col("score")).alias("threshold"))
     reached = train.join(limits, by).groupBy(*by, "target_fp").agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("train_alarm_rate"))

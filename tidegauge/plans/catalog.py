@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 from ..operators import blocks, evaluation, sequences
 from ..sources import views
 
@@ -63,7 +64,7 @@ def units(spark, sf) -> DataFrame:
 
 
 def alarm_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    s = views.scored_series(spark, sf)
+    s = cut(views.scored_series(spark, sf))  # read twice
     return sequences.runs(s.withColumn("alarm", F.col("score") >= 2.5), ["channel"]), views.truth_windows(s)
 
 
@@ -409,7 +410,6 @@ ATLAS = RUNS + ", cases as (select v.channel, 'FN' as kind, v.s, v.e, max(score)
 
 
 def atlas(spark, sf) -> DataFrame:
-    from ..functions.lineage import cut
     from ..operators import search
 
     s = cut(views.scored_series(spark, sf))
