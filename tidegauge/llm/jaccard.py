@@ -314,10 +314,10 @@ def jaccard_join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     folder = store.shared_dir(spark, "jaccard")
     every = store.saved(sets_of(docs, folder, k), folder, "rows")
     reps = every.where("n > 0 and doc_id is not null").groupBy("total", "other", "n").agg(F.min(F.struct("doc_id", "file", "offset")).alias("r"))
-    reps = store.saved(reps.select("r.doc_id", "n", "r.file", "r.offset", "total", "other"), folder, "classes")
+    parts = store.parts_for(docs, BYTES) * 4
+    reps = store.saved(reps.select("r.doc_id", "n", "r.file", "r.offset", "total", "other").repartition(parts, "doc_id"), folder, "classes")  # rows are short, the work on their sets is not
     sizes = {r["n"]: r["count"] for r in reps.where("n < 128").groupBy("n").count().collect()}  # at most 127 rows
     light = boundary(sizes, percent)
-    parts = store.parts_for(docs, BYTES) * 4
     rows = entries(reps.select("doc_id", "n", "file", "offset"), folder, percent, light, frequent(reps, folder))
     links = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("bucket")).applyInPandas(linked(folder, percent), "a long, b long")
     cc = components(links, folder)
