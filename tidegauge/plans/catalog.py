@@ -477,11 +477,12 @@ def q_inject(spark, sf):
 @query()
 def q_inject_seeded(spark, sf):
     from ..operators.search import parts
+    from ..sources.files import numbered
     from ..sources.scenarios import inject
 
     day = views.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("x"))
-    t = F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long")
-    return inject(parts(day.select(F.lit("orders").alias("dataset"), F.lit("all").alias("channel"), t.alias("t"), "x")).select("channel", "index", "part", "t", "x"))
+    named = numbered(cut(day.orderBy("day")), "t")
+    return inject(parts(named.select(F.lit("orders").alias("dataset"), F.lit("all").alias("channel"), "t", "x")).select("channel", "index", "part", "t", "x"))
 
 
 @query()
