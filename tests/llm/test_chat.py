@@ -61,3 +61,8 @@ def test_windows(spark):
 @given(st.text(alphabet="<|>/s[]INT\\ a\n"))
 def test_escape(text):
     assert chat.unescaped(chat.escaped(text)) == text and not chat._CONTROL.search(chat.escaped(text))
+
+
+def test_empty_table(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.chat_windows(rows)).count() == 0

@@ -60,3 +60,8 @@ def test_tables(documents):
     assert sorted(r["decoded"] for r in out) == ["", "a b", "a b", "é" * 9] and "key" in out[0].asDict()
     assert pieces.round_trip_digests(documents([])).count() == 0
     assert sorted(r["n_tokens"] for r in pieces.round_trip_digests(docs).collect())[0] == 0
+
+
+def test_empty_table(documents):
+    docs = documents([])
+    assert pieces.encode(docs).count() == 0 and pieces.decode(pieces.encode(docs)).count() == 0

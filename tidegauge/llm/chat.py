@@ -137,7 +137,11 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 25
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from windows alone."""
+    """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from windows alone.
+
+    Windows must be whole and each there once, as ``chat_windows`` gives them: a repeated window would count twice. A null conv_id is a
+    conversation, empty turns count as turns, columns beside the windows' own are ignored; an empty table gives no rows.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 

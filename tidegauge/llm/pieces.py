@@ -177,9 +177,10 @@ def vocabulary(path: str | None, name: str) -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, name: str = "piece_bpe_32k.model") -> DataFrame:
-    """``docs`` with a column ids (array of int): the text's ids without begin or end; a null text has none.
+    """``docs`` with a column ids (array of int): the text's ids without begin or end; a null or empty text has none.
 
-    Other columns stay, but for one named ids, which is replaced.
+    Other columns stay, but for one named ids, which is replaced. Repeated rows are encoded each, null doc_ids stay; an empty
+    table gives no rows.
     """
     from pyspark.sql import types as T
 
@@ -196,7 +197,10 @@ def encode(docs: DataFrame, path: str | None = None, name: str = "piece_bpe_32k.
 
 
 def decode(docs: DataFrame, path: str | None = None, name: str = "piece_bpe_32k.model") -> DataFrame:
-    """``docs`` with a column decoded: the text of the ids (null as none); other columns stay."""
+    """``docs`` with a column decoded: the text of the ids (null as none).
+
+    Other columns stay, but for one named decoded, which is replaced. Repeated rows are decoded each; an empty table gives no rows.
+    """
     from pyspark.sql import types as T
 
     rest = [c for c in docs.columns if c != "decoded"]
