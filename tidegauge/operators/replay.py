@@ -84,7 +84,7 @@ def calibrated(d: detectors.Detector, frames: DataFrame, target: float) -> tuple
     if frames.where("event_id is not null").head(1):
         raise ValueError("a calibration recording must be free of events")
     top = scores(d, frames).groupBy("line").agg(F.max("score").alias("top")).where(F.col("line") >= (d.warmup if d.temporal else 0))
-    _, each = scorecard.calibrated(top.join(frames.select("line", "regime"), "line").withColumn("detector", F.lit(d.name)), ["detector"], target)
+    _, each = scorecard.calibrated(cut(top.join(frames.select("line", "regime"), "line").withColumn("detector", F.lit(d.name))), ["detector"], target)
     rows = [r.asDict() for r in each.drop("detector").orderBy("regime").collect()]  # a row for each regime
     return max(r["threshold"] for r in rows), rows
 

@@ -181,7 +181,7 @@ def calibration(spark: SparkSession, c: Compare, track: str, made: dict[str, det
     rows = cut(rows)
     scores = scored_by(made, rows, keys)
     maxima = (scores if track == "frame" else scores.where(F.col("step") >= c.stream.warmup)).groupBy("detector", *keys).agg(F.max("score").alias("top"))
-    records = calibrated(maxima, ["detector"], c.target_fp)[1].orderBy("detector", "regime").collect()  # two rows per detector
+    records = calibrated(cut(maxima), ["detector"], c.target_fp)[1].orderBy("detector", "regime").collect()  # two rows per detector
     thresholds = {n: max(r["threshold"] for r in records if r["detector"] == n) for n in made}
     per = {n: {r["regime"]: {k: r[k] for k in ("n", "allowed_exceedances", "threshold", "calibration_fp_rate")} for r in records if r["detector"] == n} for n in made}
     return thresholds, [{"track": track, "detector": n, "unit": "frame" if track == "frame" else "stream after its warm-up", "threshold": thresholds[n], "target_fp": c.target_fp, "per_regime": per[n]} for n in made]

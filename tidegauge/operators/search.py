@@ -202,7 +202,7 @@ def combined(rows: DataFrame, c: dict) -> DataFrame:
     if more["feature"] == "none":
         return own
     other = rolling_mad(x.where("part != 'fit'")) if more["feature"] == "rolling_mad" else pca_residual(x)
-    both = own.join(other.select(*KEY, "part", "t", F.col("score").alias("_b")), [*KEY, "part", "t"])
+    both = cut(own.join(other.select(*KEY, "part", "t", F.col("score").alias("_b")), [*KEY, "part", "t"]))  # read for the units, then scaled
     unit = both.where("part = 'clean'").groupBy(*KEY).agg(F.greatest(F.percentile("score", 0.99), F.lit(SMALL)).alias("_na"), F.greatest(F.percentile("_b", 0.99), F.lit(SMALL)).alias("_nb"))
     a, b = F.col("score") / F.col("_na"), F.col("_b") / F.col("_nb")
     w = float(more.get("weight", 0.5))
@@ -382,7 +382,7 @@ def method_alerts(rows: DataFrame, name: str, config: dict | None = None, seed:
         s = s.withColumn("score", series.BLEND[0] * F.max(F.abs(zc)).over(w) + series.BLEND[1] * F.sqrt(F.avg(zc * zc).over(w)) + series.BLEND[2] * F.avg(F.abs(zc)).over(w))
         return plain_runs(s, target_cut(s, "fit"), strict=False)
     if name == "configured":
-        s = combined(rows, config)
+        s = cut(combined(rows, config))
         limits, p = rule_thresholds(s.where("part = 'clean'"), [config["threshold"]]).select(*KEY, "threshold"), config["postprocess"]
         return series.alarm_chain(s.where("part = 'target'").join(limits, KEY).withColumns({"ratio": F.lit(float(p["hysteresis_low_high_ratio"])), "gap": F.lit(int(p["max_merge_gap"])).cast("long"), "least": F.lit(int(p["min_alert_duration"])).cast("long"), "rest": F.lit(int(p["cooldown"])).cast("long")}), KEY)
     x = scaled(rows, NORM)
@@ -390,6 +390,7 @@ def method_alerts(rows: DataFrame, name: str, config: dict | None = None, seed:
         s = x.withColumn("score", F.abs("x"))
         return plain_runs(s, s.where("part = 'fit'").groupBy(*KEY).agg(F.percentile("score", 0.995).alias("threshold")))
     s = {"rolling_mad": lambda: rolling_mad(x.where("part != 'fit'")), "pca_residual": lambda: pca_residual(x), "isolation_forest": lambda: lag_forest(x, seed)}[name]()
+    s = cut(s)
     return plain_runs(s, target_cut(s, "clean"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..functions.lineage import cut
 from ..sources import scenarios
 
 #: Bytes of counts that are sent to every task that resamples; beyond, resamples are joined.
@@ -60,9 +61,9 @@ def f1_of(tp, events, fp):
 
 def resampled_f1(rows: DataFrame, groups: list[str], unit: str, resamples: int, seed: int, *key: int) -> DataFrame:
     """Rows (groups, rep, f1): pooled F1 of units drawn with replacement, the same draws for all groups. Rows are (groups, unit, tp, events, fp), each group holding all units."""
-    spark = rows.sparkSession
-    n = rows.select(unit).distinct().count()
-    many = rows.groupBy(*groups).count().count()
+    spark, rows = rows.sparkSession, cut(rows.select(*groups, unit, "tp", "events", "fp"))
+    size = rows.agg(F.count_distinct(unit).alias("n"), F.count_distinct(*groups).alias("many")).first()  # one row
+    n, many = size["n"], size["many"]
     drawn = scenarios.draws(spark, n, resamples, seed, *key)
     kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
     if n * many * 24 <= SENT:

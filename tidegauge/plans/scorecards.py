@@ -163,13 +163,13 @@ F1 = "case when {tp} > 0 then 2.0::double * {tp} / (2 * {tp} + {fp} + {fn}) else
 
 @query(f"with {SERIES}, lt as (select dataset, target, method, avg(late) as mean, quantile_cont(late::double, 0.5) as med, avg(hit::int::double) filter (class = 'point') as rp, avg(hit::int::double) filter (class = 'contextual') as rc from eh group by all), po as (select dataset, target, method, count(*) as channels, sum(events)::bigint as events, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(n_test)::bigint as n_test, sum(pa_tp) as pa_tp, sum(normal_alarms) as pa_fp, sum(pa_fn) as pa_fn, sum(normal) as normal, avg(train_rate) as tr, avg({F1.format(tp='tp', fp='fp', fn='(events - tp)')}) as cf from rec group by all) select dataset, target as target_fp, method, channels, events, tp as tp_events, fp as fp_runs, n_test, round({F1.format(tp='tp', fp='fp', fn='(events - tp)')}, 6) + 0.0 as event_f1, round({F1.format(tp='pa_tp', fp='pa_fp', fn='pa_fn')}, 6) + 0.0 as pa_f1, round(mean, 6) + 0.0 as latency_mean, round(med, 6) + 0.0 as latency_median, round(1000.0::double * fp / n_test, 6) + 0.0 as false_alarms_per_1k, round(pa_fp::double / greatest(normal, 1), 6) + 0.0 as test_normal_alarm_rate, round(tr, 6) + 0.0 as train_alarm_rate_mean, round(cf, 6) + 0.0 as mean_channel_event_f1, round(rp, 6) + 0.0 as recall_point, round(rc, 6) + 0.0 as recall_contextual from po left join lt using (dataset, target, method)")
 def q_series_summary(spark, sf):
-    out = series.pooled(series.evaluated(*labelled(spark, sf), LOCKED), ["dataset", "target_fp", "method"])
+    out = series.pooled(cut(series.evaluated(*labelled(spark, sf), LOCKED)), ["dataset", "target_fp", "method"])
     return out.select("dataset", "target_fp", "method", "channels", "events", "tp_events", "fp_runs", "n_test", *map(r6, ("event_f1", "pa_f1", "latency_mean", "latency_median", "false_alarms_per_1k", "test_normal_alarm_rate", "train_alarm_rate_mean", "mean_channel_event_f1", "recall_point", "recall_contextual")))
 
 
 @query(f"with {SERIES}, f as (select dataset, channel, target, method, {F1.format(tp='tp', fp='fp', fn='(events - tp)')} as f1 from rec), d as (select a.target, b.method as baseline, a.channel, a.f1 - b.f1 as d from f a join f b on a.channel = b.channel and a.target = b.target where a.method = 'blend' and b.method <> 'blend'), nz as (select *, round(abs(d), 9) as size from d where abs(d) > 1e-12::double), rz as (select target, baseline, d, (rank() over w + (count(*) over (partition by target, baseline, size) - 1) / 2.0::double) as rank from nz window w as (partition by target, baseline order by size)) select target as target_fp, baseline, count(rz.d) as n_nonzero, round(coalesce(sum(case when rz.d > 0 then rank else 0 end), 0), 6) + 0.0 as w_plus, round(avg(dd.m), 6) + 0.0 as mean_delta from (select target, baseline, avg(d) as m from d group by all) dd left join rz using (target, baseline) group by all")
 def q_signed_rank(spark, sf):
-    r = series.evaluated(*labelled(spark, sf), LOCKED).select("channel", "target_fp", "method", statistics.event_f1(F.col("tp"), F.col("events"), F.col("fp")).alias("f"))
+    r = cut(series.evaluated(*labelled(spark, sf), LOCKED).select("channel", "target_fp", "method", statistics.event_f1(F.col("tp"), F.col("events"), F.col("fp")).alias("f")))
     own = r.where("method = 'blend'").select("channel", "target_fp", F.col("f").alias("_own"))
     d = r.where("method != 'blend'").join(own, ["channel", "target_fp"]).select("target_fp", F.col("method").alias("baseline"), (F.col("_own") - F.col("f")).alias("d"))
     t = statistics.signed_rank(d, ["target_fp", "baseline"]).join(d.groupBy("target_fp", "baseline").agg(F.avg("d").alias("mean_delta")), ["target_fp", "baseline"])
@@ -205,7 +205,7 @@ RULES = [{"kind": "per_channel_quantile", "value": 0.99}, {"kind": "global_quant
 
 @query(f"with {V2}, cm as (select channel, median(score) as m from v2 where part = 'clean' group by all) select channel, 0 as rule, round(quantile_cont(score, 0.99), 6) + 0.0 as threshold from v2 where part = 'clean' group by channel union all select c.channel, 1, round(q, 6) + 0.0 from (select distinct dataset, channel from v2) c join (select dataset, quantile_cont(score, 0.95) as q from v2 where part = 'clean' group by dataset) using (dataset) union all select channel, 2, round(any_value(m) + 4.0::double * 1.4826::double * median(abs(score - m)), 6) + 0.0 from v2 join cm using (channel) where part = 'clean' group by channel")
 def q_threshold_pooled(spark, sf):
-    s = search.combined(searched(spark, sf)[0], CONFIG)
+    s = cut(search.combined(searched(spark, sf)[0], CONFIG))
     return search.rule_thresholds(s.where("part = 'clean'"), RULES).select("channel", "rule", r6("threshold"))
 
 
