@@ -87,3 +87,36 @@ def test_anchors_in_blocks_cover_every_window(monkeypatch):
     whole = hashes()
     monkeypatch.setattr(suffix, "WINDOWS", 97)
     assert hashes() == whole and len(whole) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_parts_meet_by_bytes_where_hashes_are_equal(monkeypatch):
+    rnd = np.random.default_rng(5)
+    parts = [rnd.integers(97, 99, 30).astype(np.uint8) for _ in range(60)]
+    off, doc = np.r_[0, np.cumsum([len(p) for p in parts])], rnd.integers(0, 50, 60)
+    whole = suffix.smallest(np.concatenate(parts), off, doc, 12).tolist()
+    monkeypatch.setattr(suffix, "SHARD", 100)
+    for constant in (0, 1 << 63):
+        monkeypatch.setattr(suffix.flat, "rolling", lambda u8, k: np.full(len(u8) - k + 1, constant, np.uint64))
+        assert suffix.smallest(np.concatenate(parts), off, doc, 12).tolist() == whole
+
+
+def test_rows_between_tasks_do_not_grow_with_slices(spark, tmp_path):
+    rnd = random.Random(6)
+    pool = ["".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(40)]
+    rows = [(i, " ".join(rnd.sample(pool, 20))) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs, old = spark.read.parquet(str(tmp_path / "d")), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        stages = [s for j in range(seen.jobsList(None).size()) for s in [seen.jobsList(None).apply(j).stageIds()]]
+        ids = {s.apply(i) for s in stages for i in range(s.size())}
+        return {i: seen.lastStageAttempt(i).shuffleWriteRecords() for i in ids}
+
+    before = sent()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # each row is a slice
+    try:
+        assert got(suffix.dedup_digests(docs, 50)) == brute(rows, 50)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sum(n for i, n in sent().items() if i not in before) < 100

@@ -4,11 +4,12 @@ Three passes over the texts, none of which moves them:
 
 1. Every ``length``-byte window has an anchor, the least hash among its k-mers, so equal windows have
    equal anchors. The anchors that two documents share are found by their hashes (a lossless filter).
-2. The text around each shared anchor (all windows it anchors) goes to the shard of its hash. A shard
-   sorts the suffixes of its distinct passages by Larsson-Sadakane refinement, finds common prefixes by
-   Kasai's rule, in lock step over all passages, and takes the smallest doc_id of each class of equal
-   windows. A shard over ``SHARD`` bytes is sorted in parts, merged by binary search. Equal passages in
-   one task's slice are sent once, for its smallest doc_id: in the others each window is known to repeat.
+2. The text around each shared anchor (all windows it anchors) goes to the bucket of its hash, in blocks
+   that tasks gather over many slices, as rows from tasks to buckets grow with the product of both. A bucket's
+   shards come one after another: each sorts the suffixes of its distinct passages by Larsson-Sadakane refinement,
+   finds common prefixes by Kasai's rule, in lock step over all passages, and takes the smallest doc_id of each
+   class of equal windows. A shard over ``SHARD`` bytes is sorted in parts, whose classes meet by hash and bytes. Equal
+   passages that a task gathers are sent once, for its smallest doc_id: in the others each window is known to repeat.
 3. The spans found are kept as sorted arrays in the shared folder, mapped by the tasks that cut the texts.
 """
 
@@ -27,11 +28,10 @@ from .flat import U
 
 #: Bytes of passages whose suffixes are sorted at once.
 SHARD = 1_500_000
-#: Bytes of the documents' files for which there are eight shards.
-BYTES = 10 << 20
-#: Anchors that a task gathers before it sends them.
-GATHER = 2 << 20
-BLOCK = 1 << 17
+#: Bytes of the documents' files for which there are two buckets of passages, and the shards of a bucket.
+BYTES, FINER = 10 << 20, 4
+#: Anchors, and bytes of passages, that a task gathers before it sends them.
+GATHER, PASSAGES = 2 << 20, 8 << 20
 #: Windows whose anchors are found at once; places in a block take under 28 bits.
 WINDOWS = 4 << 20
 
@@ -190,7 +190,7 @@ def classes(u8: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int) -> tu
 
 
 def smallest(u8: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """For every window of all passages, in order, the smallest doc that holds it; in parts of ``SHARD`` bytes, merged by binary search."""
+    """For every window of all passages, in order, the smallest doc that holds it; in parts of ``SHARD`` bytes, whose classes meet in ranges of hashes, so time grows as the parts do."""
     parts, a = [], 0
     while a < len(doc):
         b = max(a + 1, int(np.searchsorted(off, off[a] + SHARD, "right")) - 1)
@@ -198,23 +198,56 @@ def smallest(u8: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int) -> n
         parts.append((text, *classes(text, off[a : b + 1] - off[a], doc[a:b], length)))
         a = b
     strings = lambda text, at: np.lib.stride_tricks.sliding_window_view(text, length)[at].view(f"S{length}").ravel()
-    for x in (*range(len(parts) - 1), *reversed(range(len(parts) - 1))):  # back again: what later parts told a part goes to those compared before
-        text, _, at, least = parts[x]
-        keys = strings(text, at)
-        for other, _, place, low in parts[x + 1 :] if len(keys) else ():
-            for c in range(0, len(place), BLOCK):
-                want = strings(other, place[c : c + BLOCK])
-                to = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = np.flatnonzero(keys[to] == want)
-                least[to[hit]] = low[c + hit] = np.minimum(least[to[hit]], low[c + hit])
+    if len(parts) > 1:
+        hashed = [flat.rolling(text, length)[at] if len(at) else np.zeros(0, np.uint64) for text, _, at, _ in parts]
+        home = [store.shard_of(h, len(parts)) for h in hashed]
+        order = [np.argsort(x, kind="stable") for x in home]
+        cut = [np.searchsorted(x[o], np.arange(len(parts) + 1)) for x, o in zip(home, order)]
+        for r in range(len(parts)):  # equal windows have equal hashes, so they meet in one range of these
+            own = [o[c[r] : c[r + 1]] for o, c in zip(order, cut)]
+            h, keys = np.concatenate([x[o] for x, o in zip(hashed, own)]), np.concatenate([strings(p[0], p[2][o]) for p, o in zip(parts, own) if len(o)] or [np.zeros(0, f"S{length}")])
+            by = np.argsort(h)
+            if ((h[by][1:] == h[by][:-1]) & (keys[by][1:] != keys[by][:-1])).any():  # equal hashes of other bytes
+                by = np.lexsort((keys, h))
+            head = np.flatnonzero(np.r_[True, keys[by][1:] != keys[by][:-1]][: len(by)])
+            if not len(head):
+                continue
+            low = np.concatenate([p[3][o] for p, o in zip(parts, own)])
+            low[by] = np.repeat(np.minimum.reduceat(low[by], head), np.diff(np.r_[head, len(by)]))
+            for p, o, x in zip(parts, own, np.split(low, np.cumsum([len(o) for o in own])[:-1])):
+                p[3][o] = x
     return np.concatenate([low[of] for _, of, _, low in parts]) if parts else np.zeros(0, np.int64)
 
 
-def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: int, homes: int) -> DataFrame:
+def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, buckets: int, homes: int) -> DataFrame:
     """Rows (home, docs, starts, ends) of spans to remove, as arrays; spans may overlap."""
-    columns = "shard int, docs binary, starts binary, wins binary, bytes binary"
+    columns = "shard int, docs binary, starts binary, wins binary, bytes binary, counts binary"
 
     def passages(batches):
+        held, n = [], 0
+
+        def send():
+            h, doc, at, wins, u8 = (np.concatenate(x) for x in zip(*held))
+            size = wins + length - 1
+            start = np.r_[0, np.cumsum(size)]
+            same = flat.equals(u8, start[:-1], start[1:])[1]
+            order = np.lexsort((doc, same))
+            head = np.r_[True, same[order][1:] != same[order][:-1]]
+            first = np.empty(len(order), np.int64)
+            first[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+            here = doc > first  # the same passage stands in a smaller document that was gathered
+            yield from packed(doc[here], at[here], at[here] + size[here])
+            own = np.flatnonzero(~here)
+            own = own[np.argsort(h[own], kind="stable")]
+            cut = np.searchsorted(store.shard_of(h[own], FINER * buckets), np.arange(FINER * buckets + 1))
+            full = np.flatnonzero(np.diff(cut[::FINER]))
+            own = [(own[cut[FINER * b] : cut[FINER * b + FINER]], np.diff(cut[FINER * b : FINER * b + FINER + 1])) for b in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32))]
+                + [pa.array(x, pa.binary()) for x in ([doc[o].tobytes() for o, _ in own], [at[o].tobytes() for o, _ in own], [wins[o].astype(np.int32).tobytes() for o, _ in own], [u8[flat.ragged(start[o], size[o])].tobytes() for o, _ in own], [c.astype(np.int32).tobytes() for _, c in own])],
+                columns.replace(" int", "").replace(" binary", "").split(", "),
+            )
+
         for rows, u8, off in flat.slices(batches):
             doc = rows.column("doc_id").cast(pa.int64())
             known = doc.is_valid().to_numpy(zero_copy_only=False)
@@ -225,25 +258,13 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
             if not len(keep):
                 continue
             h, text, start, wins = h[keep], text[keep], start[keep], wins[keep]
-            size = wins + length - 1
-            same = flat.equals(u8, start, start + size)[1]
-            order = np.lexsort((doc[text], same))
-            head = np.r_[True, same[order][1:] != same[order][:-1]]
-            first = np.empty(len(order), np.int64)
-            first[order] = doc[text[order]][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            here = doc[text] > first  # the same passage stands in a smaller document of this slice
-            at = start - off[text]
-            yield from packed(doc[text[here]], at[here], at[here] + size[here])
-            send = np.flatnonzero(~here)
-            send = send[np.argsort(h[send], kind="stable")]
-            cut = np.searchsorted(store.shard_of(h[send], shards), np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(cut))
-            own = [send[cut[s] : cut[s + 1]] for s in full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32))]
-                + [pa.array(x, pa.binary()) for x in ([doc[text[o]].tobytes() for o in own], [at[o].tobytes() for o in own], [wins[o].astype(np.int32).tobytes() for o in own], [u8[flat.ragged(start[o], size[o])].tobytes() for o in own])],
-                columns.replace(" int", "").replace(" binary", "").split(", "),
-            )
+            held.append((h, doc[text], start - off[text], wins, u8[flat.ragged(start, wins + length - 1)]))
+            n += len(held[-1][4])
+            if n >= PASSAGES:
+                yield from send()
+                held, n = [], 0
+        if held:
+            yield from send()
 
     def packed(doc, starts, ends):
         """Spans as rows, a row for each home of documents; they pass the shards with the number -1 - home."""
@@ -253,16 +274,31 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
         full = np.flatnonzero(np.diff(cut))
         if len(full):
             own = [order[cut[s] : cut[s + 1]] for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array((-1 - full).astype(np.int32))] + [pa.array([x[o].astype(np.int64).tobytes() for o in own], pa.binary()) for x in (doc, starts, ends)] + [pa.array([b""] * len(full), pa.binary())], columns.replace(" int", "").replace(" binary", "").split(", "))
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - full).astype(np.int32))] + [pa.array([x[o].astype(np.int64).tobytes() for o in own], pa.binary()) for x in (doc, starts, ends)] + [pa.array([b""] * len(full), pa.binary())] * 2, columns.replace(" int", "").replace(" binary", "").split(", "))
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["shard"].iloc[0] < 0:
             return pdf.rename(columns={"wins": "ends"})[["shard", "docs", "starts", "ends"]]
         doc, start = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("docs", "starts"))
         wins = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["wins"]]).astype(np.int64)
+        shard = np.concatenate([np.repeat(np.arange(FINER), np.frombuffer(x, np.int32)) for x in pdf["counts"]])
         u8 = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
         pdf = None
         size = wins + length - 1
+        off, found = np.cumsum(size) - size, []
+        for s in range(FINER):
+            own = np.flatnonzero(shard == s)
+            if len(own):
+                which, first, last = runs(doc[own], wins[own], u8[flat.ragged(off[own], size[own])])
+                found.append((doc[own[which]], start[own[which]] + first, start[own[which]] + last))
+                flat.trim()
+        u8 = None
+        out = [x.to_pandas() for x in packed(*(np.concatenate(x) for x in zip(*found)))] if found else []
+        return pd.concat(out).rename(columns={"wins": "ends"})[["shard", "docs", "starts", "ends"]] if out else pd.DataFrame({"shard": pd.Series(dtype="int32"), "docs": [], "starts": [], "ends": []})
+
+    def runs(doc, wins, u8):
+        """Runs of windows that a smaller document holds: the passage, the first byte in it, and the end."""
+        size = wins + length - 1
         off = np.r_[0, np.cumsum(size)]
         one, back = flat.equals(u8, off[:-1], off[1:])
         low = np.full(len(one), np.iinfo(np.int64).max)
@@ -277,10 +313,7 @@ def found_spans(docs: DataFrame, anchors_: store.Lookup, length: int, shards: in
         last = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False]))
         which = np.repeat(np.arange(len(wins)), wins)[first]
         base = np.r_[0, np.cumsum(wins)][which]
-        u8 = own = least = edge = None
-        flat.trim()
-        out = [x.to_pandas() for x in packed(doc[which], start[which] + first - base, start[which] + last - base + length)]
-        return pd.concat(out).rename(columns={"wins": "ends"})[["shard", "docs", "starts", "ends"]] if out else pd.DataFrame({"shard": pd.Series(dtype="int32"), "docs": [], "starts": [], "ends": []})
+        return which, first - base, last - base + length
 
     sent = docs.select("doc_id", "text").mapInArrow(passages, columns)
     return sent.groupBy("shard").applyInPandas(repeats, "shard int, docs binary, starts binary, ends binary")
@@ -336,9 +369,9 @@ def repeated_spans(docs: DataFrame, length: int) -> Spans:
     spark = docs.sparkSession
     folder = store.shared_dir(spark, "suffix")
     parts = store.parts_for(docs, BYTES)
-    shards, homes = 8 * parts, -(-parts // 4)  # a shard sends a row to each home at most
+    homes = -(-parts // 4)  # a bucket sends a row to each home at most
     spans = Spans(folder, homes)
-    found = found_spans(docs, shared_anchors(docs, folder, length, shards), length, shards, homes)
+    found = found_spans(docs, shared_anchors(docs, folder, length, parts), length, 2 * parts, homes)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         s = -1 - int(pdf["shard"].iloc[0])
