@@ -130,3 +130,34 @@ def test_other_orders_and_large_counts(documents, order):
         t = toks(dict(rows)[r["doc_id"]])
         full = ["<s>"] * (order - 1) + t
         assert r["score"] == pytest.approx(sum(math.log10(m.p(full[j : j + order - 1], full[j + order - 1])) for j in range(len(t))))
+
+
+def test_tables_of_many_shards_need_no_open_files(spark, documents):
+    import os
+    import resource
+
+    docs = documents([(i, "a b c a b d " * 3) for i in range(20)])
+    model = kneser_ney.train(docs, 3)
+    u8, soft = np.frombuffer(b"a b c", np.uint8), resource.getrlimit(resource.RLIMIT_NOFILE)
+    for i in range(60):  # 60 shards of contexts
+        model.contexts[3, 0].write(i + 100, np.arange(3, dtype=np.uint64), **dict.fromkeys(("t", "n1", "n2", "n3"), np.ones(3)))
+    model.contexts[3, 0].sealed(model.contexts[3, 0].sizes | {i + 100: 3 for i in range(60)})
+    at_most = max(map(int, os.listdir("/proc/self/fd"))) + 64
+    resource.setrlimit(resource.RLIMIT_NOFILE, (at_most, soft[1]))
+    try:
+        assert all(len(model.contexts[3, 0].shard(i + 100)["key"]) == 3 for i in range(60))
+        assert model.probabilities(u8, np.array([0, 5]))[1].tolist() == [120, 120, 60, 20]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, soft)
+
+
+def test_maps_are_bounded(spark, documents, monkeypatch):
+    docs = documents([(i, "a b c a b d " * 3) for i in range(20)])
+    model = kneser_ney.train(docs, 3)
+    u8 = np.frombuffer(b"a b c d b a", np.uint8)
+    whole = model.probabilities(u8, np.array([0, 11]))[2].tolist()
+    monkeypatch.setattr(store, "MAPS", 5)
+    for x in (model, model.words, model.single, *model.contexts.values()):
+        x._open.clear()
+    assert model.probabilities(u8, np.array([0, 11]))[2].tolist() == whole
+    assert sum(len(x) for t in (model, model.words, model.single, *model.contexts.values()) for x in t._open.values()) <= 6

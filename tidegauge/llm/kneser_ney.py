@@ -7,7 +7,7 @@ Three jobs, each of which sends compressed, sorted blocks that tasks have added
 2. Tasks count n-grams of ids and send them to the shard of their last two words. A shard stores them as a trie read backwards:
    sorted pairs of last words, below each the words before, and so on. How many children a node has is the
    count of its n-gram for the model: in how many contexts it occurs.
-3. Shards read their tries and send sums for each context, and for each word before how many it stands;
+3. Tasks read the tries of some shards and send sums for each context, and for each word before how many it stands;
    contexts with a single occurrence need no entry, as the trie says that they exist.
 
 Scoring tasks map the arrays into memory and look up what each slice of texts holds. All counts cover all training
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import flat, store
 from .flat import U, mix
 
-#: Tokens that a task counts before it sends; bytes of text that are scored at once.
+#: Tokens (contexts) that a task counts (gathers) before it sends; bytes of text that are scored at once.
 GATHER, SLICE = 2_000_000, 3_000_000
 #: Bytes of the documents' files for which there is a shard of words, and shards of n-grams to each of these.
 BYTES, FINER = 10 << 20, 4
@@ -314,7 +314,7 @@ class Model:
             f = {"pair": store.mapped(self.folder, f"pair-{s}", "u8", n[2]), "count": store.mapped(self.folder, f"count-{s}", "u1", n[self.order])}
             f |= {name: store.mapped(self.folder, f"{name}-{s}", t, self.sizes[s][-1]) for name, t in (("many", "u4"), ("much", "i8"))}
             f |= {f"label{k}": store.mapped(self.folder, f"label{k}-{s}", "u4", n[k]) for k in range(3, self.order + 1)}
-            self._open[s] = f | {f"first{k}": store.mapped(self.folder, f"first{k}-{s}", "u4", n[k] + 1) for k in range(2, self.order)}
+            return store.keep(self, s, f | {f"first{k}": store.mapped(self.folder, f"first{k}-{s}", "u4", n[k] + 1) for k in range(2, self.order)})
         return self._open[s]
 
     def counts_at(self, f: dict, k: int, at: np.ndarray) -> np.ndarray:
@@ -352,21 +352,32 @@ class Model:
         kinds = {k: ["u8", "u4" if k == 1 else "u8", *["u4"] * 3] if k > 1 else ["u8", "u4"] for k in range(1, self.order + 1)}
 
         def run(batches):
+            held = {}
+
+            def send():
+                for k, parts in held.items():
+                    (key,), sums = summed([np.concatenate([p[0] for p in parts])], [np.concatenate(x) for x in zip(*(p[1:] for p in parts))])
+                    yield rows_of(store.shard_of(key, self.parts), self.parts, [key, *sums], kinds[k], kind=k)
+                held.clear()
+
             for rows in batches:
                 for s in rows.column("shard").to_pylist():
                     f = self.trie(s)
                     pair = np.array(f["pair"])
                     words, at = [pair & U(0xFFFFFFFF), pair >> U(32)], np.arange(len(pair))
                     (key,), (n,) = summed([fold([words[1]])], [np.ones(len(pair), np.int64)])
-                    yield rows_of(store.shard_of(key, self.parts), self.parts, [key, n], kinds[1], kind=1)
+                    held.setdefault(1, []).append([key, n])
                     for k in range(2, self.order + 1):
                         if k > 2:
                             up = np.repeat(np.arange(len(at)), self.counts_at(f, k - 1, at))
                             words, at = [f[f"label{k}"], *(w[up] for w in words)], np.arange(len(up))
                         c = self.counts_at(f, k, at)
                         (key,), sums = summed([fold(words[:-1])], [c, *(x.astype(np.int64) for x in (c == 1, c == 2, c > 2))])
-                        yield rows_of(store.shard_of(key, self.parts), self.parts, [key, *sums], kinds[k], kind=k)
+                        held.setdefault(k, []).append([key, *sums])
                     self._open.clear()
+                    if sum(len(p[0]) for parts in held.values() for p in parts) > GATHER:
+                        yield from send()
+            yield from send()
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             flat.trim()

@@ -10,16 +10,24 @@ Tasks return what they wrote, readers are told, and a file that should be there
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+import weakref
+from collections import deque
 
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: Arrays that a process keeps mapped, at most: Linux allows 65,530 maps.
+MAPS = 48_000
+_kept: deque = deque()
+_count = 0
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -80,7 +88,7 @@ def drop(folder: str, prefix: str) -> None:
 
 
 def mapped(folder: str, name: str, dtype, least: int = 1) -> np.ndarray:
-    """The array, mapped into memory; from a store without POSIX paths by way of an unlinked local copy.
+    """The array, mapped into memory; from a store without POSIX paths by way of an unlinked local copy. From Python 3.13 on a map keeps no file open.
 
     Raises FileNotFoundError where there is no such file, OSError where it holds fewer than ``least`` elements.
     """
@@ -96,12 +104,30 @@ def mapped(folder: str, name: str, dtype, least: int = 1) -> np.ndarray:
     size = os.path.getsize(path)
     if size < least * np.dtype(dtype).itemsize:
         raise OSError(f"{folder}/{name} holds {size} bytes, not {least} elements")
-    out = np.memmap(path, dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+    if not size or sys.version_info < (3, 13):
+        out = np.memmap(path, dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+    else:
+        with open(path, "rb") as f:
+            out = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype)
     if tmp:
         tmp.close()
     return out
 
 
+def keep(owner, key, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """``arrays``, kept as ``owner._open[key]``; where this process keeps over ``MAPS``, what it opened first is let go, to be opened again when needed."""
+    global _count
+    owner._open[key] = arrays
+    _kept.append((weakref.ref(owner), key, len(arrays)))
+    _count += len(arrays)
+    while _count > MAPS and len(_kept) > 1:
+        of, old, n = _kept.popleft()
+        _count -= n
+        if (x := of()) is not None:
+            x._open.pop(old, None)
+    return arrays
+
+
 def parts_for(df: DataFrame, each: int) -> int:
     """Into how many parts of ``each`` bytes of files the rows fall, by Spark's estimate of the plan's size; 8 at least, or the shuffle partitions if fewer.
 
@@ -134,7 +160,7 @@ class Lookup:
     def shard(self, s: int) -> dict[str, np.ndarray]:
         if s not in self._open:
             n = self.sizes.get(s, 0)
-            self._open[s] = {k: mapped(self.folder, f"{self.name}-{s}.{k}", d, n) if n else np.zeros(0, d) for k, d in (self.values | {"key": "u8"}).items()}
+            return keep(self, s, {k: mapped(self.folder, f"{self.name}-{s}.{k}", d, n) if n else np.zeros(0, d) for k, d in (self.values | {"key": "u8"}).items()})
         return self._open[s]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
