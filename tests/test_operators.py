@@ -518,3 +518,10 @@ def test_series_command(spark, tmp_path, monkeypatch):
     assert got["data_manifest"] == {"files": 5} and got["headline"]["criterion_met"] is False and (tmp_path / "out" / "series_f1.svg").read_text().count("<rect") == 4
     assert cli.main([*common, "--diagnostics"]) == cli.DONE and (tmp_path / "out" / "series_diagnostics.csv").read_text().count("\n") == 5
     assert cli.main([*common, "--expected", "0" * 64]) == cli.REFUSED
+
+
+def test_exposure_of_many_runs(spark):
+    """20,000 runs of two frames a second apart: their times in microseconds add up to more than a long holds."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    frames = spark.range(80_000).select(F.col("id").alias("line"), F.when(F.col("id") % 4 < 2, "a").otherwise("b").alias("regime"), at.alias("timestamp"))
+    assert {r["regime"]: r["exposure"] for r in replay.exposure(frames).collect()} == {"a": 40_000.0, "b": 40_000.0}

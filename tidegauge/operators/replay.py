@@ -35,11 +35,11 @@ def interval(frames: DataFrame) -> DataFrame:
 
 
 def exposure(frames: DataFrame) -> DataFrame:
-    """Rows (regime, exposure): over each run of frames of a regime the time from its first to its last, and the median interval once more."""
+    """Rows (regime, exposure): over each run of frames of a regime the time from its first to its last, and the median interval once more. Times are summed as decimals: 5,000 runs overflow a long."""
     one = frames.select("line", "regime", "timestamp")
     first, last = starts(one, ["regime"]), one.join(one.select("regime", (F.col("line") - 1).alias("line")), ["regime", "line"], "left_anti")
-    micros = lambda rows, name: rows.groupBy("regime").agg(F.count("*").alias(f"n_{name}"), F.sum(F.unix_micros(F.col("timestamp").cast("timestamp"))).alias(name))
-    return micros(first, "a").join(micros(last, "b"), "regime").join(F.broadcast(interval(frames))).select("regime", F.coalesce((F.col("b") - F.col("a")) / 1e6 + F.col("n_a") * F.col("step"), F.lit(0.0)).alias("exposure"))
+    micros = lambda rows, name: rows.groupBy("regime").agg(F.count("*").alias(f"n_{name}"), F.sum(F.unix_micros(F.col("timestamp").cast("timestamp")).cast("decimal(19,0)")).alias(name))
+    return micros(first, "a").join(micros(last, "b"), "regime").join(F.broadcast(interval(frames))).select("regime", F.coalesce((F.col("b") - F.col("a")).cast("double") / 1e6 + F.col("n_a") * F.col("step"), F.lit(0.0)).alias("exposure"))
 
 
 def metrics(frames: DataFrame, outputs: DataFrame) -> DataFrame:
