@@ -161,3 +161,40 @@ def test_maps_are_bounded(spark, documents, monkeypatch):
         x._open.clear()
     assert model.probabilities(u8, np.array([0, 11]))[2].tolist() == whole
     assert sum(len(x) for t in (model, model.words, model.single, *model.contexts.values()) for x in t._open.values()) <= 6
+
+
+def test_repeated_words_and_ngrams_are_hashed_and_sought_once(spark, documents, monkeypatch):
+    docs = documents([(i, "a b c a b d " * 3) for i in range(20)])
+    model = kneser_ney.train(docs, 3)
+    sizes = {"hashed": 0, "sought": 0}
+
+    def counted(name, f, of):
+        def run(*args, **kw):
+            sizes[name] += len(of(args))
+            return f(*args, **kw)
+
+        return run
+
+    monkeypatch.setattr(kneser_ney.flat, "hashes", counted("hashed", kneser_ney.flat.hashes, lambda x: x[1]))
+    monkeypatch.setattr(kneser_ney, "within", counted("sought", kneser_ney.within, lambda x: x[3]))
+    text = b"a b c a b d " * 500
+    begin, count, p = model.probabilities(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert begin.tolist() == [0, 3001] and count[:3].tolist() == [120, 120, 60] and len(p) == 3001
+    assert sizes["hashed"] <= 2 * 4 and sizes["sought"] <= 12
+
+
+def test_slices_of_ngrams_are_counted_together():
+    texts = [[b"a b a b", b"", b"c"], [b"b a b c c c"], [b"x"]]
+    names, of, begin, want = [], [], [], Counter()
+    ids = {b"a": 7, b"b": 3, b"c": 70000, b"x": 1, None: 2}
+    for part in texts:
+        words = [[*t.split(), None] for t in part]
+        for t in words:
+            full = [kneser_ney.BEGIN] * 2 + [ids[w] for w in t]
+            want.update(tuple(full[i : i + 3][::-1]) for i in range(len(t)))
+        own = sorted({w for t in words for w in t}, key=str)
+        names.append(np.array([ids[w] for w in own], np.uint32))
+        of.append(np.array([own.index(w) for t in words for w in t], np.uint32))
+        begin.append(np.cumsum([0, *map(len, words)]))
+    rows, n = kneser_ney.distinct(names, of, begin, 3)
+    assert list(zip(*(c.tolist() for c in rows), strict=True)) == sorted(want) and n.tolist() == [want[x] for x in sorted(want)]

@@ -29,9 +29,9 @@ from . import flat, store
 from .flat import U, mix
 
 #: Tokens (contexts) that a task counts (gathers) before it sends; bytes of text that are scored at once.
-GATHER, SLICE = 2_000_000, 3_000_000
+GATHER, SLICE = 2_000_000, 6_000_000
 #: Bytes of the documents' files for which there is a shard of words, and shards of n-grams to each of these.
-BYTES, FINER = 10 << 20, 4
+BYTES, FINER = 10 << 20, 2
 #: The end of a text as a word, in two hashes; the ids of what stands before a text, and of a word that is not known.
 END = U(0x14057B7EF767814F), U(0x5851F42D4C957F2D)
 BEGIN, UNKNOWN = 0, 0xFFFFFFFF
@@ -52,15 +52,16 @@ def tokens(u8: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarra
     begin = at + np.arange(len(at))
     word = np.zeros(len(starts) + len(at) - 1, bool)
     word[np.arange(len(starts)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = True
-    pair = []
-    for lane in (0, 1):
-        h = np.full(len(word), END[lane])
-        h[word] = flat.hashes(u8, starts, ends, lane=lane)
-        pair.append(h)
-    _, one, of = np.unique(pair[0], return_index=True, return_inverse=True)
-    if (pair[1][one][of] != pair[1]).any():
-        _, one, of = np.unique(np.stack(pair, 1), axis=0, return_index=True, return_inverse=True)
-    return (pair[0][one], pair[1][one]), of.ravel(), begin
+    one, own = flat.alike(u8, starts, ends)
+    size = ends[one] - starts[one]
+    few, to = u8[flat.ragged(starts[one], size)], np.cumsum(size)
+    pair = [np.append(flat.hashes(few, to - size, to, lane=lane), END[lane]) for lane in (0, 1)]
+    order = flat.ranked(pair[0])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of = np.full(len(word), place[-1])
+    of[word] = place[own]
+    return (pair[0][order], pair[1][order]), of, begin
 
 
 def grams(ids: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]:
@@ -83,28 +84,59 @@ def heads(cols: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def numbered(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts rows of ``cols`` by a single number each, where a row's distinct ones begin in it, and each row's number among these."""
+    key, width, room = cols[0].astype(np.uint64), int(cols[0].max(initial=0)).bit_length(), 64 - len(cols[0]).bit_length()
+    for c in cols[1:]:
+        bits = int(c.max(initial=0)).bit_length()
+        if width + bits > room:
+            key = numbered([key])[2].astype(np.uint64)
+            width = int(key.max(initial=0)).bit_length()
+        if width + bits > 64:
+            c = numbered([c])[2]
+            bits = int(c.max(initial=0)).bit_length()
+        key, width = key << U(bits) | c.astype(np.uint64), width + bits
+    order = flat.ranked(key)
+    head = heads([key[order]])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(head) - 1
+    return order, np.flatnonzero(head), of
+
+
 def summed(cols: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of ``cols``, sorted, with the sums of ``counts``."""
-    order = np.lexsort(cols[::-1]) if len(cols) > 1 else np.argsort(cols[0])
+    order = flat.ranked(cols[0]) if len(cols) < 3 else numbered(cols)[0]
+    if len(cols) == 2:  # of hashes the first mostly tells
+        a, b = cols[0][order], cols[1][order]
+        if ((a[1:] == a[:-1]) & (b[1:] < b[:-1])).any():
+            order = numbered(cols)[0]
     cols = [c[order] for c in cols]
     head = np.flatnonzero(heads(cols))
     return [c[head] for c in cols], [np.add.reduceat(c[order], head) if len(head) else c for c in counts]
 
 
-def distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of id columns, sorted, and how often each occurs."""
-    names = np.unique(np.concatenate([np.unique(c) for c in cols]))
-    bits = max(1, int(len(names)).bit_length())
-    if bits * len(cols) > 64:
+def distinct(names: list[np.ndarray], of: list[np.ndarray], begin: list[np.ndarray], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams as id columns, the last word first, sorted, and how often each occurs; of slices with each distinct word's id, each token's place among these, and where texts begin."""
+    ids = np.sort(np.concatenate([np.array([BEGIN], np.uint32), *names]))
+    ids = ids[heads([ids])]
+    cols = [grams(np.searchsorted(ids, n).astype(np.uint32)[o], b, order)[::-1] for n, o, b in zip(names, of, begin)]  # places among the batch's own words, so that a row fits one number
+    cols = [np.concatenate(c) for c in zip(*cols)]
+    bits = max(1, int(len(ids)).bit_length())
+    if bits * order > 64:
         rows, (n,) = summed(cols, [np.ones(len(cols[0]), np.int64)])
-        return rows, n
+        return [ids[c] for c in rows], n
     key = np.zeros(len(cols[0]), np.uint64)
-    for c in cols:  # places among the batch's own words, so that a row fits one number
-        key = (key << U(bits)) | np.searchsorted(names, c).astype(np.uint64)
+    for c in cols:
+        key = (key << U(bits)) | c.astype(np.uint64)
     key.sort()
     head = np.flatnonzero(heads([key]))
     n, key = np.diff(np.r_[head, len(key)]), key[head]
-    return [names[((key >> U(bits * (len(cols) - 1 - i))) & U((1 << bits) - 1)).astype(np.int64)] for i in range(len(cols))], n
+    return [ids[((key >> U(bits * (order - 1 - i))) & U((1 << bits) - 1)).astype(np.int64)] for i in range(order)], n
+
+
+def dealt(shard: np.ndarray) -> np.ndarray:
+    """The order that sorts shards' numbers, equal ones as they stand: numbers of two bytes are sorted by counting."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
 
 
 def blob(cols: list[np.ndarray], kinds: list[str]) -> bytes:
@@ -126,7 +158,7 @@ def unblob(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 def rows_of(shard: np.ndarray, shards: int, cols: list[np.ndarray], kinds: list[str], **fixed) -> pa.RecordBatch:
     """A row for each shard that gets something, with the block of its part of sorted columns."""
-    order = np.argsort(shard, kind="stable")
+    order = dealt(shard)
     cut = np.searchsorted(shard[order], np.arange(shards + 1))
     full = np.flatnonzero(np.diff(cut))
     data = [blob([c[order[cut[s] : cut[s + 1]]] for c in cols], kinds) for s in full]
@@ -186,7 +218,7 @@ class Model:
                 (a, b), (c,) = summed([np.concatenate([h[i] for h in held]) for i in (0, 1)], [np.concatenate([h[2] for h in held])])
                 return rows_of(store.shard_of(a, self.parts), self.parts, [a, b, c], kinds)
 
-            for _, u8, off in flat.slices(batches):
+            for _, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
                 (a, b), of, _ = tokens(u8, off)
                 held.append((a, b, np.bincount(of, minlength=len(a))))
                 n += len(a)
@@ -256,12 +288,12 @@ class Model:
             held, n = [], 0
 
             def send():
-                cols, c = distinct([np.concatenate([h[i] for h in held]) for i in range(self.order)])
+                cols, c = distinct(*map(list, zip(*held)), self.order)
                 return rows_of(self.home(cols[0], cols[1]), self.shards, [*cols, c], kinds)
 
-            for _, u8, off in flat.slices(batches):
+            for _, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
                 names, of, begin = tokens(u8, off)
-                held.append(grams(self.ids(*names)[0][of], begin, self.order)[::-1])
+                held.append((self.ids(*names)[0], of.astype(np.uint32), begin))
                 n += len(of)
                 if n >= GATHER:
                     yield send()
@@ -272,8 +304,8 @@ class Model:
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             flat.trim()
             s, parts = int(pdf["shard"].iloc[0]), [unblob(x, kinds) for x in pdf["data"]]
-            pair = np.concatenate([p[0].astype(np.uint64) << U(32) | p[1] for p in parts])
-            cols, (c,) = summed([pair, *(np.concatenate([p[i] for p in parts]) for i in range(2, self.order))], [np.concatenate([p[self.order] for p in parts]).astype(np.int64)])
+            cols, (c,) = summed([np.concatenate([p[i] for p in parts]) for i in range(self.order)], [np.concatenate([p[self.order] for p in parts]).astype(np.int64)])
+            cols[:2] = [cols[0].astype(np.uint64) << U(32) | cols[1]]
             parts, at = None, {k: np.flatnonzero(heads(cols[: k - 1])) for k in range(2, self.order)} | {self.order: np.arange(len(c))}
             store.put(self.folder, f"pair-{s}", cols[0][at[2]])
             stats, sizes = [], []
@@ -326,24 +358,27 @@ class Model:
             c = np.where(f["many"][to] == at, f["much"][to], c)
         return c
 
-    def find(self, cols: list[np.ndarray]) -> dict[int, np.ndarray]:
-        """For each n-gram the count of its last k words, for k from 2 on (0: not there)."""
-        pair = cols[-1].astype(np.uint64) << U(32) | cols[-2]
-        shard = self.home(cols[-1], cols[-2])
-        order = np.lexsort((pair, shard))
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        out = {k: np.zeros(len(pair), np.int64) for k in range(2, self.order + 1)}
-        for s in np.flatnonzero(np.diff(cut)):
+    def find(self, pair: np.ndarray, shard: np.ndarray, below: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Counts (0: not there) of pairs, sorted by shard, and of the longer n-grams ``below``: the sorted place of each one's last words among those before, and the word before these."""
+        out, cut = [np.zeros(len(x), np.int64) for x in (pair, *(up for up, _ in below))], [np.searchsorted(shard, np.arange(self.shards + 1))]
+        for up, _ in below:
+            cut.append(np.searchsorted(up, cut[-1]))
+        for s in np.flatnonzero(np.diff(cut[0])):
             if int(s) not in self.sizes:
                 continue
-            f, own = self.trie(int(s)), order[cut[s] : cut[s + 1]]
-            at = np.minimum(np.searchsorted(f["pair"], pair[own]), len(f["pair"]) - 1)
-            ok = f["pair"][at] == pair[own]
-            for k in range(2, self.order + 1):
-                own, at = own[ok], at[ok]
-                out[k][own] = self.counts_at(f, k, at)
-                if k < self.order:
-                    at, ok = within(f[f"label{k + 1}"], f[f"first{k}"][at], f[f"first{k}"][at + 1], cols[-k - 1][own])
+            f, a, b = self.trie(int(s)), cut[0][s], cut[0][s + 1]
+            at = np.minimum(np.searchsorted(f["pair"], pair[a:b]), len(f["pair"]) - 1)
+            ok = f["pair"][at] == pair[a:b]
+            out[0][a:b][ok] = self.counts_at(f, 2, at[ok])
+            for k, (up, word) in enumerate(below, 3):
+                a, (b, c) = a, cut[k - 2][s : s + 2]
+                own = up[b:c] - a
+                own, on = own[ok[own]], np.flatnonzero(ok[own])
+                first = f[f"first{k - 1}"]
+                at, ok, found = np.zeros(c - b, np.int64), np.zeros(c - b, bool), at[own]
+                at[on], ok[on] = within(f[f"label{k}"], first[found], first[found + 1], word[b:c][on])
+                out[k - 2][b:c][ok] = self.counts_at(f, k, at[ok])
+                a = b
         return out
 
     # Contexts.
@@ -365,8 +400,8 @@ class Model:
                     f = self.trie(s)
                     pair = np.array(f["pair"])
                     words, at = [pair & U(0xFFFFFFFF), pair >> U(32)], np.arange(len(pair))
-                    (key,), (n,) = summed([fold([words[1]])], [np.ones(len(pair), np.int64)])
-                    held.setdefault(1, []).append([key, n])
+                    head = np.flatnonzero(heads([words[1]]))
+                    held.setdefault(1, []).append([fold([words[1][head]]), np.diff(np.r_[head, len(pair)])])
                     for k in range(2, self.order + 1):
                         if k > 2:
                             up = np.repeat(np.arange(len(at)), self.counts_at(f, k - 1, at))
@@ -434,28 +469,46 @@ class Model:
         if self.order > 1:
             key, one, back = np.unique(fold([own]), return_index=True, return_inverse=True)
             counts = self.single.find(key)[1]["c"].astype(np.int64)[back]
-        c = {1: counts[of]}
-        p = ((counts - d[np.minimum(counts, 3)] + (d[1] * n1 + d[2] * n2 + d[3] * n3) * even) / total)[of]
+        p = (counts - d[np.minimum(counts, 3)] + (d[1] * n1 + d[2] * n2 + d[3] * n3) * even) / total
         if self.order == 1:
-            return begin, count, p
-        cols = grams(own[of], begin, self.order)
-        c |= self.find(cols)
-        for k in range(2, self.order + 1):
-            ctx, to = np.unique(fold(cols[-k:-1]), return_inverse=True)
-            x = {"t": np.ones(len(ctx)), "n1": np.ones(len(ctx)), "n2": np.zeros(len(ctx)), "n3": np.zeros(len(ctx))}  # where it is but has no entry, it stands once
-            stored = np.zeros(len(ctx), bool)
+            return begin, count, p[of]
+        ids, place = np.unique(np.append(own, U(BEGIN).astype(np.uint32)), return_inverse=True)  # BEGIN is the first
+        lower, c = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        lower[place[:-1]], c[place[:-1]] = p, counts
+        token = place[of]
+        before, of, words, start, todo = grams(token, begin, self.order)[::-1], token, [ids], BEGIN, []
+        for k in range(2, self.order + 1):  # the distinct n-grams of the texts: each one's first token, words, and the number of its last words
+            order, head, to = numbered([of, before[k - 1]])
+            one = order[head]
+            if k == 2:
+                shard = self.home(ids[of[one]], ids[before[1][one]])
+                by = dealt(shard)
+                back = np.empty(len(by), np.int64)
+                back[by] = np.arange(len(by))
+                one, shard, to = one[by], shard[by], back[to]
+            context = np.r_[0, of[:-1]]
+            context[begin[:-1]] = start
+            up, words = of[one], [ids[before[k - 1][one]], *(w[of[one]] for w in words)]
+            todo.append((up, context[one], words))
+            of, start = to, len(one)
+        found = self.find(todo[0][2][1].astype(np.uint64) << U(32) | todo[0][2][0], shard, [(up, words[0]) for up, _, words in todo[1:]])
+        words = [ids]
+        for k, (up, context, longer) in enumerate(todo, 2):
+            key = fold(words) if k == 2 else np.append(fold(words), fold([np.full(1, BEGIN, np.uint32)] * (k - 1)))
+            order = flat.ranked(key)
+            x = {"t": np.ones(len(key)), "n1": np.ones(len(key)), "n2": np.zeros(len(key)), "n3": np.zeros(len(key))}  # where it is but has no entry, it stands once
+            known = np.append(c, [0] * (k > 2)) > 0
             for big in (0, 1):
-                hit, v = self.contexts[k, big].find(ctx)
-                stored |= hit
+                hit, v = self.contexts[k, big].find(key[order])
+                hit, at = np.flatnonzero(hit), order[hit]
+                known[at] = True
                 for name in x:
-                    x[name][hit] = v[name][hit]
-            known = stored[to]
-            known[1:] |= c[k - 1][:-1] > 0
-            known[begin[:-1]] = stored[to[begin[:-1]]]
-            d = self.levels[k][0]
-            free = ((d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / x["t"])[to]
-            p = np.where(known, (c[k] - d[np.minimum(c[k], 3)]) / x["t"][to] + free * p, p)
-        return begin, count, p
+                    x[name][at] = v[name][hit]
+            d, c = self.levels[k][0], found[k - 2]
+            free = (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / x["t"]
+            lower = np.where(known[context], (c - d[np.minimum(c, 3)]) / x["t"][context] + free[context] * lower[up], lower[up])
+            words = longer
+        return begin, count, lower[of]
 
 
 def train(docs: DataFrame, order: int) -> Model:
@@ -476,7 +529,7 @@ def score(docs: DataFrame, order: int, folds: int, held_out: int) -> DataFrame:
     model = train(docs.where(~fold_of), order)
 
     def run(batches):
-        for rows, u8, off in flat.slices(batches, SLICE):
+        for rows, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
             begin, c, p = model.probabilities(u8, off)
             base, n = np.log10((c + 1) / (model.n + model.v + 1)), len(off) - 1
             sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
