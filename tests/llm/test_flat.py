@@ -58,10 +58,15 @@ def test_words_alike(items):
     assert [low[one[i]] for i in of] == low
 
 
-def test_batches_are_pooled():
-    sizes = [10, 10, 10, 90, 5, 5, 0]
-    made = [pa.record_batch({"i": [i], "text": ["x" * n]}) for i, n in enumerate(sizes)]
-    limit = 3 * made[0].column("text").nbytes
-    got = list(flat.pooled(iter(made), limit))
-    assert [r["i"] for b in got for r in b.to_pylist()] == list(range(7)) and [b.num_rows for b in got] == [3, 1, 3]
-    assert list(flat.pooled(iter([]), 9)) == []
+@pytest.mark.parametrize("sizes", [[], [0], [0, 0], [10] * 7, [10, 10, 10, 90, 5, 5, 0], [90, 90, 1], [31] * 3, [5, 25, 1, 29, 30, 30]])
+def test_slices_go_on_in_the_next_batch(sizes):
+    made = [pa.record_batch({"i": pa.array(range(a, min(a + 2, len(sizes))), pa.int64()), "text": pa.array([None if not n else "x" * n for n in sizes[a : a + 2]], pa.string())}) for a in range(0, len(sizes), 2)]
+    got = [(rows["i"].to_pylist(), bytes(u8), off.tolist()) for rows, u8, off in flat.pooled(iter(made), 30)]
+    want, run = [], []
+    for i, n in enumerate(sizes):
+        if run and sum(sizes[j] for j in run) + n > 30:
+            want.append(run)
+            run = []
+        run.append(i)
+    want += [run] * bool(run)
+    assert got == [(run, b"x" * sum(sizes[i] for i in run), np.cumsum([0, *(sizes[i] for i in run)]).tolist()) for run in want]

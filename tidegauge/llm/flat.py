@@ -81,18 +81,27 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, text: str = "t
     trim()
 
 
-def pooled(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches in a row joined as far as they have ``limit`` bytes of text together: what a slice costs besides its bytes is paid less often."""
-    held, n = [], 0
-    for batch in batches:
-        size = batch.column(text).nbytes
-        if held and n + size > limit:
+def pooled(batches: Iterator[pa.RecordBatch], limit: int = SLICE, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """As ``slices``, but the last run of a batch goes on in the next one: what a run costs besides its bytes is paid less often."""
+
+    def joined():
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.column(text).nbytes
+            if n > limit:
+                rows = pa.concat_batches(held)
+                off = flat(column(rows, text))[1]
+                cut = 0  # where the last whole run ends
+                while off[-1] - off[cut] > limit:
+                    cut = max(cut + 1, int(np.searchsorted(off, off[cut] + limit, "right")) - 1)
+                if cut:
+                    yield rows.slice(0, cut)
+                held, n = [rows.slice(cut)] * (cut < len(rows)), int(off[-1] - off[cut])
+        if held:
             yield pa.concat_batches(held)
-            held, n = [], 0
-        held.append(batch)
-        n += size
-    if held:
-        yield pa.concat_batches(held)
+
+    return slices(joined(), limit, text)
 
 
 def spans(u8: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,10 +7,10 @@ Three jobs, each of which sends compressed, sorted blocks that tasks have added
 2. Tasks count n-grams of ids and send them to the shard of their last two words. A shard stores them as a trie read backwards:
    sorted pairs of last words, below each the words before, and so on. How many children a node has is the
    count of its n-gram for the model: in how many contexts it occurs.
-3. Tasks read the tries of some shards and send sums for each context, and for each word before how many it stands;
+3. Tasks read the shards' tries and send sums for each context, and for each word before how many it stands;
    contexts with a single occurrence need no entry, as the trie says that they exist.
 
-Scoring tasks map the arrays into memory and look up what each slice of texts holds. All counts cover all training
+Scoring tasks map the arrays into memory and look up each distinct n-gram of a slice of texts once. All counts cover all training
 texts. Words and n-grams are told apart exactly (contexts of over two words by 64-bit hashes).
 """
 
@@ -29,9 +29,9 @@ from . import flat, store
 from .flat import U, mix
 
 #: Tokens (contexts) that a task counts (gathers) before it sends; bytes of text that are scored at once.
-GATHER, SLICE = 2_000_000, 6_000_000
-#: Bytes of the documents' files for which there is a shard of words, and shards of n-grams to each of these.
-BYTES, FINER = 10 << 20, 2
+GATHER, SLICE = 2_000_000, 8_000_000
+#: Bytes of the documents' files for which there is a shard of each table: a slice looks into all shards, so these are not small.
+BYTES = 10 << 20
 #: The end of a text as a word, in two hashes; the ids of what stands before a text, and of a word that is not known.
 END = U(0x14057B7EF767814F), U(0x5851F42D4C957F2D)
 BEGIN, UNKNOWN = 0, 0xFFFFFFFF
@@ -194,7 +194,7 @@ class Model:
     """Tables in the shared folder; ``levels`` has for each order the discounts and the numbers of n-grams, ``n`` and ``v`` count tokens and words."""
 
     def __init__(self, folder: str, order: int, parts: int):
-        self.folder, self.order, self.parts, self.shards = folder, order, parts, FINER * parts
+        self.folder, self.order, self.parts = folder, order, parts
         self.words = store.Lookup(folder, "words", parts, {"check": "u8", "c": "u8", "id": "u4"})
         self.single = store.Lookup(folder, "single", parts, {"c": "u4"})
         self.contexts = {(k, big): store.Lookup(folder, f"contexts{k}{big}", parts, dict.fromkeys(("t", "n1", "n2", "n3"), "u8" if big else "u1")) for k in range(2, order + 1) for big in (0, 1)}
@@ -218,7 +218,7 @@ class Model:
                 (a, b), (c,) = summed([np.concatenate([h[i] for h in held]) for i in (0, 1)], [np.concatenate([h[2] for h in held])])
                 return rows_of(store.shard_of(a, self.parts), self.parts, [a, b, c], kinds)
 
-            for _, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
+            for _, u8, off in flat.pooled(batches, SLICE):
                 (a, b), of, _ = tokens(u8, off)
                 held.append((a, b, np.bincount(of, minlength=len(a))))
                 n += len(a)
@@ -289,9 +289,9 @@ class Model:
 
             def send():
                 cols, c = distinct(*map(list, zip(*held)), self.order)
-                return rows_of(self.home(cols[0], cols[1]), self.shards, [*cols, c], kinds)
+                return rows_of(self.home(cols[0], cols[1]), self.parts, [*cols, c], kinds)
 
-            for _, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
+            for _, u8, off in flat.pooled(batches, SLICE):
                 names, of, begin = tokens(u8, off)
                 held.append((self.ids(*names)[0], of.astype(np.uint32), begin))
                 n += len(of)
@@ -332,7 +332,7 @@ class Model:
             self.level(k, total[k - 2].tolist())
 
     def home(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return store.shard_of(mix(last.astype(np.uint64) << U(32) | before), self.shards)
+        return store.shard_of(mix(last.astype(np.uint64) << U(32) | before), self.parts)
 
     def level(self, k: int, stats: list[int]) -> None:
         _, types, n1, n2, n3, n4 = stats
@@ -360,7 +360,7 @@ class Model:
 
     def find(self, pair: np.ndarray, shard: np.ndarray, below: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Counts (0: not there) of pairs, sorted by shard, and of the longer n-grams ``below``: the sorted place of each one's last words among those before, and the word before these."""
-        out, cut = [np.zeros(len(x), np.int64) for x in (pair, *(up for up, _ in below))], [np.searchsorted(shard, np.arange(self.shards + 1))]
+        out, cut = [np.zeros(len(x), np.int64) for x in (pair, *(up for up, _ in below))], [np.searchsorted(shard, np.arange(self.parts + 1))]
         for up, _ in below:
             cut.append(np.searchsorted(up, cut[-1]))
         for s in np.flatnonzero(np.diff(cut[0])):
@@ -428,7 +428,7 @@ class Model:
                 sizes.append(int(own.sum()))
             return pd.DataFrame({"kind": [k], "shard": [s], "sizes": [sizes], "stats": [[0] * 6]})
 
-        full = spark.createDataFrame([(s,) for s in sorted(self.sizes)], "shard int").repartition(max(1, len(self.sizes) // FINER), "shard")
+        full = spark.createDataFrame([(s,) for s in sorted(self.sizes)], "shard int").repartition(max(1, len(self.sizes)), "shard")
         full.mapInArrow(run, "kind int, shard int, data binary").groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, sizes array<long>, stats array<long>").write.mode("overwrite").parquet(f"{self.folder}/contexts")
         got = spark.read.parquet(f"{self.folder}/contexts").collect()  # a row for each shard and level
         released(spark)
@@ -491,6 +491,7 @@ class Model:
             up, words = of[one], [ids[before[k - 1][one]], *(w[of[one]] for w in words)]
             todo.append((up, context[one], words))
             of, start = to, len(one)
+        before = token = order = one = to = None
         found = self.find(todo[0][2][1].astype(np.uint64) << U(32) | todo[0][2][0], shard, [(up, words[0]) for up, _, words in todo[1:]])
         words = [ids]
         for k, (up, context, longer) in enumerate(todo, 2):
@@ -506,8 +507,8 @@ class Model:
                     x[name][at] = v[name][hit]
             d, c = self.levels[k][0], found[k - 2]
             free = (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / x["t"]
-            lower = np.where(known[context], (c - d[np.minimum(c, 3)]) / x["t"][context] + free[context] * lower[up], lower[up])
-            words = longer
+            lower, words = lower[up], longer
+            lower = np.where(known[context], (c - d[np.minimum(c, 3)]) / x["t"][context] + free[context] * lower, lower)
         return begin, count, lower[of]
 
 
@@ -529,7 +530,7 @@ def score(docs: DataFrame, order: int, folds: int, held_out: int) -> DataFrame:
     model = train(docs.where(~fold_of), order)
 
     def run(batches):
-        for rows, u8, off in flat.slices(flat.pooled(batches, SLICE), SLICE):
+        for rows, u8, off in flat.pooled(batches, SLICE):
             begin, c, p = model.probabilities(u8, off)
             base, n = np.log10((c + 1) / (model.n + model.v + 1)), len(off) - 1
             sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
