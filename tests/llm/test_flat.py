@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidegauge.llm import flat, kneser_ney
+from tidegauge.llm import flat, kneser_ney, store
 
 RND = np.random.default_rng(3)
 HASHES = RND.integers(0, 1 << 64, 3000, dtype=np.uint64)
@@ -70,3 +70,10 @@ def test_slices_go_on_in_the_next_batch(sizes):
         run.append(i)
     want += [run] * bool(run)
     assert got == [(run, b"x" * sum(sizes[i] for i in run), np.cumsum([0, *(sizes[i] for i in run)]).tolist()) for run in want]
+
+
+def test_rows_without_a_size_make_few_parts(spark, documents, table):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert store.parts_for(documents([(1, "a")]).select("text"), 10 << 20) == most
+    assert store.parts_for(documents([(1, "a")]).crossJoin(documents([(2, "b")]).select("text")), 10 << 20) == most
+    assert store.parts_for(table("documents"), 100) > 1000

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: str | None = None
 #: Arrays that a process keeps mapped, at most: Linux allows 65,530 maps.
 MAPS = 48_000
+#: Estimates of so many bytes say that Spark knows no size.
+UNKNOWN = 1 << 50
 _kept: deque = deque()
 _count = 0
 
@@ -131,10 +133,13 @@ def keep(owner, key, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def parts_for(df: DataFrame, each: int) -> int:
     """Into how many parts of ``each`` bytes of files the rows fall, by Spark's estimate of the plan's size; 8 at least, or the shuffle partitions if fewer.
 
+    Rows without an estimate (of an RDD, say, for which Spark assumes the largest number) fall into as many parts as there are shuffle partitions.
     Shuffle partitions do not set the number otherwise: blocks go from parts to parts, and would grow with its square.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), min(-(-size // each), 1 << 17))
+    size, most = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= UNKNOWN:
+        return max(1, most)
+    return max(1, min(8, most), min(-(-size // each), 1 << 17))
 
 
 class Lookup:
